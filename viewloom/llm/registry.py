@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module of this subpackage that holds each query's ``query`` function and, if any, its ``SQL``.
 MODULES = {
     "op3_secrets": "q_secrets",
+    "op4_tokens": "q_tokens",
+    "op5_langid": "q_langid",
     "op10_chat": "q_chat",
 }
 
