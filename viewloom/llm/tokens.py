@@ -22,7 +22,7 @@ from viewloom.llm.postings import postings, sum_by_document
 from viewloom.llm.store import keep
 
 #: White space as the tokenizer's pattern has it (Unicode's property), which Python's own class exceeds.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: The byte-level tokenizer's split of a text into pre-tokens.
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
