@@ -12,6 +12,7 @@ MODULES = {
     "op3_secrets": "q_secrets",
     "op4_tokens": "q_tokens",
     "op5_langid": "q_langid",
+    "op7_packing": "q_packing",
     "op10_chat": "q_chat",
 }
 
