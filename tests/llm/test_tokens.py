@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from viewloom.llm.tokens import _loaded, frequencies, token_counts
+from viewloom.llm.tokens import Pieces, _loaded, split, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", "a", "It's  we'll\n\n x<|endoftext|>y <|endoftext|>", "é" * 300, "word " * 3000, "\x1c a　b\x85 c", "12 345 ½²", "日本語 テキスト", "word " * 3000]
@@ -20,8 +20,9 @@ def want(text):
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n\x0b\x1c\x1f\x85 　'sdltrevmab1½.,!é"), st.characters(codec="utf-8")), max_size=60))
 def test_split_matches_library(text):
     t = _loaded(PATH)[0]
-    counts, (_, known) = frequencies(text, PATH)
-    assert known + sum(n * len(t.encode(p, add_special_tokens=False).ids) for p, n in counts.items()) == len(t.encode(text, add_special_tokens=False).ids)
+    terms, (_, special) = split(text, PATH)
+    assert special + Pieces(PATH).weights([p.encode() for p in terms]).sum() == len(t.encode(text, add_special_tokens=False).ids)
+    assert all(len(t.encode(p, add_special_tokens=False).ids) == 1 for p in terms if p in _loaded(PATH)[2])
 
 
 def test_counts(spark):

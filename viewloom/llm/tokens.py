@@ -9,17 +9,13 @@ length are counted whole.
 from __future__ import annotations
 
 import os
-from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from viewloom.llm.postings import postings, sum_by_document
-from viewloom.llm.store import keep
+from viewloom.llm.postings import Lookup, buckets_for, postings, sum_by_document
 
 #: White space as the tokenizer's pattern has it (Unicode's property), which Python's own class exceeds.
 _SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -40,38 +36,38 @@ def _loaded(path: str):
     return t, regex.compile("|".join(map(regex.escape, special))) if special else None, single
 
 
-def frequencies(text: str, path: str) -> tuple[dict[str, int], tuple[int, int]]:
-    """Frequencies of the pre-tokens that need counting; the text's bytes, and its tokens besides those."""
-    _, special, single = _loaded(path)
-    counts: Counter = Counter()
-    parts = special.split(text) if special and special.search(text) else [text]
-    for part in parts:
-        counts.update(PRETOKEN.findall(part))
-    known = single & counts.keys()
-    tokens = len(parts) - 1 + sum(map(counts.pop, known))
-    return counts, (len(text.encode()), tokens)
+def split(text: str, path: str) -> tuple[list[str], tuple[int, int]]:
+    """The text's pre-tokens; its bytes, and the special strings in it."""
+    special = _loaded(path)[1]
+    if special is None or not special.search(text):
+        return PRETOKEN.findall(text), (len(text.encode()), 0)
+    parts = special.split(text)
+    return [t for part in parts for t in PRETOKEN.findall(part)], (len(text.encode()), len(parts) - 1)
 
 
-def pieces(terms: DataFrame, path: str) -> DataFrame:
-    """(term, pieces) of distinct pre-tokens; each is encoded once."""
+class Pieces(Lookup):
+    """How many pieces a pre-token has; each of a bucket's distinct pre-tokens is encoded once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _loaded(path)[0]
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            n = [len(e.ids) for e in tokenizer.encode_batch_fast(names, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["term", "pieces"])
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _loaded(path)[0]
+        self.known: dict[bytes, int] = {}
 
-    return terms.mapInArrow(run, "term string, pieces long")
+    def begin(self) -> None:
+        self.known = {}
+
+    def weights(self, terms: list[bytes]) -> np.ndarray:
+        new = [t for t in terms if t not in self.known]
+        for t, e in zip(new, self.tokenizer.encode_batch_fast([t.decode() for t in new], add_special_tokens=False), strict=True):
+            self.known[t] = len(e.ids)
+        return np.fromiter(map(self.known.__getitem__, terms), np.float64, len(terms))[None]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row; ``path``: a byte-level tokenizer's JSON file."""
-    kept = keep(postings(docs, lambda value: frequencies(value, path), None, key, text).drop("marked"), "pretokens")
-    terms = kept.filter("term IS NOT NULL").select("term").distinct()
+    rows = postings(docs, lambda value: split(value, path), buckets_for(docs), lambda: _loaded(path)[2], None, key, text)
 
     def finish(sums: np.ndarray, facts: np.ndarray) -> list[np.ndarray]:
-        tokens = np.rint(sums[0] + facts[:, 1]).astype(np.int64)
+        tokens = np.rint(sums[0] + facts[:, 1] + facts[:, 2]).astype(np.int64)
         return [facts[:, 0].astype(np.int64), tokens, tokens > limit]
 
-    return sum_by_document(kept, pieces(terms, path), ["pieces"], finish, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return sum_by_document(rows, lambda: Pieces(path), finish, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
