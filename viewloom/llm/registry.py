@@ -14,6 +14,7 @@ MODULES = {
     "op4_tokens": "q_tokens",
     "op5_langid": "q_langid",
     "op7_packing": "q_packing",
+    "op9_lm": "q_lm",
     "op10_chat": "q_chat",
 }
 
