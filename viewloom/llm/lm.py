@@ -34,15 +34,15 @@ class Settings:
     window: int = 32
     stride: int = 20
     width: int = 16
-    hidden: int = 32
+    hidden: int = 24
     own: int = 1024
-    single: int = 24
-    clusters: int = 40
+    single: int = 128
+    clusters: int = 64
     sample_windows: int = 24_000
     windows_a_doc: int = 8
-    steps: int = 900
+    steps: int = 3000
     batch: int = 192
-    rate: float = 0.004
+    rate: float = 0.008
     seed: int = 3
 
 
@@ -188,7 +188,7 @@ def _window_scores(m: Model, tables: dict, x: np.ndarray, y: np.ndarray, skip: i
     return ((goal - np.log(z @ np.ones(z.shape[1], np.float32))) * np.float32(1 / np.log(10))).reshape(n, t - skip)
 
 
-def score(m: Model, texts: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
+def score(m: Model, texts: list[np.ndarray], chunk: int = 192) -> np.ndarray:
     """log10 probability of each text (its ids, the end id included); each id is scored once."""
     s = m.s
     tables = m.tables() | {"h": m.p["E"] @ m.p["W1"], "ph": m.p["P"] @ m.p["W1"] + m.p["b1"]}
