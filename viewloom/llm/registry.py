@@ -13,6 +13,7 @@ MODULES = {
     "op3_secrets": "q_secrets",
     "op4_tokens": "q_tokens",
     "op5_langid": "q_langid",
+    "op6_decontam": "q_decontam",
     "op7_packing": "q_packing",
     "op9_lm": "q_lm",
     "op10_chat": "q_chat",
