@@ -15,6 +15,7 @@ MODULES = {
     "op5_langid": "q_langid",
     "op6_decontam": "q_decontam",
     "op7_packing": "q_packing",
+    "op8_search": "q_search",
     "op9_lm": "q_lm",
     "op10_chat": "q_chat",
 }
