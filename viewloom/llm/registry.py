@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of this subpackage that holds each query's ``query`` function and, if any, its ``SQL``.
 MODULES = {
+    "op1_html": "q_html",
     "op2_minhash": "q_minhash",
     "op3_secrets": "q_secrets",
     "op4_tokens": "q_tokens",
