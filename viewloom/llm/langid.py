@@ -182,16 +182,17 @@ def learn(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang"
 
 
 def predict(docs: DataFrame, net: Network, text: str = "text", *others: str) -> DataFrame:
-    """``others``, lang_pred and score for each row."""
+    """``others`` (which may hold ``text``), lang_pred and score for each row."""
     fields = docs.select(*others).schema
-    source = docs.select(F.col(text).alias("__text"), *others)
+    rest = [c for c in others if c != text]
+    source = docs.select(F.col(text).alias("__text"), *rest)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
         for batch in batches:
             pred, score = label(net, tables, batch.column(0).to_pylist())
-            cols = [batch.column(i + 1) for i in range(len(others))]
+            cols = [batch.column(0) if c == text else batch.column(1 + rest.index(c)) for c in others]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
