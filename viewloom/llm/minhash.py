@@ -1,10 +1,11 @@
 """Near-duplicate detection by MinHash: universal hash minima, banding, signature verification, exact confirmation, components.
 
 Documents with equal shingle sets are one class, found by a hash of the set. Classes meet in buckets, one for each band
-of their signature. In a first round each class of a bucket is compared with the bucket's smallest class only; links that
-both signatures and full sets confirm give components. In a second round, classes of a bucket that are still in different
-components are all compared, in blocks, within tasks; only pairs that pass leave them. So a bucket of very many near
-copies costs as many comparisons as it has classes, and no link between different components is left untested.
+of their signature. In a first round each class of a bucket is compared only with the bucket's centre, the class that
+meets most others; links that both signatures and full sets confirm give components. In a second round, classes of a
+bucket that are still in different components are compared, in blocks, within tasks, by signatures and 32-bit sets; only
+links that join components leave them, to be confirmed. So no group emits its pairs, and no two components that a link
+joins are left apart.
 
 With b bands of r minima, a pair of similarity s shares a bucket with probability 1 - (1 - s^r)^b: at 0.8, 32 bands of 4
 miss one pair in 10^7. Signature estimates below the threshold by over ``slack`` (4 standard deviations) are dropped.
@@ -36,7 +37,7 @@ class Settings:
     rows: int = 4
     slack: float = 0.14
     #: Classes of a bucket that are compared in one task.
-    block: int = 1024
+    block: int = 2048
     #: Classes whose ids may be broadcast, 8 bytes each.
     broadcast: int = 2_000_000
 
@@ -137,77 +138,128 @@ def _passing(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     return sized.select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
 
 
+def _texts(classes: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """class, text for each of ``classes``; an id that comes with several texts gives more, of other classes."""
+    need = keep(classes.distinct().join(reps.select("class", "doc_id"), "class"), "need")
+    few = need.count() <= s.broadcast
+    return docs.join(F.broadcast(need) if few else need, "doc_id").select("class", "text")
+
+
+def _class(found: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """The pairs of classes whose full shingle sets have the similarity, from the texts of their representatives."""
     pairs = keep(pairs, "pairs")
-    need = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(reps.select("class", "doc_id"), "class")
-    need = keep(need, "need")
-    few = need.count() <= s.broadcast
-    texts = docs.join(F.broadcast(need) if few else need, "doc_id").select("class", "text")
+    texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("class")), reps, docs, s)
     left, right = texts.select(F.col("class").alias("u"), F.col("text").alias("t_u")), texts.select(F.col("class").alias("v"), F.col("text").alias("t_v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] = (0, np.zeros(0))
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             ok = []
             for u, v, t_u, t_v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if v != last[0]:
                     last = (v, shingles(t_v.as_py(), s.words))
+                    last = last if _class(last[1]) == v else (None, last[1])
                 mine = shingles(t_u.as_py(), s.words)
-                # an id may come with several texts; only those of the class count
-                hit = all(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) == c for x, c in ((mine, u), (last[1], v)))
-                ok.append(hit and similar(mine, last[1], s.percent))
+                ok.append(last[0] == v and _class(mine) == u and similar(mine, last[1], s.percent))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(left, "u").join(right, "v").select("u", "v", "t_u", "t_v").mapInArrow(run, "u long, v long").distinct()
 
 
+def _sets(classes: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """class, items: its shingles as sorted 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), s.words) for t in batch.column(1)]
+            right = pa.array([_class(x) == c for x, c in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            items = pa.array([np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), items], ["class", "items"]).filter(right)
+
+    return _texts(classes, reps, docs, s).mapInArrow(run, "class long, items binary").dropDuplicates(["class"])
+
+
+def cell_links(band: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, own: np.ndarray, sigs: np.ndarray, items: list[np.ndarray], s: Settings) -> list[tuple[int, int]]:
+    """Links between components among the classes of one cell: for each two components of which any classes link here, at
+    least one link, and every link too near the threshold to be sure by 32-bit hashes.
+
+    A pair is left to the cell of the first band that it shares.
+    """
+    parent = {c: c for c in comps.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    names, inverse, counts = np.unique(comps, return_inverse=True, return_counts=True)
+    cross = own.min() != own.max()
+    keys = sigs.reshape(len(sigs), s.bands, s.rows)
+    out: list[tuple[int, int]] = []
+    largest = counts.argmax()
+    for i in np.flatnonzero(inverse != largest):
+        near = (comps != comps[i]) & (s.percent * np.maximum(sizes, sizes[i]) <= 100 * np.minimum(sizes, sizes[i]))
+        if cross:
+            near &= own != own[i]
+        # pairs of two smaller components come up from both sides; one is enough
+        near &= (inverse == largest) | (ids < ids[i])
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        alike = (sigs[at] == sigs[i]).mean(1)
+        first = (keys[at] == keys[i]).all(2).argmax(1) == band[i]
+        ok = (alike >= s.percent / 100 - s.slack) & first
+        at = at[ok][np.argsort(-alike[ok], kind="stable")]
+        mine = items[i]
+        for lo in range(0, len(at), 64):
+            part = [j for j in at[lo : lo + 64].tolist() if root(int(comps[j])) != root(int(comps[i]))]
+            if not part:
+                continue
+            both = np.add.reduceat(np.isin(np.concatenate([items[j] for j in part]), mine, kind="sort"), np.cumsum([0, *[len(items[j]) for j in part[:-1]]]))
+            for j, n in zip(part, both.tolist(), strict=True):
+                total = int(sizes[i] + sizes[j])
+                if 100 * (n + 3) >= s.percent * (total - n - 3) and root(int(comps[j])) != root(int(comps[i])):
+                    out.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+                    if 100 * (n - 3) >= s.percent * (total - n + 3):
+                        parent[root(int(comps[i]))] = root(int(comps[j]))
+    return out
+
+
 def _cells(members: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (u, v) of classes of one bucket, in different components, whose signatures pass.
+    """Pairs (u, v) of classes of one bucket, in different components, that probably link; see ``cell_links``.
 
-    members: bucket, n (classes in it), class, component, size, signature. A bucket of more than ``block`` classes is cut
-    in blocks, and each pair of blocks is a cell of its own.
+    members: bucket, band, n (classes in it), class, component, size, signature, items. A bucket of more than ``block``
+    classes is cut in blocks, and each pair of blocks is a cell of its own.
     """
     blocks = F.ceil(F.col("n") / s.block).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    cells = members.select("bucket", "class", "component", "size", "signature", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "class", "component", "size", "signature", "own")
-
-    def pairs(group: list[tuple]) -> list[tuple[int, int]]:
-        comps = np.array([g[1] for g in group])
-        if (comps == comps[0]).all():
-            return []
-        ids, sizes, own = (np.array([g[i] for g in group], np.int64) for i in (0, 2, 4))
-        sigs = np.frombuffer(b"".join(g[3] for g in group), np.uint32).reshape(len(group), -1)
-        cross = own.min() != own.max()
-        out: list[tuple[int, int]] = []
-        common = np.bincount(np.unique(comps, return_inverse=True)[1])
-        alike = common[np.unique(comps, return_inverse=True)[1]]
-        for i in np.flatnonzero(alike < common.max()) if (common == common.max()).sum() == 1 else range(len(group)):
-            other = (comps != comps[i]) & (s.percent * np.maximum(sizes, sizes[i]) <= 100 * np.minimum(sizes, sizes[i]))
-            if cross:
-                other &= own != own[i]
-            at = np.flatnonzero(other)
-            if len(at):
-                at = at[(sigs[at] == sigs[i]).mean(1) >= s.percent / 100 - s.slack]
-                out += [(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in at]
-        return out
+    names = ["class", "component", "size", "own", "band", "signature", "items"]
+    cells = members.select("bucket", "band", "class", "component", "size", "signature", "items", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cells = cells.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, group = None, []
 
-        def out(found: list) -> pa.RecordBatch:
+        def out() -> pa.RecordBatch:
+            found: list[tuple[int, int]] = []
+            if len({g[1] for g in group}) > 1:
+                ids, comps, sizes, own, band = (np.array([g[i] for g in group], np.int64) for i in range(5))
+                sigs = np.frombuffer(b"".join(g[5] for g in group), np.uint32).reshape(len(group), -1)
+                found = cell_links(band, ids, comps, sizes, own, sigs, [np.frombuffer(g[6], np.uint32) for g in group], s)
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            for c, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for c, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if c != cell:
-                    if len(group) > 1 and (found := pairs(group)):
-                        yield out(found)
+                    yield out()
                     cell, group = c, []
                 group.append(tuple(row))
-        if len(group) > 1 and (found := pairs(group)):
-            yield out(found)
+        yield out()
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
 
@@ -217,16 +269,21 @@ def links(sketched: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     reps = keep(sketched.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")).select("class", "r.doc_id", F.col("r.n_shingles").alias("n"), "r.signature"), "classes")
     width = 4 * s.rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", width * i + 1, width)) for i in range(s.bands)])
-    rows = reps.select("class", F.explode(bands).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("class").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    rows = reps.select("class", F.posexplode(bands).alias("band", "bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = keep(rows.join(shared, "bucket"), "buckets")
-    star = met.filter("class <> first").select(F.col("class").alias("u"), F.col("first").alias("v")).distinct()
+    # the class that meets most others is likely nearest to what the others were copied from
+    degree = met.groupBy("class").agg(F.sum(F.col("n") - 1).alias("degree"))
+    centre = met.join(degree, "class").groupBy("bucket").agg(F.max(F.struct("degree", "class")).alias("c")).select("bucket", F.col("c.class").alias("centre"))
+    star = met.join(centre, "bucket").filter("class <> centre").select(F.greatest("class", "centre").alias("u"), F.least("class", "centre").alias("v")).distinct()
     sure = keep(_confirmed(_passing(star, reps, s), reps, docs, s), "star")
     found = components(sure)
-    named = met.join(found.withColumnRenamed("vertex", "class"), "class", "left").select("bucket", "n", "class", F.coalesce("component", "class").alias("component"))
+    named = met.join(found.withColumnRenamed("vertex", "class"), "class", "left").select("bucket", "band", "n", "class", F.coalesce("component", "class").alias("component"))
+    named = keep(named, "named")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = named.join(mixed, "bucket").join(reps.select("class", F.col("n").alias("size"), "signature"), "class")
-    more = _confirmed(_cells(rest, s), reps, docs, s)
+    rest = keep(named.join(mixed, "bucket"), "mixed")
+    sets = reps.select("class", F.col("n").alias("size"), "signature").join(_sets(rest.select("class"), reps, docs, s), "class")
+    more = _confirmed(_cells(rest.join(sets, "class"), s), reps, docs, s)
     return sure.unionByName(more)
 
 
@@ -244,3 +301,20 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, key: str
     out = slim.join(by_class, "class", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", broadcast: int = Settings.broadcast) -> DataFrame:
+    """The rows whose id is not among ``ids`` (one column, no nulls). Up to ``broadcast`` ids, 8 bytes each, are broadcast; more are joined by shuffling."""
+    gone = keep(ids.toDF(key).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast else gone, key, "left_anti").select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that are not kept, and with one row of each repeated id; null ids stay."""
+    found = keep(near_duplicates(docs, settings, key, text), "duplicates")
+    left = without(docs, found.filter("NOT kept").select("doc_id"), key)
+    repeated = keep(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    same = left.join(repeated.toDF(key), key, "left_semi").dropDuplicates([key])
+    return without(left, repeated, key).unionByName(same.select(*left.columns))
