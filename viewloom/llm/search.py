@@ -2,11 +2,12 @@
 
 The index holds every row: shards of bounded size, whose postings are dealt to term buckets (see ``postings``). Document
 frequencies and the mean length are those of the whole collection, so scores don't depend on shards. Postings of query
-terms alone leave the buckets and meet by shard; there each query runs block-max WAND, which skips documents whose upper
-bounds can't reach the k-th best score so far, and the shards' best are merged.
+terms alone leave the buckets and meet by shard; there each query runs block-max WAND over blocks of documents, which skips
+those whose upper bounds can't reach the k-th best score so far, and the shards' best are merged.
 
 Scores are rounded to six decimals; equal ones go by id. A query text is reduced to its ``terms`` words of highest
-tf * idf (ties by word); that is the query, and its top k is exact. Equal queries run once. Null texts are empty; queries
+tf * idf (ties by word); that is the query, and its top k is exact. Equal queries run once. A task goes through its shards
+one after the other and keeps each query's best so far, so later shards start with a high bound. Null texts are empty; queries
 without words give no rows; rows with null ids are counted but not returned; repeated rows are returned and asked as
 often as they come.
 """
@@ -37,6 +38,8 @@ class Settings:
     k1: float = 1.2
     b: float = 0.75
     block: int = 64
+    #: Queries whose best are held in a task at once; beyond that they are given out and begin anew.
+    held: int = 200_000
 
 
 def words(text: str) -> list[bytes]:
@@ -50,83 +53,82 @@ def idf(n: int, df: int) -> float:
 
 @dataclass
 class List:
-    """A term's postings in a shard: documents ascending, their score parts, and the largest part by block."""
+    """A term's postings in a shard: documents ascending, their score parts, where each block of documents begins, and the
+    largest part in each block and in all."""
 
-    docs: list[int]
-    parts: list[float]
-    tops: list[float]
+    docs: np.ndarray
+    parts: np.ndarray
+    begins: np.ndarray
+    tops: np.ndarray
     top: float
 
     @staticmethod
-    def of(docs: np.ndarray, parts: np.ndarray, block: int) -> List:
-        tops = np.maximum.reduceat(parts, np.arange(0, len(parts), block))
-        return List(docs.tolist(), parts.tolist(), tops.tolist(), float(parts.max()))
-
-
-def wand(lists: list[List], ids: np.ndarray, nulls: np.ndarray, best: list[tuple[float, int]], k: int, block: int) -> None:
-    """Put the k best documents of a shard into the heap ``best`` of (score, -id). The lists' order fixes how parts are added."""
-    at = [0] * len(lists)
-    slack = 2e-6
-    order = list(range(len(lists)))
-    while True:
-        order = sorted((i for i in order if at[i] < len(lists[i].docs)), key=lambda i: lists[i].docs[at[i]])
-        floor = best[0][0] - slack if len(best) == k else -1.0
-        bound, pivot = 0.0, -1
-        for n, i in enumerate(order):
-            bound += lists[i].top
-            if bound >= floor:
-                pivot = n
-                break
-        if pivot < 0:
-            return
-        doc = lists[order[pivot]].docs[at[order[pivot]]]
-        while pivot + 1 < len(order) and lists[order[pivot + 1]].docs[at[order[pivot + 1]]] == doc:
-            pivot += 1
-        upto = order[: pivot + 1]
-        # the blocks where the lists would have ``doc``: if even their largest parts don't reach the floor, skip to the nearest block end
-        shallow, ends = 0.0, []
-        for i in upto:
-            docs, p = lists[i].docs, at[i] // block
-            while (p + 1) * block <= len(docs) and docs[(p + 1) * block - 1] < doc:
-                p += 1
-            if p * block < len(docs):
-                shallow += lists[i].tops[p]
-                ends.append(docs[min(len(docs), (p + 1) * block) - 1] + 1)
-        if shallow < floor:
-            target = max(doc + 1, min([*ends, *([lists[order[pivot + 1]].docs[at[order[pivot + 1]]]] if pivot + 1 < len(order) else [])]))
-            for i in upto:
-                at[i] = _seek(lists[i].docs, at[i], target)
-            continue
-        if lists[order[0]].docs[at[order[0]]] != doc:
-            for i in upto:
-                at[i] = _seek(lists[i].docs, at[i], doc)
-            continue
-        score = 0.0
-        for i in sorted(upto):
-            score += lists[i].parts[at[i]]
-            at[i] += 1
-        if not nulls[doc]:
-            entry = (round(score, 6), -int(ids[doc]))
-            if len(best) < k:
-                heapq.heappush(best, entry)
-            elif entry > best[0]:
-                heapq.heapreplace(best, entry)
-
-
-def _seek(docs: list[int], at: int, target: int) -> int:
-    """The first place from ``at`` whose document is ``target`` or later."""
-    step, lo = 1, at
-    while lo + step < len(docs) and docs[lo + step] < target:
-        lo += step
+    def of(docs: np.ndarray, parts: np.ndarray, size: int, block: int) -> List:
+        """size: documents in the shard."""
+        docs = docs.astype(np.int64)
+        begins = np.searchsorted(docs, np.arange(0, size + block, block))
+        filled = np.flatnonzero(begins[1:] > begins[:-1])
+        tops = np.zeros(len(begins) - 1)
+        tops[filled] = np.maximum.reduceat(parts, begins[filled])
+        return List(docs, parts, begins, tops, float(parts.max()))
+
+
+#: More than rounding moves a score.
+SLACK = 2e-6
+
+
+def wand(lists: list[List], ids: np.ndarray, nulls: np.ndarray, best: list[tuple[float, int]], k: int, block: int) -> int:
+    """Put the k best documents of a shard into the heap ``best`` of (score, -id); the number of blocks that were scored.
+
+    The bound of a block of documents is the sum of the lists' largest parts in it. Blocks go by falling bound, a few at a
+    time, until the next one's can't reach the k-th best score so far. The lists' order fixes how parts are added.
+    """
+
+    def floor() -> float:
+        return best[0][0] - SLACK if len(best) == k else SLACK / 4
+
+    if sum(x.top for x in lists) < floor():
+        return 0
+    bound = lists[0].tops.copy()
+    for x in lists[1:]:
+        bound += x.tops
+    alive = np.flatnonzero(bound >= floor())
+    alive = alive[np.argsort(-bound[alive], kind="stable")]
+    scored, step = 0, 4
+    while len(alive):
+        now, alive = alive[:step], alive[step:]
+        _score(lists, now, ids, nulls, best, k, block, floor)
+        scored += len(now)
         step *= 2
-    hi = min(lo + step + 1, len(docs))
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if docs[mid] < target:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo
+        alive = alive[bound[alive] >= floor()]
+    return scored
+
+
+def _score(lists: list[List], blocks: np.ndarray, ids: np.ndarray, nulls: np.ndarray, best: list, k: int, block: int, floor) -> None:
+    """Score the documents of some blocks."""
+    total = np.zeros(len(ids))
+    if 4 * len(blocks) > len(lists[0].tops):
+        for x in lists:
+            total[x.docs] += x.parts
+        inside = np.zeros(len(lists[0].tops), bool)
+        inside[blocks] = True
+        total *= np.repeat(inside, block)[: len(ids)]
+    else:
+        for x in lists:
+            for b in blocks.tolist():
+                lo, hi = x.begins[b], x.begins[b + 1]
+                if lo < hi:
+                    total[x.docs[lo:hi]] += x.parts[lo:hi]
+    at = np.flatnonzero((total >= floor()) & ~nulls)
+    if len(at) > 4 * k:
+        rounded = np.round(total[at], 6)
+        at = at[rounded >= np.partition(rounded, -k)[-k]]
+    for i, value in zip(ids[at].tolist(), total[at].tolist(), strict=True):
+        entry = (round(value, 6), -i)
+        if len(best) < k:
+            heapq.heappush(best, entry)
+        elif entry > best[0]:
+            heapq.heapreplace(best, entry)
 
 
 def _streams(facts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -225,36 +227,41 @@ def top_k(docs: DataFrame, queries: DataFrame, settings: Settings | None = None,
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, head, held = None, None, {}
+        found: dict[int, list[tuple[float, int]]] = {}
 
-        def run() -> pa.RecordBatch:
+        def out() -> pa.RecordBatch:
+            got = [(row, -i, score) for row, best in found.items() for score, i in best]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["row", "doc_id", "score"])
+
+        def run() -> None:
             ids, nulls = unpack_ids(head[1])
             lengths = np.frombuffer(unpack(head[0]))
             damp = s.k1 * (1 - s.b + s.b * lengths / mean)
             by_query: dict[int, list[List]] = {}
             for term in sorted(held):
                 weight, at, freqs, asking = held[term]
-                made = List.of(at, weight * freqs * (s.k1 + 1) / (freqs + damp[at]), s.block)
+                made = List.of(at, weight * freqs * (s.k1 + 1) / (freqs + damp[at]), len(ids), s.block)
                 for row in asking:
                     by_query.setdefault(row, []).append(made)
-            out: list[tuple] = []
             for row, lists in by_query.items():
-                best: list[tuple[float, int]] = []
-                wand(lists, ids, nulls, best, s.k, s.block)
-                out += [(row, -i, score) for score, i in best]
-            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["row", "doc_id", "score"])
+                wand(lists, ids, nulls, found.setdefault(row, []), s.k, s.block)
 
         for batch in batches:
             for block, term, weight, at, freqs, asking, ids in zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True):
                 if block != shard:
                     if held:
-                        yield run()
+                        run()
+                    if len(found) > s.held:
+                        yield out()
                     shard, head, held = block, None, {}
                 if ids is not None:
                     head = (at, ids)
                 else:
                     held[term] = (weight, np.frombuffer(at, "<u2"), np.frombuffer(freqs, "<u4").astype(np.float64), asking)
         if held:
-            yield run()
+            run()
+        yield out()
 
     picked = _streams(facts, rows).mapInArrow(pick, schema)
     heads = about.select("block", _null("binary").alias("term"), _null("double").alias("idf"), F.col("posts").alias("docs"), _null("binary").alias("freqs"), _null("array<long>").alias("rows"), "ids")
