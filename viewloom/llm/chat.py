@@ -83,13 +83,17 @@ def _role(role: Column) -> Column:
     return reduce(lambda out, pair: F.when(lowered == pair[0], F.lit(pair[1])).otherwise(out), ROLES.items(), lowered)
 
 
+def _turn(role: str, text: str):
+    return lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+
+
 def _record_turns(record: Column, turns: tuple) -> Column:
     parts = []
     for turn in turns:
         if turn[0] == "each":
             _, path, role, text = turn
             items = F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`: string, `{text}`: string>>")
-            parts.append(F.transform(F.coalesce(items, F.array()), lambda x, role=role, text=text: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))))
+            parts.append(F.transform(F.coalesce(items, F.array()), _turn(role, text)))
         else:
             role, fields = turn
             texts = F.array(*[F.coalesce(F.get_json_object(record, f"$.{f}"), F.lit("")) for f in fields])

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewloom.llm.worker import lean
+
 UNKNOWN = "und"
 WINDOW = 192
 WIDTHS = (2, 3, 4, 5)
@@ -185,7 +187,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text", *others: str) ->
     """``others`` (which may hold ``text``), lang_pred and score for each row."""
     fields = docs.select(*others).schema
     rest = [c for c in others if c != text]
-    source = docs.select(F.col(text).alias("__text"), *rest)
+    source = lean(docs).select(F.col(text).alias("__text"), *rest)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

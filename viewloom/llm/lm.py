@@ -2,8 +2,9 @@
 
 A text's subword ids, and an end id, are scored in overlapping context windows: each window scores the ids that no
 earlier window scored, with at least ``window - stride`` ids of context. One masked attention layer and a hidden layer
-give a distribution over classes of ids; within its class an id has its add-one share of the counts of all training
-documents. Queries, keys and values are linear in the embeddings, so scoring looks them up.
+give a distribution over groups of classes of ids, and over the classes in a group; within its class an id has its add-one
+share of the counts of all training documents. Queries, keys and values are linear in the embeddings, so scoring looks
+them up, and only the class distribution of an id's own group is computed.
 
 The network's weights and the classes are fitted on a bounded sample of windows; word counts, id counts and all scores
 cover whole texts of all documents. Null texts are empty: one end. Repeated rows count and are scored as they come; with
@@ -13,6 +14,7 @@ no training documents all counts are 0.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.packing import encode
+from viewloom.llm.packing import _tokenizer
 from viewloom.llm.postings import NAMES, SCHEMA, Lookup, buckets_for, dictionary, pack, postings, sum_by_document, unpack, unpack_ids
 from viewloom.llm.store import keep
+from viewloom.llm.worker import held
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_windows`` bounds the training sample: windows, a few from each chosen document."""
+    """``sample_windows`` bounds the training sample: windows, a few from each chosen document. A small sample is gone over ``passes`` times at most."""
 
     vocabulary: int = 49408
     window: int = 32
@@ -36,11 +39,13 @@ class Settings:
     width: int = 16
     hidden: int = 24
     own: int = 1024
-    single: int = 128
-    clusters: int = 64
+    single: int = 160
+    clusters: int = 96
+    groups: int = 16
     sample_windows: int = 24_000
     windows_a_doc: int = 8
-    steps: int = 3000
+    steps: int = 2400
+    passes: int = 20
     batch: int = 192
     rate: float = 0.008
     seed: int = 3
@@ -66,8 +71,8 @@ class Model:
 def _init(s: Settings, slots: int, groups: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(s.seed)
     d, h = s.width, s.hidden
-    shapes = {"E": (slots, d), "P": (s.window, d), "Wq": (d, d), "Wk": (d, d), "Wv": (d, d), "Wo": (d, h), "W1": (d, h), "b1": (h,), "Wc": (h, groups), "bc": (groups,)}
-    scale = {"E": 0.5, "P": 0.1, "b1": 0, "bc": 0}
+    shapes = {"E": (slots, d), "P": (s.window, d), "Wq": (d, d), "Wk": (d, d), "Wv": (d, d), "Wo": (d, h), "W1": (d, h), "b1": (h,), "Wg": (h, s.groups), "bg": (s.groups,), "Wc": (h, groups), "bc": (groups,)}
+    scale = {"E": 0.5, "P": 0.1, "b1": 0, "bg": 0, "bc": 0}
     return {k: (rng.normal(0, 1, v) * scale.get(k, v[0] ** -0.5)).astype(np.float32) for k, v in shapes.items()}
 
 
@@ -113,9 +118,16 @@ def fit(windows: np.ndarray, counts: np.ndarray, s: Settings) -> Model:
     p = _init(s, slots, groups)
     if len(windows):
         _train(p, slot[windows[:, :-1]], group[windows[:, 1:] % s.vocabulary], s)
+    p["bc"][size == 0] = p["bg"][np.add.reduceat(size, np.arange(0, groups, groups // s.groups)) == 0] = -1e4  # no ids, no share
     return Model(s, slot, group, share, p)
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(-1, keepdims=True))
+    z /= z.sum(-1, keepdims=True)
+    return z
+
+
 def _train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Settings) -> None:
     """Adam on the cross-entropy of the next class, with gradients written out."""
     rng = np.random.default_rng(s.seed)
@@ -123,7 +135,8 @@ def _train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Settings)
     mask = np.where(np.tril(np.ones((t, t))), 0, -1e9).astype(np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     scale = np.float32(d**-0.5)
-    for step in range(1, s.steps + 1):
+    steps = min(s.steps, 1 + s.passes * len(x) // s.batch)
+    for step in range(1, steps + 1):
         at = rng.integers(0, len(x), s.batch)
         xi, yi = x[at], y[at]
         e = p["E"][xi] + p["P"]
@@ -134,14 +147,17 @@ def _train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Settings)
         c = a @ v
         r = c @ p["Wo"] + e @ p["W1"] + p["b1"]
         h = np.maximum(r, 0)
-        z = h @ p["Wc"] + p["bc"]
-        z = np.exp(z - z.max(2, keepdims=True))
-        z /= z.sum(2, keepdims=True)
-        n = yi.size
-        z.reshape(n, -1)[np.arange(n), yi.ravel()] -= 1
-        z /= n
-        g = {"Wc": h.reshape(n, -1).T @ z.reshape(n, -1), "bc": z.sum((0, 1))}
-        dr = (z @ p["Wc"].T) * (r > 0)
+        n, each = yi.size, p["bc"].size // s.groups
+        flat, rows, goal = h.reshape(yi.size, -1), np.arange(yi.size), yi.ravel()
+        zg = _softmax(flat @ p["Wg"] + p["bg"])
+        zc = _softmax((flat @ p["Wc"] + p["bc"]).reshape(n, s.groups, each)[rows, goal // each])
+        zg[rows, goal // each] -= 1
+        zc[rows, goal % each] -= 1
+        dz = np.zeros((n, s.groups, each), np.float32)
+        dz[rows, goal // each] = zc / n
+        dz, zg = dz.reshape(n, -1), zg / n
+        g = {"Wc": flat.T @ dz, "bc": dz.sum(0), "Wg": flat.T @ zg, "bg": zg.sum(0)}
+        dr = ((dz @ p["Wc"].T + zg @ p["Wg"].T).reshape(r.shape)) * (r > 0)
         flat = dr.reshape(n, -1)
         g |= {"b1": flat.sum(0), "Wo": c.reshape(n, d).T @ flat, "W1": e.reshape(n, d).T @ flat}
         dc, de = dr @ p["Wo"].T, dr @ p["W1"].T
@@ -154,13 +170,21 @@ def _train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Settings)
         g["P"] = de.sum(0)
         g["E"] = np.zeros_like(p["E"])
         np.add.at(g["E"], xi.ravel(), de.reshape(n, d))
-        rate = s.rate * min(1, step / 50) * (1 - 0.9 * step / s.steps)
+        rate = s.rate * min(1, step / 50) * (1 - 0.9 * step / steps)
         for name, w in p.items():
             first[name] += 0.1 * (g[name] - first[name])
             second[name] += 0.01 * (g[name] ** 2 - second[name])
             w -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
 
 
+def _log_share(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """ln of the softmax at ``goal`` in each row; logits are cut at LIMIT."""
+    np.minimum(z, LIMIT, out=z)
+    at = z[np.arange(len(z)), goal]
+    np.exp(z, out=z)
+    return at - np.log(z @ np.ones(z.shape[1], np.float32))
+
+
 def _window_scores(m: Model, tables: dict, x: np.ndarray, y: np.ndarray, skip: int) -> np.ndarray:
     """log10 of the class probabilities of the targets after the first ``skip`` positions. x: slots, y: classes, by window."""
     s = m.s
@@ -180,15 +204,23 @@ def _window_scores(m: Model, tables: dict, x: np.ndarray, y: np.ndarray, skip: i
     r = c.reshape(-1, d) @ m.p["Wo"]
     r += (tables["h"].take(late, axis=0) + tables["ph"][skip:]).reshape(r.shape)
     np.maximum(r, 0, out=r)
-    z = r @ m.p["Wc"]
-    z += m.p["bc"]
-    np.minimum(z, LIMIT, out=z)
-    goal = np.take_along_axis(z, y.reshape(-1, 1), 1)[:, 0]
-    np.exp(z, out=z)
-    return ((goal - np.log(z @ np.ones(z.shape[1], np.float32))) * np.float32(1 / np.log(10))).reshape(n, t - skip)
-
-
-def score(m: Model, texts: list[np.ndarray], chunk: int = 192) -> np.ndarray:
+    each = m.p["bc"].size // s.groups
+    goal = y.ravel()
+    group = goal // each
+    out = _log_share(r @ m.p["Wg"] + m.p["bg"], group)
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=s.groups))
+    sorted_r, inner = r[order], (goal % each)[order]
+    mine = np.empty(len(goal), np.float32)
+    for k, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        if lo < hi:
+            part = slice(k * each, (k + 1) * each)
+            mine[lo:hi] = _log_share(sorted_r[lo:hi] @ m.p["Wc"][:, part] + m.p["bc"][part], inner[lo:hi])
+    out[order] += mine
+    return (out * np.float32(1 / np.log(10))).reshape(n, t - skip)
+
+
+def score(m: Model, texts: list[np.ndarray], chunk: int = 96) -> np.ndarray:
     """log10 probability of each text (its ids, the end id included); each id is scored once."""
     s = m.s
     tables = m.tables() | {"h": m.p["E"] @ m.p["W1"], "ph": m.p["P"] @ m.p["W1"] + m.p["b1"]}
@@ -221,9 +253,36 @@ def marks(training: Callable[[int | None], bool], ids: np.ndarray, nulls: np.nda
     return np.array([training(None if n else int(i)) for i, n in zip(ids, nulls, strict=True)], bool)
 
 
-def _texts(extra: bytes | None, facts: np.ndarray) -> list[np.ndarray]:
-    raw = np.frombuffer(unpack(extra), "<u2") if extra else np.zeros(0, "<u2")
-    return np.split(raw, np.cumsum(facts[:, 1].astype(np.int64) // 2)[:-1])
+#: Punctuation that the tokenizer splits from a letter before it.
+_TAIL = b".,;:!?#$%&*)]"
+
+
+def word_ids(words: list[bytes], path: str, most: int = 500_000) -> list[bytes]:
+    """Subword ids of each lowered word, as unsigned 16-bit bytes. A worker holds a bounded number of words' ids.
+
+    Punctuation after a letter is looked up apart, as the tokenizer splits it off.
+    """
+    cores = [w.rstrip(_TAIL) for w in words]
+    cores = [c if len(c) != len(w) and c[-1:].isalpha() else w for c, w in zip(cores, words, strict=True)]
+    tails = [w[len(c) :] for c, w in zip(cores, words, strict=True)]
+    wanted = {*cores, *tails} - {b""}
+    known, tokenizer = held(("word ids", path), dict), _tokenizer(path)
+    new = [w for w in wanted if w not in known]
+    if len(known) + len(new) > most:
+        known.clear()
+        new = list(wanted)
+    for at in range(0, len(new), 20_000):
+        part = new[at : at + 20_000]
+        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+            known[w] = array("H", e.ids).tobytes()
+    return [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)]
+
+
+def _texts(extra: bytes, facts: np.ndarray, end_id: int) -> list[np.ndarray]:
+    """The ids of each document of a block, with the end id."""
+    raw = np.frombuffer(unpack(extra), "<u2")
+    ends = np.cumsum(facts[:, 1].astype(np.int64) // 2)
+    return np.split(np.insert(raw, ends, end_id), (ends + np.arange(1, len(ends) + 1))[:-1])
 
 
 class _Counts(Lookup):
@@ -248,10 +307,9 @@ class _Counts(Lookup):
 def score_documents(docs: DataFrame, path: str, end_id: int, training: Callable[[int | None], bool], settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score for each row. training: whether a document of this id is learned from."""
     s = settings or Settings()
-    end = np.array([end_id], "<u2").tobytes()
 
-    def ids_of(texts: list[str]) -> list[bytes]:
-        return [np.frombuffer(b, "<u4").astype("<u2").tobytes() + end for b in encode(texts, path)]
+    def ids_of(found: list[bytes]) -> list[bytes]:
+        return word_ids(found, path)
 
     def words(value: str) -> tuple[list, tuple]:
         found = value.encode().lower().split()
@@ -266,7 +324,7 @@ def score_documents(docs: DataFrame, path: str, end_id: int, training: Callable[
             for extra, posts, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 mark = marks(training, *unpack_ids(ids))
                 n += int(mark.sum())
-                used = [t for t, m in zip(_texts(extra, np.frombuffer(unpack(posts)).reshape(len(mark), -1)), mark, strict=True) if m]
+                used = [t for t, m in zip(_texts(extra, np.frombuffer(unpack(posts)).reshape(len(mark), -1), end_id), mark, strict=True) if m]
                 if used:
                     total += np.bincount(np.concatenate(used), minlength=s.vocabulary)
         at = np.flatnonzero(total)
@@ -284,7 +342,7 @@ def score_documents(docs: DataFrame, path: str, end_id: int, training: Callable[
             for extra, posts, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 values, nulls = unpack_ids(ids)
                 mark = marks(training, values, nulls)
-                for i, t in enumerate(_texts(extra, np.frombuffer(unpack(posts)).reshape(len(mark), -1))):
+                for i, t in enumerate(_texts(extra, np.frombuffer(unpack(posts)).reshape(len(mark), -1), end_id)):
                     if mark[i] and zlib.crc32(b"sample%d" % values[i]) < share * (1 << 32):
                         full = np.concatenate([[s.vocabulary], t])
                         for begin in sorted({int(b) for b in np.linspace(0, max(0, len(full) - s.window - 1), s.windows_a_doc)}):
@@ -302,7 +360,7 @@ def score_documents(docs: DataFrame, path: str, end_id: int, training: Callable[
             for r in rows:
                 n = len(unpack_ids(r["ids"])[0])
                 facts = np.frombuffer(unpack(r["posts"])).reshape(n, -1)
-                r["posts"] = pack(np.column_stack([facts, score(model, _texts(r["counts"], facts))]).tobytes())
+                r["posts"] = pack(np.column_stack([facts, score(model, _texts(r["counts"], facts, end_id))]).tobytes())
                 r["counts"] = None
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 

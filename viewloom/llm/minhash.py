@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from viewloom.llm.components import components
 from viewloom.llm.store import keep
+from viewloom.llm.worker import held, lean
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,6 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
 _ODD = np.random.default_rng(20).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -69,7 +69,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes. A-Z are lowered; words are cut at ASCII white space."""
     found = (text or "").encode().lower().split()
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(held("words", _Words).__getitem__, found), np.uint64, len(found))
     if not len(h):
         return h
     if len(h) < words:
@@ -111,7 +111,7 @@ def sketches(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "tex
                 signatures.append(signature(found, a, b).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(signatures, pa.binary())], names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class long, signature binary")
+    return lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class long, signature binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewloom.llm.store import keep
+from viewloom.llm.worker import held, lean
 
 COMBINATIONS = 40_000
 #: Between a letter and other punctuation than an apostrophe the tokenizer always splits; so words with a comma need no entry of their own.
@@ -39,7 +40,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path)
 
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
@@ -47,7 +48,7 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
 
     For tokenizers that drop white space: texts are cut at ASCII white space and each distinct word is encoded once.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known = _tokenizer(path), held(("ids", path), dict)
     raw = [(t or "").encode() for t in texts]
     words = [(r if b"<|" in r else _JOINT.sub(b" ", r.lower())).split() for r in raw]
     new = list(set().union(*words).difference(known))
@@ -92,7 +93,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str =
             if keys:
                 yield pieces(keys, texts)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def combinations(h: np.ndarray, window: int, most: int = COMBINATIONS) -> np.ndarray:

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewloom.llm.worker import lean
+
 BLOCK_DOCS = 4096
 BLOCK_CHARS = 8 << 20
 #: A row with null terms is about the block's documents: posts holds their facts, ids their ids, counts what else was kept of them.
@@ -74,13 +76,19 @@ class _Block:
         self.terms: list[np.ndarray] = []
         self.facts: list[tuple] = []
         self.ids: list = []
-        self.extra: list[bytes] = []
         self.chars = 0
 
-    def rows(self, block: int, buckets: int, settled: Callable | None, mark: Callable | None) -> Iterator[tuple]:
+    def rows(self, block: int, buckets: int, settled: Callable | None, mark: Callable | None, extra: Callable | None) -> Iterator[tuple]:
         n = len(self.ids)
         names = list(self.local)
         facts = np.array(self.facts, np.float64).reshape(n, -1)
+        kept = None
+        if extra:
+            of = extra(names)
+            texts = [b"".join(map(of.__getitem__, t.tolist())) for t in self.terms]
+            facts = np.column_stack([facts, [len(t) for t in texts]])
+            kept = pack(b"".join(texts))
+            del of, texts
         ids = np.concatenate(self.terms) if self.terms else np.zeros(0, np.int32)
         where = np.repeat(np.arange(n), [len(t) for t in self.terms])
         if settled:
@@ -111,16 +119,16 @@ class _Block:
             if len(here):
                 span = slice(ends[lo], ends[hi])
                 yield b, block, pack(SEPARATOR.join([raw[order[i]] for i in here])), pack(counts[here].tobytes()), pack_posts(df[here], docs[span], freqs[span]), None
-        extra = pack(b"".join(self.extra)) if self.extra else None
-        yield zlib.crc32(block.to_bytes(8, "little")) % buckets, block, None, extra, pack(facts.tobytes()), pack_ids(self.ids)
+        yield zlib.crc32(block.to_bytes(8, "little")) % buckets, block, None, kept, pack(facts.tobytes()), pack_ids(self.ids)
 
 
-def postings(docs: DataFrame, split: Callable[[str], tuple[list, tuple]], buckets: int, settled: Callable[[], frozenset] | None = None, mark: Callable[[list], Sequence[bool]] | None = None, key: str = "doc_id", text: str = "text", extra: Callable[[list[str]], list[bytes]] | None = None) -> DataFrame:
+def postings(docs: DataFrame, split: Callable[[str], tuple[list, tuple]], buckets: int, settled: Callable[[], frozenset] | None = None, mark: Callable[[list], Sequence[bool]] | None = None, key: str = "doc_id", text: str = "text", extra: Callable[[list], list[bytes]] | None = None) -> DataFrame:
     """Rows of SCHEMA. split: a text's terms, as they come, and facts (numbers, as many for each text); null texts are empty.
 
     settled: terms that are not dealt; how often a document has them is its last fact. counts: of each term the documents
     in the block, or with ``mark``, which says of ids whether they are marked, the frequency in marked documents. extra:
-    of a list of texts the bytes to keep of each; their lengths become the last fact but ``settled``'s.
+    what to keep of each of a block's distinct terms; of a document the bytes for its terms, as they come, are kept, and
+    their length is its last fact but ``settled``'s.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,37 +136,25 @@ def postings(docs: DataFrame, split: Callable[[str], tuple[list, tuple]], bucket
         done = settled() if settled else None
 
         def out() -> pa.RecordBatch:
-            rows = list(held.rows(block, buckets, done, mark))
+            rows = list(held.rows(block, buckets, done, mark, extra))
             kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], NAMES)
 
-        def add(keys: list, values: list[str]) -> None:
-            for i, value, kept in zip(keys, values, extra(values) if extra else [b""] * len(keys), strict=True):
+        for batch in batches:
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                value = value.as_py() or ""
                 terms, facts = split(value)
                 held.terms.append(np.fromiter(map(held.local.__getitem__, terms), np.int32, len(terms)))
-                held.facts.append((*facts, len(kept)) if extra else facts)
+                held.facts.append(facts)
                 held.ids.append(i)
                 held.chars += len(value)
-                if extra:
-                    held.extra.append(kept)
-
-        for batch in batches:
-            keys, values, size = [], [], 0
-            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(i)
-                values.append(value.as_py() or "")
-                size += len(values[-1])
-                if len(keys) + len(held.ids) >= BLOCK_DOCS or size + held.chars >= BLOCK_CHARS or size >= BLOCK_CHARS // 4:
-                    add(keys, values)
-                    keys, values, size = [], [], 0
                 if len(held.ids) >= BLOCK_DOCS or held.chars >= BLOCK_CHARS:
                     yield out()
                     block, held = block + 1, _Block()
-            add(keys, values)
         if held.ids:
             yield out()
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return lean(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
 class Lookup:
