@@ -168,18 +168,18 @@ def roll_up(graph: Graph, vertices: Sequence[Section], edges: Sequence[Section])
     n = len(vertices[0].groups[0])
     base = summarise(graph, vertices, edges)
     nodes, links = base.vertices, base.edges
-    added = lambda df, skip: [F.sum(c).alias(c) for c in df.columns if c not in skip]
+    added = lambda df, skip: [F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(c) for c in df.columns if c not in skip]]
     out = {}
     for level in range(n, 0, -1):
         chosen = list(itertools.combinations(range(n), level))
         choice = F.explode(F.array(*[F.struct(F.lit(",".join(map(str, c))).alias("parts"), F.array(*[F.get("group", F.lit(i)) for i in c]).alias("g")) for c in chosen]))
         spread = nodes.withColumn("c", choice).withColumns({"parts": F.col("c.parts"), "group": F.col("c.g")}).drop("c")
         spread = spread.withColumn("to", F.xxhash64("parts", "group"))
-        grouped = spread.groupBy("parts", "group", F.col("to").alias("vid")).agg(*added(spread, ("section", "vid", "group", "parts", "to")))
+        grouped = spread.groupBy("parts", "group", F.col("to").alias("vid")).agg(*added(spread, ("section", "vid", "group", "parts", "to"))).drop("__n")
         ends = spread.select("parts", "vid", "to")
         u, v = ends.select("parts", F.col("vid").alias("src"), F.col("to").alias("u")), ends.select("parts", F.col("vid").alias("dst"), F.col("to").alias("v"))
         moved = links.join(u, "src").join(v, ["parts", "dst"])
-        linked = moved.groupBy("parts", "u", "v", "section").agg(*added(links, ("src", "dst", "section"))).withColumnsRenamed({"u": "src", "v": "dst"})
+        linked = moved.groupBy("parts", "u", "v", "section").agg(*added(links, ("src", "dst", "section"))).drop("__n").withColumnsRenamed({"u": "src", "v": "dst"})
         out[level] = Summary(grouped, linked)
     return out
 
