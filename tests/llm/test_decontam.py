@@ -20,7 +20,7 @@ def test_cases(spark):
     assert {k[0] for k in got} == {0, 1, 2, 8, 11} and {k[1] for k in got} == {7}
     assert got[0, 7][0] and not got[1, 7][0] and got[0, 7][1] >= 20 and got[2, 7][1] < got[1, 7][1]
     assert contaminated(docs, items.limit(0)).collect() == [] and contaminated(docs.limit(0), items).collect() == []
-    small = spark.createDataFrame([(1, "He said: The small cat sat, on mats."), (2, "the small cat sat on")], "doc_id long, text string")
+    small = spark.createDataFrame([(1, "He said so. The small cat sat, on mats."), (2, "the small cat sat on")], "doc_id long, text string")
     assert [r.doc_id for r in contaminated(small, items).collect()] == [1]
 
 
