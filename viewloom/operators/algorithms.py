@@ -74,6 +74,10 @@ def _every(n: int, words: list[str]) -> list:
     return [F.lit((1 << min(63, n - 63 * k)) - 1).cast("bigint").alias(w) for k, w in enumerate(words)]
 
 
+#: Tables of new rows that are read together before they are written as one.
+MOST_PARTS = 8
+
+
 def hops(data: ViewInput, roots: Sequence[int], goals: Sequence[tuple[int, int]] | None = None) -> DataFrame:
     """ts, root, v, dist: the fewest edges from each root, in every view; a root reaches itself.
 
@@ -83,28 +87,31 @@ def hops(data: ViewInput, roots: Sequence[int], goals: Sequence[tuple[int, int]]
     edges, words = data.masked()
     spark = edges.sparkSession
     start = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "root long")
-    frontier = start.select("root", F.col("root").alias("v"), *_every(len(data.views), words))
-    frontier = seen = keep(frontier, "frontier")
+    frontier = keep(start.select("root", F.col("root").alias("v"), *_every(len(data.views), words)), "frontier")
     reached = [frontier.withColumn("dist", F.lit(0).cast("long"))]
     targets = spark.createDataFrame(list(dict.fromkeys(goals)), "root long, v long") if goals else None
+    parts = [frontier]  # what was seen: a few tables, joined into one now and then
     dist = 0
     while True:
         dist += 1
+        merged = reduce(DataFrame.unionByName, parts).groupBy("root", "v").agg(*[F.bit_or(w).alias(w) for w in words])
+        if len(parts) > MOST_PARTS:
+            merged = keep(merged, "seen")
+            parts = [merged]
         active = frontier
         if targets is not None:
-            got = seen.join(F.broadcast(targets), ["root", "v"], "right").groupBy("root").agg(*[F.bit_and(F.coalesce(w, F.lit(0).cast("bigint"))).alias(f"d{w}") for w in words])
+            got = merged.join(F.broadcast(targets), ["root", "v"], "right").groupBy("root").agg(*[F.bit_and(F.coalesce(w, F.lit(0).cast("bigint"))).alias(f"d{w}") for w in words])
             active = frontier.join(F.broadcast(got), "root").select("root", "v", *[F.col(w).bitwiseAND(F.bitwise_not(f"d{w}")).alias(w) for w in words]).filter(_any(words))
         step = active.join(edges.select(F.col("src").alias("v"), "dst", *[F.col(w).alias(f"e{w}") for w in words]), "v")
         step = step.select("root", F.col("dst").alias("v"), *[F.col(w).bitwiseAND(F.col(f"e{w}")).alias(w) for w in words]).filter(_any(words))
         step = step.groupBy("root", "v").agg(*[F.bit_or(w).alias(w) for w in words])
-        new = step.join(seen.select("root", "v", *[F.col(w).alias(f"s{w}") for w in words]), ["root", "v"], "left")
+        new = step.join(merged.select("root", "v", *[F.col(w).alias(f"s{w}") for w in words]), ["root", "v"], "left")
         new = new.select("root", "v", *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"s{w}", F.lit(0).cast("bigint")))).alias(w) for w in words]).filter(_any(words))
         frontier = keep(new, "frontier")
         if frontier.isEmpty():
-            break
+            return _expand(reduce(DataFrame.unionByName, reached), words, data.views)
         reached.append(frontier.withColumn("dist", F.lit(dist).cast("long")))
-        seen = keep(seen.unionByName(frontier).groupBy("root", "v").agg(*[F.bit_or(w).alias(w) for w in words]), "seen")
-    return _expand(reduce(DataFrame.unionByName, reached), words, data.views)
+        parts.append(frontier)
 
 
 class Computation:
@@ -172,15 +179,19 @@ class Sssp(Computation):
         if self.weight_cap < 1:
             raise InitError("sssp property 'weight_cap' should be 1 or more")
         links = data.links().select("ts", "src", "dst", (F.pmod(F.col("src") + F.col("dst"), F.lit(self.weight_cap)) + 1).cast("long").alias("weight"))
-        improved = best = keep(data.each_view(links.sparkSession).select("ts", F.lit(self.root).cast("long").alias("v"), F.lit(0).cast("long").alias("dist")), "best")
+        improved = keep(data.each_view(links.sparkSession).select("ts", F.lit(self.root).cast("long").alias("v"), F.lit(0).cast("long").alias("dist")), "improved")
+        parts = [improved]
         while True:
+            best = reduce(DataFrame.unionByName, parts).groupBy("ts", "v").agg(F.min("dist").alias("dist"))
+            if len(parts) > MOST_PARTS:
+                best = keep(best, "best")
+                parts = [best]
             step = improved.join(links, (improved.ts == links.ts) & (improved.v == links.src)).select(links.ts, F.col("dst").alias("v"), (F.col("dist") + F.col("weight")).alias("dist"))
             step = step.groupBy("ts", "v").agg(F.min("dist").alias("dist"))
-            old = best.withColumnRenamed("dist", "old")
-            improved = keep(step.join(old, ["ts", "v"], "left").filter("old IS NULL OR dist < old").select("ts", "v", "dist"), "improved")
+            improved = keep(step.join(best.withColumnRenamed("dist", "old"), ["ts", "v"], "left").filter("old IS NULL OR dist < old").select("ts", "v", "dist"), "improved")
             if improved.isEmpty():
                 return _one(best)
-            best = keep(best.unionByName(improved).groupBy("ts", "v").agg(F.min("dist").alias("dist")), "best")
+            parts.append(improved)
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -218,14 +229,21 @@ class Wcc(Computation):
 
 
 def _ancestors(links: DataFrame) -> DataFrame:
-    """ts, v, label: the least vertex from which v is reached along ``links`` (ts, src, dst), itself included."""
-    changed = labels = keep(links.select("ts", F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("label", F.col("v")), "labels")
+    """ts, v, label: the least vertex from which v is reached along ``links`` (ts, src, dst), itself included.
+
+    A vertex takes the least label of those that link to it, and the label of its label, whose ancestors are its own; so
+    long paths take few rounds.
+    """
+    labels = keep(links.select("ts", F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("label", F.col("v")), "labels")
+    total = None
     while True:
-        told = changed.select("ts", F.col("v").alias("src"), "label").join(links, ["ts", "src"]).groupBy("ts", F.col("dst").alias("v")).agg(F.min("label").alias("told"))
-        changed = keep(told.join(labels, ["ts", "v"]).filter("told < label").select("ts", "v", F.col("told").alias("label")), "told")
-        if changed.isEmpty():
+        told = labels.withColumnRenamed("v", "src").join(links, ["ts", "src"]).select("ts", F.col("dst").alias("v"), "label")
+        jumped = labels.select("ts", F.col("v").alias("to"), F.col("label").alias("v")).join(labels, ["ts", "v"]).select("ts", F.col("to").alias("v"), "label")
+        labels = keep(labels.unionByName(told).unionByName(jumped).groupBy("ts", "v").agg(F.min("label").alias("label")), "labels")
+        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == total:  # labels only fall
             return labels
-        labels = keep(labels.unionByName(changed).groupBy("ts", "v").agg(F.min("label").alias("label")), "labels")
+        total = now
 
 
 def _trimmed(links: DataFrame) -> DataFrame:
@@ -247,7 +265,7 @@ class Scc(Computation):
         size = left.count()
         while size:
             for _ in range(2):  # along the edges, then against them; each pass turns them round
-                labels = keep(_ancestors(left), "ancestors")
+                labels = _ancestors(left)
                 a, b = labels.select("ts", F.col("v").alias("src"), F.col("label").alias("a")), labels.select("ts", F.col("v").alias("dst"), F.col("label").alias("b"))
                 left = keep(left.join(a, ["ts", "src"]).join(b, ["ts", "dst"]).filter("a = b").select("ts", F.col("dst").alias("src"), F.col("src").alias("dst")), "cycles")
             now = left.count()
