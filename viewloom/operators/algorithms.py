@@ -246,6 +246,12 @@ def _ancestors(links: DataFrame) -> DataFrame:
         total = now
 
 
+def _same(links: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The links whose ends have the same label, with it."""
+    a, b = labels.select("ts", F.col("v").alias("src"), F.col("label").alias(name)), labels.select("ts", F.col("v").alias("dst"), F.col("label").alias("__other"))
+    return links.join(a, ["ts", "src"]).join(b, ["ts", "dst"]).filter(F.col(name) == F.col("__other")).drop("__other")
+
+
 def _trimmed(links: DataFrame) -> DataFrame:
     """Links without those at a vertex that none enters or none leaves, which no cycle holds; a few rounds suffice to help."""
     for _ in range(3):
@@ -261,20 +267,18 @@ class Scc(Computation):
     name, columns = "scc", ("src", "dst")
 
     def run(self, data: ViewInput) -> DataFrame:
-        left = _trimmed(data.links())
-        size = left.count()
-        while size:
-            for _ in range(2):  # along the edges, then against them; each pass turns them round
-                labels = _ancestors(left)
-                a, b = labels.select("ts", F.col("v").alias("src"), F.col("label").alias("a")), labels.select("ts", F.col("v").alias("dst"), F.col("label").alias("b"))
-                left = keep(left.join(a, ["ts", "src"]).join(b, ["ts", "dst"]).filter("a = b").select("ts", F.col("dst").alias("src"), F.col("src").alias("dst")), "cycles")
-            now = left.count()
-            if now == size:
-                break
-            size = now
-        loops = data.links().filter("src = dst")
-        inside = left.unionByName(loops.select("ts", "src", "dst")).distinct()
-        return data.all().join(inside, ["ts", "src", "dst"], "left_semi").groupBy("ts", "src", "dst").agg(F.count("*").alias("diff"))
+        """Each round colours a vertex by its least ancestor, keeps edges of one colour, and colours them against their
+        direction. Edges with the same colour both ways are the component of that vertex and are done; the rest go on."""
+        inside = [data.links().filter("src = dst").select("ts", "src", "dst")]
+        left = _trimmed(data.links().filter("src <> dst"))
+        while not left.isEmpty():
+            forth = keep(_same(left, _ancestors(left), "f"), "colours")
+            turned = forth.select("ts", F.col("dst").alias("src"), F.col("src").alias("dst"))
+            both = keep(_same(forth, _ancestors(turned), "b"), "colours")
+            inside.append(both.filter("f = b").select("ts", "src", "dst"))
+            left = both.filter("f <> b").select("ts", "src", "dst")
+        cycles = reduce(DataFrame.unionByName, inside)
+        return data.all().join(cycles, ["ts", "src", "dst"], "left_semi").groupBy("ts", "src", "dst").agg(F.count("*").alias("diff"))
 
 
 @register
