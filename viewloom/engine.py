@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from viewloom.errors import CollectionError, ComputationError, EngineError, LoadGraphError, SerdeError
@@ -160,8 +160,11 @@ class Engine:
 
     def _show_data(self, name) -> str:
         found = self.collection(name)
-        sample = found.view_edges().groupBy("ts").agg(F.slice(F.array_sort(F.collect_set(F.struct("src", "dst"))), 1, 5).alias("edges")) if len(found.timestamps) else None
-        shown = {r["ts"]: r["edges"] for r in sample.collect()}
+        first = Window.partitionBy("ts").orderBy("src", "dst")
+        sample = found.view_edges().distinct().withColumn("n", F.row_number().over(first)).filter("n <= 5")
+        shown: dict[int, list] = {}
+        for r in sample.orderBy("ts", "n").collect():
+            shown.setdefault(r["ts"], []).append(r)
         lines = []
         for i, (adds, dels, total) in enumerate(found.size_table()):
             edges = ",".join(f"({e['src']}, {e['dst']})" for e in shown.get(i, []))

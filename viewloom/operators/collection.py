@@ -145,10 +145,7 @@ def make_collection(graph: Graph, name: str, dimensions: Sequence[Sequence[Where
     words = [f"w{k}" for k in range(-(-len(stamps) // BITS))]
     places = list(range(1, len(stamps) + 1))
     if len(dimensions) == 1:
-        if not manual and len(stamps) >= 3:
-            places = order(distances(masked(holds[0]), words, len(stamps)))
-        views = [holds[0][p - 1] for p in places]
-        texts = [text_of(dimensions[0][p - 1]) for p in places]
+        views = holds[0]
     else:
         views, texts = [], []
         for ts in stamps.all:
@@ -158,6 +155,12 @@ def make_collection(graph: Graph, name: str, dimensions: Sequence[Sequence[Where
             views.append(both)
             texts.append(" and ".join(text_of(dimensions[d][i]) for d, i in enumerate(ts)))
     edges = keep(masked(views), "collection")
+    if len(dimensions) == 1:
+        if not manual and len(stamps) >= 3:
+            places = order(distances(edges, words, len(stamps)))
+            moved = mask_words([_bit(words, F.lit(p - 1)) == 1 for p in places])
+            edges = keep(edges.select("edge_id", "src", "dst", *moved), "collection")
+        texts = [text_of(dimensions[0][p - 1]) for p in places]
     return MaskCollection(name, stamps, texts, edges, words, places)
 
 
