@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.worker import lean
+from viewloom.llm.worker import held, lean
 
 UNKNOWN = "und"
 WINDOW = 192
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text", *others: str) ->
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = net.tables()
+        tables = held(("network", net.weights.tobytes()), net.tables)
         for batch in batches:
             pred, score = label(net, tables, batch.column(0).to_pylist())
             cols = [batch.column(0) if c == text else batch.column(1 + rest.index(c)) for c in others]

@@ -32,7 +32,7 @@ COMBINATIONS = 40_000
 #: Between a letter and other punctuation than an apostrophe the tokenizer always splits; so words with a comma need no entry of their own.
 _JOINT = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
 #: Distinct words whose ids a worker holds before it starts anew.
-CACHED = 800_000
+CACHED = 500_000
 
 
 @lru_cache(2)
@@ -87,7 +87,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str =
                 keys.append(k)
                 texts.append(t.as_py())
                 size += len(texts[-1] or "")
-                if size > 4 << 20:
+                if size > 2 << 20:
                     yield pieces(keys, texts)
                     keys, texts, size = [], [], 0
             if keys:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -11,9 +15,14 @@ _held: dict = {}
 
 
 def held(name: Hashable, make: Callable):
-    """A worker's table of this name, such as words and their hashes. Workers live through many stages, so they hold one at a time."""
+    """A worker's table of this name, such as words and their hashes. Workers live through many stages, so they hold one at a
+    time, and give back what the one before took."""
     if name not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
         _held[name] = make()
     return _held[name]
 
