@@ -220,7 +220,7 @@ def _window_scores(m: Model, tables: dict, x: np.ndarray, y: np.ndarray, skip: i
     return (out * np.float32(1 / np.log(10))).reshape(n, t - skip)
 
 
-def score(m: Model, texts: list[np.ndarray], chunk: int = 96) -> np.ndarray:
+def score(m: Model, texts: list[np.ndarray], chunk: int = 256) -> np.ndarray:
     """log10 probability of each text (its ids, the end id included); each id is scored once."""
     s = m.s
     tables = m.tables() | {"h": m.p["E"] @ m.p["W1"], "ph": m.p["P"] @ m.p["W1"] + m.p["b1"]}
