@@ -22,6 +22,8 @@ from viewloom.llm.store import keep
 
 #: Texts whose most likely language has less than this are in none of the learned languages.
 LEAST_SCORE = 0.3
+#: Words whose ids a worker holds; workers that went through other stages have less to spare.
+WORDS_HELD = 300_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in training sequences."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, cached=WORDS_HELD)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

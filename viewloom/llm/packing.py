@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewloom.llm.store import keep
-from viewloom.llm.worker import held, lean
+from viewloom.llm.worker import Recent, held, lean
 
 COMBINATIONS = 40_000
 #: Between a letter and other punctuation than an apostrophe the tokenizer always splits; so words with a comma need no entry of their own.
 _JOINT = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
-#: Distinct words whose ids a worker holds before it starts anew.
-CACHED = 500_000
+#: Distinct words whose ids a worker holds, about 200 bytes each.
+CACHED = 800_000
 
 
 @lru_cache(2)
@@ -43,26 +43,27 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode(texts: list[str | None], path: str) -> list[bytes]:
+def encode(texts: list[str | None], path: str, cached: int = CACHED) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, without special tokens around it.
 
     For tokenizers that drop white space: texts are cut at ASCII white space and each distinct word is encoded once.
     """
-    tokenizer, known = _tokenizer(path), held(("ids", path), dict)
+    tokenizer = _tokenizer(path)
+
+    def ids(new: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(new), 20_000):
+            found = tokenizer.encode_batch_fast([w.decode() for w in new[at : at + 20_000]], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
+
     raw = [(t or "").encode() for t in texts]
     words = [(r if b"<|" in r else _JOINT.sub(b" ", r.lower())).split() for r in raw]
-    new = list(set().union(*words).difference(known))
-    if len(known) + len(new) > CACHED:
-        known.clear()
-        new = list(set().union(*words))
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    known = held(("ids", path, cached), lambda: Recent(cached)).of(set().union(*words), ids)
     return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
-def cut_pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str = "doc_id", text: str = "text", cached: int = CACHED) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, and part and rank: the input partition, and the rank in it among pieces of this length."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"]
     end = np.array([end_id], "<u4").tobytes()
@@ -72,7 +73,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str =
 
         def pieces(keys: list, texts: list) -> pa.RecordBatch:
             out: list[tuple] = []
-            for k, ids in zip(keys, encode(texts, path), strict=True):
+            for k, ids in zip(keys, encode(texts, path, cached), strict=True):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
@@ -87,7 +88,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str =
                 keys.append(k)
                 texts.append(t.as_py())
                 size += len(texts[-1] or "")
-                if size > 2 << 20:
+                if size > 4 << 20:
                     yield pieces(keys, texts)
                     keys, texts, size = [], [], 0
             if keys:
@@ -258,9 +259,9 @@ def make_plan(counts: dict[int, int], window: int) -> Plan:
     return Plan(*(np.array([s[i] for s in slots], np.int64) for i in range(4)))
 
 
-def pack(docs: DataFrame, path: str, end_id: int, window: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int, window: int = 4096, key: str = "doc_id", text: str = "text", cached: int = CACHED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = keep(cut_pieces(docs, path, end_id, window, key, text), "pieces")
+    pieces = keep(cut_pieces(docs, path, end_id, window, key, text, cached), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.max("rank").alias("last")).select("part", "length", (F.col("last") + 1).alias("n"))
     plan = make_plan({r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}, window)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -27,6 +27,25 @@ def held(name: Hashable, make: Callable):
     return _held[name]
 
 
+class Recent:
+    """Values by key, of keys asked for lately: at most about ``most``, in two generations."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def of(self, keys: set, make: Callable[[list], list]) -> dict:
+        """A dict that has all ``keys``; values that aren't held are made, in one call."""
+        if len(self.new) > self.most // 2:
+            self.old, self.new = self.new, {}
+        missing = keys.difference(self.new)
+        if missing:
+            old, new = self.old, self.new
+            fresh = [k for k in missing if k not in old]
+            new.update((k, old[k]) for k in missing if k in old)
+            new.update(zip(fresh, make(fresh), strict=True))
+        return self.new
+
+
 def lean(df: DataFrame, size: str = "16m") -> DataFrame:
     """``df``, given to Python in batches of bounded size; a size that was set by hand stays."""
     conf = df.sparkSession.conf
