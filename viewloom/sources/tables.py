@@ -17,8 +17,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
     """Suppliers and customers, an edge from supplier to customer for each line of an order."""
     places = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    customers = _read(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-    suppliers = _read(spark, sf_dir, "supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
+    customers = _read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    suppliers = _read(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     vertices = customers.select(F.col("c_custkey").cast("long").alias("id"), F.lit("C").alias("kind"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.col("r_name").alias("region")).unionByName(
         suppliers.select((F.col("s_suppkey") + SUPPLIERS).cast("long").alias("id"), F.lit("S").alias("kind"), F.lit(None).cast("string").alias("segment"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
     )
