@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from viewloom.llm.minhash import _ODD, _mix
 from viewloom.llm.store import keep
-from viewloom.llm.worker import held, lean
+from viewloom.llm.worker import held, lean, trimmed
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,7 @@ def _windows(rows: DataFrame, key: str, text: str, widths: list[int], s: Setting
                     out += [(h, i, b, slot_values(template, at, words, b, width), len(template)) for h, b in zip(signed, begins.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k == 3 else pa.int64()) for k in range(5)], names)
 
-    return lean(rows).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "hash long, id long, place long, slots string, words long")
+    return lean(rows).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "hash long, id long, place long, slots string, words long")
 
 
 def _pairs(doc: dict[int, tuple[str, str]], item: dict[int, tuple[str, str]], shift: int, lo: int, hi: int, seen: tuple[dict, dict]) -> bool:

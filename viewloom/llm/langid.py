@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.worker import held, lean
+from viewloom.llm.worker import held, lean, trimmed
 
 UNKNOWN = "und"
 WINDOW = 192
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text", *others: str) ->
             cols = [batch.column(0) if c == text else batch.column(1 + rest.index(c)) for c in others]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def label(net: Network, tables: list, texts: list[str | None], chunk: int = 2048) -> tuple[list[str], list[float]]:

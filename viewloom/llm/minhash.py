@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from viewloom.llm.components import components
 from viewloom.llm.store import keep
-from viewloom.llm.worker import held, lean
+from viewloom.llm.worker import held, lean, trimmed
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -111,7 +111,7 @@ def sketches(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "tex
                 signatures.append(signature(found, a, b).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(signatures, pa.binary())], names)
 
-    return lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class long, signature binary")
+    return lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "doc_id long, n_shingles long, class long, signature binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -135,7 +135,7 @@ def _passing(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
                 u, v = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, s.minima) for i in (2, 3))
                 yield batch.select(["u", "v"]).filter(pa.array((u == v).mean(1) >= s.percent / 100 - s.slack))
 
-    return sized.select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
+    return sized.select("u", "v", "s_u", "s_v").mapInArrow(trimmed(run), "u long, v long")
 
 
 def _texts(classes: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -167,7 +167,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings)
                 ok.append(last[0] == v and _class(mine) == u and similar(mine, last[1], s.percent))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "t_u", "t_v").mapInArrow(run, "u long, v long").distinct()
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "t_u", "t_v").mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def _sets(classes: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -180,7 +180,7 @@ def _sets(classes: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) ->
             items = pa.array([np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), items], ["class", "items"]).filter(right)
 
-    return _texts(classes, reps, docs, s).mapInArrow(run, "class long, items binary").dropDuplicates(["class"])
+    return _texts(classes, reps, docs, s).mapInArrow(trimmed(run), "class long, items binary").dropDuplicates(["class"])
 
 
 def cell_links(band: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, own: np.ndarray, sigs: np.ndarray, items: list[np.ndarray], s: Settings) -> list[tuple[int, int]]:
@@ -261,7 +261,7 @@ def _cells(members: DataFrame, s: Settings) -> DataFrame:
                 group.append(tuple(row))
         yield out()
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def links(sketched: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:

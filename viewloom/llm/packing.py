@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewloom.llm.store import keep
-from viewloom.llm.worker import Recent, held, lean
+from viewloom.llm.worker import Recent, held, lean, trimmed
 
 COMBINATIONS = 40_000
 #: Between a letter and other punctuation than an apostrophe the tokenizer always splits; so words with a comma need no entry of their own.
@@ -94,7 +94,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str =
             if keys:
                 yield pieces(keys, texts)
 
-    return lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), ", ".join(f"{n} long" for n in names))
 
 
 def combinations(h: np.ndarray, window: int, most: int = COMBINATIONS) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,14 +19,31 @@ def held(name: Hashable, make: Callable):
     time, and give back what the one before took."""
     if name not in _held:
         _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
         _held[name] = make()
     return _held[name]
 
 
+def give_back() -> None:
+    """Return free memory to the system; workers would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function on a task's batches that gives memory back at the task's end."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
 class Recent:
     """Values by key, of keys asked for lately: at most about ``most``, in two generations."""
 
@@ -46,7 +63,7 @@ class Recent:
         return self.new
 
 
-def lean(df: DataFrame, size: str = "16m") -> DataFrame:
+def lean(df: DataFrame, size: str = "8m") -> DataFrame:
     """``df``, given to Python in batches of bounded size; a size that was set by hand stays."""
     conf = df.sparkSession.conf
     if conf.get(BATCH) == "67108864b":
