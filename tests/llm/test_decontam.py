@@ -35,3 +35,26 @@ def test_runs():
     assert consistent_runs([0, 1, 2, 3], 8, {11: ("#", "4"), 15: ("#", "4"), 19: ("@", "bob")}, item, 10) == [(0, 11)]
     assert consistent_runs([0, 1], 8, {11: ("#", "4"), 15: ("#", "5")}, item, 10) == []
     assert consistent_runs([0, 1, 5, 6], 4, {}, {}, 0) == [(0, 5), (5, 5)]
+
+
+DENSE = {
+    20: "A train leaves Boston at 9:30 and travels 120 miles at 60 mph. Another leaves Denver at 10:15 and travels 200 miles at 80 mph. Which arrives first?",
+    21: "Name them: Paris, London, Rome, Berlin, Madrid, Vienna, Lisbon, Dublin, Athens, Oslo, Prague, Warsaw",
+    22: "Compute 12 + 45 + 78 + 3 + 99 + 4",
+    23: "Der Zug fährt vom Bahnhof in Köln nach Hamburg, und die Fahrt dauert 4 Stunden und 20 Minuten mit Halt in Bremen und Münster",
+}
+
+
+def test_dense_items(spark):
+    noise = "lorem ipsum dolor sit amet quis nulla"
+    rows = [(i, f"{noise} {t} {noise}") for i, t in DENSE.items()]
+    # other values: where enough of the words are literal the item is found, else it is another text
+    rows += [(120, f"{noise}. {DENSE[20]}".replace("Boston", "Austin").replace("Denver", "Chicago").replace("120", "130").replace("200", "210").replace("9:30", "7:45").replace("10:15", "8:05")), (121, "see Rome, Oslo, Paris, Bern, Riga, Kiev, Minsk, Sofia, London, Prague, Madrid, Dublin, Athens"), (122, "Compute 11 + 46 + 79 + 2 + 98 + 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(list(DENSE.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in contaminated(docs, items).collect()}
+    assert got == {**{(i, i): True for i in DENSE}, (120, 20): False}
+
+
+def test_runs_go_on_over_windows_without_hashes():
+    assert consistent_runs([0, 3, 9], 8, {}, {}, 0) == [(0, 17)]

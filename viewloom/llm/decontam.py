@@ -1,11 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders and other words lose case and outer punctuation. Windows of templates
-are hash-joined between benchmark items and documents; windows need most of their words to be literal. Matches that
-follow each other in both texts form runs, and within a run every slot value of the item must stand for one value of the
-document, and the other way round: that keeps questions with new numbers or names and drops chance matches. A document is
-contaminated by an item if a consistent run has ``run`` words, or the whole of a shorter item, or if consistent runs
-cover ``share`` of the item's windows.
+are hash-joined between benchmark items and documents if most of their words are literal; a document's other windows are
+joined by their words, slot values included, to all windows of the items. Matches that overlap in both texts form runs,
+and within a run every slot value of the item must stand for one value of the document, and the other way round: that
+keeps questions with new numbers or names and drops chance matches. A document is contaminated by an item if a
+consistent run has ``run`` words, or the whole of a shorter item, or if consistent runs cover ``share`` of the item's
+windows, or of those of its windows that are mostly literal.
 
 A bitmap of the benchmark's window hashes, of bounded size, spares most document windows the join; with more windows than
 ``filtered`` there is no bitmap and all are joined. Null and empty texts match nothing, an empty benchmark gives no rows,
@@ -48,9 +49,22 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[a-z]{0,3})")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+class _Literal(dict):
+    """Word -> hash of its lowered core, whatever it stands for."""
+
+    def __missing__(self, raw: bytes) -> int:
+        out = xxhash.xxh3_64_intdigest(_OUTER.sub("", raw.decode("utf-8", "replace")).lower()) & ~7
+        if len(self) < 100_000:
+            self[raw] = out
+        return out
+
+
 class _Canon(dict):
     """Word -> hash of its canonical form, with flags in the lowest bits; 0 for a word of punctuation only."""
 
+    def __init__(self) -> None:
+        self.literal = _Literal()
+
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
         core = _OUTER.sub("", word)
@@ -70,29 +84,50 @@ class _Canon(dict):
         return out
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Template word hashes, the place of each among the text's words, and the words. A capital not at a sentence's begin is a name."""
+def _read(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """As ``canonical``, and the hashes that literal words have; those of names are their own, those of numbers and units their slots'."""
     words = (text or "").encode().split()
     found = np.fromiter(map(held("canonical", _Canon).__getitem__, words), np.uint64, len(words))
     ends = (found & np.uint64(_ENDS)) > 0
     starts = np.concatenate([[True], ends[:-1]])[: len(found)]
     name = ((found & np.uint64(_CAPITAL)) > 0) & ~starts
-    bare = np.where(name, np.uint64(NAME), found & ~np.uint64(7))
-    at = np.flatnonzero(bare)
-    return bare[at], at, words
+    own = found & ~np.uint64(7)
+    at = np.flatnonzero(own)
+    return np.where(name, np.uint64(NAME), own)[at], at, words, own[at]
+
+
+def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Template word hashes, the place of each among the text's words, and the words. A capital not at a sentence's begin is a name."""
+    return _read(text)[:3]
 
 
-def window_hashes(template: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and begins of the windows that have enough literal words."""
+def literals(own: np.ndarray, at: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Hashes of the words with the values of their slots."""
+    out, known = own.copy(), held("canonical", _Canon).literal
+    slots = np.flatnonzero((own == np.uint64(NUM)) | (own == np.uint64(UNIT)))
+    out[slots] = np.fromiter((known[words[i]] for i in at[slots].tolist()), np.uint64, len(slots))
+    return out
+
+
+def window_hashes(template: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and begins of the windows that have enough literal words, and begins of the others."""
     n = len(template) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     out = np.full(n, np.uint64(width))
     for j in range(width):
         out = _mix(out * _ODD[j] + template[j : n + j])
     slots = np.concatenate([[0], np.cumsum(np.isin(template, np.array([NUM, NAME, UNIT], np.uint64)))])
-    enough = np.flatnonzero(width - (slots[width:] - slots[:-width]) >= min(literal, width))
-    return out[enough], enough
+    enough = width - (slots[width:] - slots[:-width]) >= min(literal, width)
+    return out[enough], np.flatnonzero(enough), np.flatnonzero(~enough)
+
+
+def literal_hashes(words: np.ndarray, width: int, begins: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at ``begins`` by ``literals``; no template has them."""
+    out = np.full(len(begins), np.uint64((1 << 32) + width))
+    for j in range(width):
+        out = _mix(out * _ODD[j] + words[begins + j])
+    return out
 
 
 _KIND = {NUM: "#", NAME: "@", UNIT: "~"}
@@ -108,28 +143,45 @@ def slot_values(template: np.ndarray, at: np.ndarray, words: list[bytes], begin:
     return "\n".join(out)
 
 
-def _windows(rows: DataFrame, key: str, text: str, widths: list[int], s: Settings, whole: bool, bits: np.ndarray | None) -> DataFrame:
-    """hash, id, place, slots of windows; with ``whole`` those of items (a shorter item is one window) and n, else those the bitmap lets pass."""
-    names = ["hash", "id", "place", "slots", "words"]
+#: How a window is hashed: by its template, or by its words with the values of their slots.
+TEMPLATE, LITERAL = 0, 1
+
+
+def _windows(rows: DataFrame, key: str, text: str, widths: dict[int, list[int]], s: Settings, whole: bool, bits: np.ndarray | None) -> DataFrame:
+    """hash, id, how, place, slots of windows, and of a text's words, windows and usable (those that can match) for ``how``.
+
+    With ``whole`` those of items (a shorter item is one window), hashed by words too, else those the bitmap lets pass,
+    hashed by words only where the template has too few literal ones.
+    """
+    names = ["hash", "id", "how", "place", "slots", "words", "windows", "usable"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                template, at, words = canonical(value.as_py())
-                for width in [min(s.window, len(template))] if whole else widths:
-                    if width < s.literal:
+                template, at, words, own = _read(value.as_py())
+                plain = None
+                short = [min(s.window, len(template))]
+                for width in short if whole else sorted({*widths[TEMPLATE], *widths[LITERAL]}):
+                    if width < s.literal or width > len(template):
                         continue
-                    hashes, begins = window_hashes(template, width, s.literal)
-                    if bits is not None and len(hashes):
-                        bit = (hashes % np.uint64(len(bits) * 8)).astype(np.int64)
-                        hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                        hashes, begins = hashes[hit], begins[hit]
-                    signed = hashes.view(np.int64).tolist()
-                    out += [(h, i, b, slot_values(template, at, words, b, width), len(template)) for h, b in zip(signed, begins.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k == 3 else pa.int64()) for k in range(5)], names)
-
-    return lean(rows).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "hash long, id long, place long, slots string, words long")
+                    n = len(template) - width + 1
+                    hashes, begins, rich = window_hashes(template, width, s.literal)
+                    made = [(TEMPLATE, hashes, begins, len(begins))]
+                    if whole or len(rich):
+                        plain = literals(own, at, words) if plain is None else plain
+                        rich = np.arange(n) if whole else rich
+                        made.append((LITERAL, literal_hashes(plain, width, rich), rich, n))
+                    for how, hashes, begins, usable in made:
+                        if bits is not None and len(hashes):
+                            bit = (hashes % np.uint64(len(bits) * 8)).astype(np.int64)
+                            hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                            hashes, begins = hashes[hit], begins[hit]
+                        signed = hashes.view(np.int64).tolist()
+                        out += [(h, i, how, b, slot_values(template, at, words, b, width), len(template), n, usable) for h, b in zip(signed, begins.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k == 4 else pa.int64()) for k in range(8)], names)
+
+    return lean(rows).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "hash long, id long, how long, place long, slots string, words long, windows long, usable long")
 
 
 def _pairs(doc: dict[int, tuple[str, str]], item: dict[int, tuple[str, str]], shift: int, lo: int, hi: int, seen: tuple[dict, dict]) -> bool:
@@ -144,11 +196,14 @@ def _pairs(doc: dict[int, tuple[str, str]], item: dict[int, tuple[str, str]], sh
 
 
 def consistent_runs(places: list[int], width: int, doc: dict, item: dict, shift: int) -> list[tuple[int, int]]:
-    """(first word, words) of the longest runs of consecutive windows whose slots are consistent."""
+    """(first word, words) of the longest runs of windows whose slots are consistent, each overlapping the last one.
+
+    Windows in between, of too few literal words to be hashed, are covered by their neighbours.
+    """
     out: list[tuple[int, int]] = []
     begin, last, seen = None, None, ({}, {})
     for p in [*sorted(set(places)), None]:
-        follows = p is not None and last is not None and p == last + 1
+        follows = p is not None and last is not None and p < last + width
         if not (follows and _pairs(doc, item, shift, p, p + width, seen)):
             if begin is not None:
                 out.append((begin, last - begin + width))
@@ -167,9 +222,10 @@ def _slots(text: list[str]) -> dict[int, tuple[str, str]]:
 def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None = None, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, run_words (the longest consistent run), matched and windows (of the item's), verbatim (no slot differs in that run)."""
     s = settings or Settings()
-    wanted = keep(_windows(items, item_key, text, [], s, True, None), "items")
+    wanted = keep(_windows(items, item_key, text, {}, s, True, None), "items")
     n = wanted.count()
-    widths = sorted({min(s.window, r["words"]) for r in wanted.select(F.least(F.lit(s.window), "words").alias("words")).distinct().collect()})
+    lengths = wanted.select("how", F.least(F.lit(s.window), "words").alias("width")).distinct().collect()
+    widths = {how: sorted(r["width"] for r in lengths if r["how"] == how) for how in (TEMPLATE, LITERAL)}
     bits = None
     if n <= s.filtered:
         size = 1 << max(20, min(28, (64 * n).bit_length()))
@@ -178,27 +234,31 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None =
         flags[bit.astype(np.int64)] = True
         bits = np.packbits(flags, bitorder="little")
     found = _windows(docs.filter(F.col(key).isNotNull()), key, text, widths, s, False, bits)
-    mine = wanted.select("hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "words")
+    about = ["item_id", "how", "words", "windows", "usable"]
+    mine = wanted.select("hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), *[F.col("id").alias(c) if c == "item_id" else F.col(c) for c in about])
     # a short item's windows have another width, and so other hashes
     met = found.select("hash", F.col("id").alias("doc_id"), "place", "slots").join(mine, "hash").distinct()
     match = F.struct("item_place", "slots", "item_slots")
-    runs = met.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "words").agg(F.collect_list(match).alias("met"))
-    names = ["doc_id", "item_id", "run_words", "places", "verbatim", "words"]
+    runs = met.groupBy("doc_id", *about, (F.col("place") - F.col("item_place")).alias("shift")).agg(F.collect_list(match).alias("met"))
+    names = ["doc_id", *about, "run_words", "verbatim", "places", "hit"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, item_id, shift, words, got in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                width = min(s.window, words)
+            for *of, shift, got in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                width = min(s.window, of[3])
                 doc, item = _slots([m["slots"] for m in got]), _slots([m["item_slots"] for m in got])
-                for begin, size in consistent_runs([m["item_place"] for m in got], width, doc, item, shift):
+                places = {m["item_place"] for m in got}
+                for begin, size in consistent_runs(list(places), width, doc, item, shift):
                     same = all(doc.get(p + shift) == item[p] for p in range(begin, begin + size) if p in item)
-                    out.append((doc_id, item_id, size, list(range(begin, begin + size - width + 1)), same, words))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64())
+                    covered = range(begin, begin + size - width + 1)
+                    out.append((*of, size, same, list(covered), [p for p in covered if p in places]))
+            kinds = (*[pa.int64()] * 7, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names)
 
-    checked = runs.mapInArrow(check, "doc_id long, item_id long, run_words long, places array<long>, verbatim boolean, words long")
-    best = checked.groupBy("doc_id", "item_id", "words").agg(F.max(F.struct("run_words", "verbatim")).alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"))
-    windows = F.greatest(F.lit(1), F.col("words") - s.window + 1).cast("long")
-    out = best.select("doc_id", "item_id", F.col("best.run_words").alias("run_words"), "matched", windows.alias("windows"), F.col("best.verbatim").alias("verbatim"), "words")
-    return out.filter((F.col("run_words") >= F.least(F.lit(s.run), "words")) | (F.col("matched") >= s.share * F.col("windows"))).drop("words")
+    checked = runs.mapInArrow(check, "doc_id long, item_id long, how long, words long, windows long, usable long, run_words long, verbatim boolean, places array<long>, hit array<long>")
+    number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    each = checked.groupBy("doc_id", *about).agg(F.max(F.struct("run_words", "verbatim")).alias("longest"), number("places").alias("matched"), number("hit").alias("hit"))
+    enough = (F.col("longest.run_words") >= F.least(F.lit(s.run), "words")) | (F.col("matched") >= s.share * F.col("windows")) | (F.col("hit") >= s.share * F.col("usable"))
+    best = each.filter(enough).groupBy("doc_id", "item_id").agg(F.max(F.struct("longest", "matched", "windows")).alias("best"))
+    return best.select("doc_id", "item_id", "best.longest.run_words", "best.matched", "best.windows", "best.longest.verbatim")
