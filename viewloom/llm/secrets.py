@@ -116,6 +116,30 @@ def entropy_spans(text: Column, c: CharClass, allowed: tuple[str, ...] = ALLOWED
     return F.when(text.rlike(pattern), hot.cast(SPANS)).otherwise(_none())
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with line ends in the place of the spans, which may overlap; all other characters keep their places."""
+    seed = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.substr(text, (s["at"] + 1).cast("int"), F.greatest(F.lit(0), x["start"] - s["at"]).cast("int"))
+        return F.struct(F.concat(s["out"], gap, F.repeat(F.lit("\n"), F.greatest(F.lit(0), x["end"] - F.greatest(s["at"], x["start"])).cast("int"))).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+
+    whole = F.aggregate(F.array_sort(spans), seed, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def scan_all(docs: DataFrame, text: str = "text", *others: str) -> DataFrame:
+    """As ``scan``, but no span goes because it touches another: for secrets that are joined to a base hit.
+
+    What lies between base spans is searched once more by itself, so that a base hit on the allow-list hides no more than itself.
+    """
+    out = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    out = out.withColumn("__base", base_spans(F.col("__text")))
+    out = out.withColumn("__rest", F.when(F.size("__base") > 0, masked(F.col("__text"), F.col("__base"))).otherwise(F.lit("")))
+    found = [entropy_spans(F.col(c), k) for c in ("__text", "__rest") for k in CLASSES]
+    return out.select(*others, F.col("__text").alias("__scanned"), F.array_sort(F.concat("__base", *found)).alias("spans"))
+
+
 def scan(docs: DataFrame, text: str = "text", *others: str) -> DataFrame:
     """``others`` and ``spans`` (start, rank, end, kind; by start, then kind) of each row.
 
@@ -150,7 +174,7 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows with each maximal run of overlapping spans replaced by ``mark``; null texts stay null."""
     others = [c for c in docs.columns if c != text]
-    found = scan(docs.withColumn("__was", F.col(text)), text, *others, "__was")
+    found = scan_all(docs.withColumn("__was", F.col(text)), text, *others, "__was")
     seed = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(s: Column, x: Column) -> Column:
