@@ -39,6 +39,28 @@ def test_layouts(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_articles_below_marked_wrappers(spark):
+    rng, rows, want = random.Random(5), [], {}
+    wraps = {
+        "x": "<div class='content-sidebar-wrap'><main><article>%s</article></main><div class='sidebar'><p>Side %d</p></div></div>",
+        "y": "<div class='widget container'><article>%s</article></div><div class='related'><p>Other %d</p></div>",
+        "z": "<main><article>%s</article></main><div class='related'><article><p>Teaser %d</p></article></div>",
+    }
+    for host, wrap in wraps.items():
+        for i in range(6):
+            a, b, c = words(rng, 4), words(rng, 9), words(rng, 12)
+            body = f"<h2 id='search'>{a}</h2><p>{b}</p><h2 id='related-work'>{host}{i}</h2><p>{c}</p>"
+            key = len(rows)
+            rows.append((key, f"http://{host}.org/{i}", f"<html><body><nav><a>Menu</a></nav>{wrap % (body, i)}</body></html>"))
+            want[key] = "\n\n".join([a, b, f"{host}{i}", c])
+    for i in range(6):  # an article that only points elsewhere
+        a, b = words(rng, 9), words(rng, 12)
+        want[len(rows)] = f"{a}\n\n{b}"
+        rows.append((len(rows), f"http://v.org/{i}", f"<html><body><div><div>{a}</div><section>{b}</section></div><div class='related'><article><p>Teaser {i}</p></article></div></body></html>"))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_odd_pages(spark):
     pages = [None, "", "   ", "just text", "<p>a &amp; b&nbsp; c<br>d", "<article><p>x<p>y</article", "<article>" + "<p>z</p>" * 3000, "<p hidden>no</p><p>yes", "a < b <", "<article><p>x</p>tail</article>"]
     want = ["", "", "", "just text", "a & b c d", "x\n\ny", "\n\n".join(["z"] * 3000), "yes", "a < b <", "x\n\ntail"]

@@ -41,6 +41,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKED = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup signin login register comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations widget widgets search pagination pager skip copyright disclaimer complementary contentinfo form".split())
 HEADS = frozenset("header masthead topbar toolbar banner".split())
 CONTENT = frozenset(("article", "main"))
+#: Their ids are often made of their words.
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: An opening tag ends open elements of these names, up to the container.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
@@ -259,15 +261,23 @@ def _excluded(tag: str, inside: bool) -> bool:
     marks = frozenset(words.split())
     if name in OUTSIDE or "!hidden" in marks:
         return True
-    if name in ("html", "body", *CONTENT):
+    if name in ("html", "body", *CONTENT) or (inside and name in TEXTS):
         return False
     return bool((marks & MARKED) - (HEADS if inside else frozenset())) or (not inside and (name == "header" or bool(marks & HEADS)))
 
 
-def slot_places(items: list) -> list[tuple[bool, bool]]:
-    """For each slot of a wrapper or skeleton whether it is inside an article, and whether it is outside the main text."""
+def _never(tag: str) -> bool:
+    return tag[1:-1].partition(" ")[0] in (*OUTSIDE, "header") or "!hidden" in tag[1:-1].split()
+
+
+def slot_places(items: list, reset: bool = False) -> list[tuple[bool, bool]]:
+    """For each slot of a wrapper or skeleton whether it is inside an article, and whether it is outside the main text.
+
+    With ``reset`` an article or main element below elements that only their words put outside, such as a layout named for
+    its sidebar, is not outside.
+    """
     found: list[tuple[bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
 
     def walk(seq: list) -> None:
         for x in seq:
@@ -282,11 +292,13 @@ def slot_places(items: list) -> list[tuple[bool, bool]]:
                         break
             else:
                 name = x[1:-1].partition(" ")[0]
-                inside, out = stack[-1][1:] if stack else (False, False)
+                inside, out, never = stack[-1][1:] if stack else (False, False, False)
+                never = never or _never(x)
+                out = out and not (reset and name in CONTENT and not never)
                 words = x[1:-1].partition(" ")[2].split()
                 here = inside or name in CONTENT or (name in ("div", "section") and bool(CONTENT & set(words)) and not _excluded(x, False))
                 if name not in VOID:
-                    stack.append((name, here, out or _excluded(x, inside)))
+                    stack.append((name, here, out or _excluded(x, inside), never))
 
     walk(items)
     return found
@@ -296,22 +308,32 @@ def mask(wrapper: list[dict], skeleton: list) -> str:
     """For each slot of a skeleton, 1 if the wrapper's slot is content.
 
     Where there is no article element, a slot whose text is the same in three or more different pages is not content. A
-    slot that finds no place in the wrapper goes by its own place in the page.
+    slot that finds no place in the wrapper goes by its own place in the page. If all articles are outside by words of elements
+    above them, and have more slots than are left without them, those words don't count for them.
     """
     flat = [x["item"] for x in wrapper]
     fixed = [t is not None and x["pages"] >= 3 for x in wrapper for t in x["texts"]]
-    places = [(*p, f) for p, f in zip(slot_places(flat), fixed, strict=True)]
-    own = [(*p, False) for p in slot_places(skeleton)]
-    article = any(inside and not out for inside, out, _ in own)
-    mine = grouped(start(skeleton, list(range(len(own)))), _groups(wrapper))
+    mine = grouped(start(skeleton, list(range(len(slot_places(skeleton))))), _groups(wrapper))
     starts = [0]
     for x in flat:
         starts.append(starts[-1] + n_slots(x))
-    for i, k, n in SequenceMatcher(None, located(flat), located([x["item"] for x in mine]), autojunk=False).get_matching_blocks():
-        for d in range(n):
-            for e, slot in enumerate(mine[k + d]["texts"]):
-                own[slot] = places[starts[i + d] + e]
-    return "".join("1" if not out and (inside if article else not same) else "0" for inside, out, same in own)
+    blocks = SequenceMatcher(None, located(flat), located([x["item"] for x in mine]), autojunk=False).get_matching_blocks()
+
+    def marked(reset: bool) -> tuple[bool, str]:
+        places = [(*p, f) for p, f in zip(slot_places(flat, reset), fixed, strict=True)]
+        own = [(*p, False) for p in slot_places(skeleton, reset)]
+        article = any(inside and not out for inside, out, _ in own)
+        for i, k, n in blocks:
+            for d in range(n):
+                for e, slot in enumerate(mine[k + d]["texts"]):
+                    own[slot] = places[starts[i + d] + e]
+        return article, "".join("1" if not out and (inside if article else not same) else "0" for inside, out, same in own)
+
+    article, strict = marked(False)
+    if article:
+        return strict
+    article, relaxed = marked(True)
+    return relaxed if article and relaxed.count("1") > strict.count("1") else strict
 
 
 def _hash(text: str) -> int:
