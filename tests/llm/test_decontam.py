@@ -58,3 +58,13 @@ def test_dense_items(spark):
 
 def test_runs_go_on_over_windows_without_hashes():
     assert consistent_runs([0, 3, 9], 8, {}, {}, 0) == [(0, 17)]
+
+
+def test_values_of_other_lengths(spark):
+    item = "my old friend went by train from New York in may and paid twenty five coins for the long and slow ride home"
+    other = item.replace("New York", "Boston").replace("twenty five", "7")
+    third = item.replace("New York", "San Juan Capistrano").replace("twenty five", "two hundred twelve")
+    docs = spark.createDataFrame([(1, f"lorem ipsum. {other} dolor sit"), (2, f"lorem ipsum. {third} dolor sit"), (3, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.verbatim, r.run_words) for r in contaminated(docs, items).collect()}
+    assert got == {1: (False, 23), 2: (False, 23), 3: (True, 23)}

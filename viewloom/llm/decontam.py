@@ -43,8 +43,9 @@ class Settings:
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees mph kmh watt watts volt volts joule joules".split()
 
-NUM, NAME, UNIT = (xxhash.xxh3_64_intdigest(k) & ~7 for k in (b"<num>", b"<name>", b"<unit>"))
-_CAPITAL, _ENDS = 1, 2
+NUM, NAME, UNIT = (xxhash.xxh3_64_intdigest(k) & ~15 for k in (b"<num>", b"<name>", b"<unit>"))
+#: A word is written with a capital, ends a sentence, has punctuation after it, may go on with the slot of the word before.
+_CAPITAL, _ENDS, _CLOSED, _JOINS = 1, 2, 4, 8
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[a-z]{0,3})")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -53,7 +54,7 @@ class _Literal(dict):
     """Word -> hash of its lowered core, whatever it stands for."""
 
     def __missing__(self, raw: bytes) -> int:
-        out = xxhash.xxh3_64_intdigest(_OUTER.sub("", raw.decode("utf-8", "replace")).lower()) & ~7
+        out = xxhash.xxh3_64_intdigest(_OUTER.sub("", raw.decode("utf-8", "replace")).lower()) & ~15
         if len(self) < 100_000:
             self[raw] = out
         return out
@@ -69,31 +70,42 @@ class _Canon(dict):
         word = raw.decode("utf-8", "replace")
         core = _OUTER.sub("", word)
         low = core.lower()
+        closed = 0 if core and word.endswith(core) else _CLOSED
+        opens = bool(core) and word.startswith(core)
         ends = _ENDS if word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?") else 0
         if not core:
             out = ends
         elif _NUMBER.fullmatch(low) or low in NUMBERS:
-            out = NUM | ends
+            out = NUM | ends | closed | (_JOINS if opens and low in NUMBERS else 0)
         elif low in UNITS:
-            out = UNIT | ends
+            out = UNIT | ends | closed
         else:
             capital = core[0].isupper() and core[1:].islower()
-            out = (xxhash.xxh3_64_intdigest(low) & ~7) | ends | (_CAPITAL if capital else 0)
+            out = (xxhash.xxh3_64_intdigest(low) & ~15) | ends | closed | (_CAPITAL | (_JOINS if opens else 0) if capital else 0)
         if len(self) < 400_000:
             self[raw] = out
         return out
 
 
-def _read(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """As ``canonical``, and the hashes that literal words have; those of names are their own, those of numbers and units their slots'."""
+def _read(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """As ``canonical``, the hashes that literal words have; those of names are their own, those of numbers and units their
+    slots', and the places where the template's words begin if the words of one value, as of a name or of a number in words, are one."""
     words = (text or "").encode().split()
     found = np.fromiter(map(held("canonical", _Canon).__getitem__, words), np.uint64, len(words))
     ends = (found & np.uint64(_ENDS)) > 0
     starts = np.concatenate([[True], ends[:-1]])[: len(found)]
     name = ((found & np.uint64(_CAPITAL)) > 0) & ~starts
-    own = found & ~np.uint64(7)
+    own = found & ~np.uint64(15)
     at = np.flatnonzero(own)
-    return np.where(name, np.uint64(NAME), own)[at], at, words, own[at]
+    template = np.where(name, np.uint64(NAME), own)[at]
+    flags = found[at]
+    # few words have a slot's template and may go on
+    later = np.flatnonzero(((flags & np.uint64(_JOINS)) > 0) & _is_slot(template))
+    later = later[later > 0]
+    same = (template[later] == template[later - 1]) & (at[later] == at[later - 1] + 1) & ((flags[later - 1] & np.uint64(_CLOSED)) == 0)
+    begins = np.ones(len(at), bool)
+    begins[later[same]] = False
+    return template, at, words, own[at], np.flatnonzero(begins)
 
 
 def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -109,17 +121,31 @@ def literals(own: np.ndarray, at: np.ndarray, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def window_hashes(template: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and begins of the windows that have enough literal words, and begins of the others."""
+def _is_slot(template: np.ndarray) -> np.ndarray:
+    return (template == np.uint64(NUM)) | (template == np.uint64(NAME)) | (template == np.uint64(UNIT))
+
+
+def _enough(template: np.ndarray, width: int, literal: int) -> np.ndarray:
+    """Whether each window has enough literal words."""
+    slots = np.concatenate([[0], np.cumsum(_is_slot(template))])
+    return width - (slots[width:] - slots[:-width]) >= min(literal, width)
+
+
+def window_hashes(template: np.ndarray, width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and begins of the windows that have enough literal words."""
     n = len(template) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = np.full(n, np.uint64(width))
     for j in range(width):
         out = _mix(out * _ODD[j] + template[j : n + j])
-    slots = np.concatenate([[0], np.cumsum(np.isin(template, np.array([NUM, NAME, UNIT], np.uint64)))])
-    enough = width - (slots[width:] - slots[:-width]) >= min(literal, width)
-    return out[enough], np.flatnonzero(enough), np.flatnonzero(~enough)
+    enough = _enough(template, width, literal)
+    return out[enough], np.flatnonzero(enough)
+
+
+def _rich(template: np.ndarray, folded: np.ndarray, width: int, literal: int) -> np.ndarray:
+    """Begins of the windows of words with too few literal ones; of all windows if the template is shorter than one."""
+    return np.arange(len(template) - width + 1) if len(folded) < width else np.flatnonzero(~_enough(template, width, literal))
 
 
 def literal_hashes(words: np.ndarray, width: int, begins: np.ndarray) -> np.ndarray:
@@ -133,13 +159,16 @@ def literal_hashes(words: np.ndarray, width: int, begins: np.ndarray) -> np.ndar
 _KIND = {NUM: "#", NAME: "@", UNIT: "~"}
 
 
-def slot_values(template: np.ndarray, at: np.ndarray, words: list[bytes], begin: int, width: int) -> str:
-    """place:kind:value of each slot in a window, by line."""
+def slot_values(template: np.ndarray, at: np.ndarray, words: list[bytes], begins: np.ndarray, begin: int, width: int) -> str:
+    """place:kind:value of each slot in a window, by line. begins: where the words of the template begin."""
     out = []
     for j in range(begin, begin + width):
-        kind = _KIND.get(int(template[j]))
+        lo = int(begins[j])
+        kind = _KIND.get(int(template[lo]))
         if kind:
-            out.append(f"{j}:{kind}:{_OUTER.sub('', words[at[j]].decode('utf-8', 'replace')).lower()}")
+            hi = int(begins[j + 1]) if j + 1 < len(begins) else len(at)
+            value = " ".join(_OUTER.sub("", words[at[k]].decode("utf-8", "replace")).lower() for k in range(lo, hi))
+            out.append(f"{j}:{kind}:{value}")
     return "\n".join(out)
 
 
@@ -150,38 +179,43 @@ TEMPLATE, LITERAL = 0, 1
 def _windows(rows: DataFrame, key: str, text: str, widths: dict[int, list[int]], s: Settings, whole: bool, bits: np.ndarray | None) -> DataFrame:
     """hash, id, how, place, slots of windows, and of a text's words, windows and usable (those that can match) for ``how``.
 
+    A template's words are its literal words and whole slot values; ``first`` and ``past`` are a window's place among the text's words.
+
     With ``whole`` those of items (a shorter item is one window), hashed by words too, else those the bitmap lets pass,
     hashed by words only where the template has too few literal ones.
     """
-    names = ["hash", "id", "how", "place", "slots", "words", "windows", "usable"]
+    names = ["hash", "id", "how", "place", "slots", "words", "windows", "usable", "first", "past", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                template, at, words, own = _read(value.as_py())
-                plain = None
-                short = [min(s.window, len(template))]
-                for width in short if whole else sorted({*widths[TEMPLATE], *widths[LITERAL]}):
-                    if width < s.literal or width > len(template):
-                        continue
-                    n = len(template) - width + 1
-                    hashes, begins, rich = window_hashes(template, width, s.literal)
-                    made = [(TEMPLATE, hashes, begins, len(begins))]
-                    if whole or len(rich):
-                        plain = literals(own, at, words) if plain is None else plain
-                        rich = np.arange(n) if whole else rich
-                        made.append((LITERAL, literal_hashes(plain, width, rich), rich, n))
-                    for how, hashes, begins, usable in made:
-                        if bits is not None and len(hashes):
-                            bit = (hashes % np.uint64(len(bits) * 8)).astype(np.int64)
-                            hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                            hashes, begins = hashes[hit], begins[hit]
-                        signed = hashes.view(np.int64).tolist()
-                        out += [(h, i, how, b, slot_values(template, at, words, b, width), len(template), n, usable) for h, b in zip(signed, begins.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k == 4 else pa.int64()) for k in range(8)], names)
-
-    return lean(rows).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "hash long, id long, how long, place long, slots string, words long, windows long, usable long")
+                template, at, words, own, starts = _read(value.as_py())
+                total, plain = len(template), None
+                folded, each = template[starts], np.arange(total)
+                made = []
+                for width in [min(s.window, len(folded))] if whole else widths[TEMPLATE]:
+                    if s.literal <= width <= len(folded):
+                        hashes, begins = window_hashes(folded, width, s.literal)
+                        made.append((TEMPLATE, width, hashes, begins, starts, len(begins)))
+                for width in [min(s.window, total)] if whole else widths[LITERAL]:
+                    if s.literal <= width <= total:
+                        n = total - width + 1
+                        rich = each[:n] if whole else _rich(template, folded, width, s.literal)
+                        if len(rich):
+                            plain = literals(own, at, words) if plain is None else plain
+                            made.append((LITERAL, width, literal_hashes(plain, width, rich), rich, each, n))
+                for how, width, hashes, begins, of, usable in made:
+                    if bits is not None and len(hashes):
+                        bit = (hashes % np.uint64(len(bits) * 8)).astype(np.int64)
+                        hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                        hashes, begins = hashes[hit], begins[hit]
+                    for h, b in zip(hashes.view(np.int64).tolist(), begins.tolist(), strict=True):
+                        past = int(of[b + width]) if b + width < len(of) else total
+                        out.append((h, i, how, b, slot_values(template, at, words, of, b, width), total, len(of) - width + 1, usable, int(of[b]), past, len(of)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k == 4 else pa.int64()) for k in range(11)], names)
+
+    return lean(rows).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "hash long, id long, how long, place long, slots string, words long, windows long, usable long, first long, past long, length long")
 
 
 def _pairs(doc: dict[int, tuple[str, str]], item: dict[int, tuple[str, str]], shift: int, lo: int, hi: int, seen: tuple[dict, dict]) -> bool:
@@ -224,7 +258,7 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None =
     s = settings or Settings()
     wanted = keep(_windows(items, item_key, text, {}, s, True, None), "items")
     n = wanted.count()
-    lengths = wanted.select("how", F.least(F.lit(s.window), "words").alias("width")).distinct().collect()
+    lengths = wanted.select("how", F.least(F.lit(s.window), "length").alias("width")).distinct().collect()
     widths = {how: sorted(r["width"] for r in lengths if r["how"] == how) for how in (TEMPLATE, LITERAL)}
     bits = None
     if n <= s.filtered:
@@ -234,29 +268,30 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None =
         flags[bit.astype(np.int64)] = True
         bits = np.packbits(flags, bitorder="little")
     found = _windows(docs.filter(F.col(key).isNotNull()), key, text, widths, s, False, bits)
-    about = ["item_id", "how", "words", "windows", "usable"]
-    mine = wanted.select("hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), *[F.col("id").alias(c) if c == "item_id" else F.col(c) for c in about])
+    about = ["item_id", "how", "words", "windows", "usable", "length"]
+    mine = wanted.select("hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "first", "past", *[F.col("id").alias(c) if c == "item_id" else F.col(c) for c in about])
     # a short item's windows have another width, and so other hashes
     met = found.select("hash", F.col("id").alias("doc_id"), "place", "slots").join(mine, "hash").distinct()
-    match = F.struct("item_place", "slots", "item_slots")
+    match = F.struct("item_place", "slots", "item_slots", "first", "past")
     runs = met.groupBy("doc_id", *about, (F.col("place") - F.col("item_place")).alias("shift")).agg(F.collect_list(match).alias("met"))
     names = ["doc_id", *about, "run_words", "verbatim", "places", "hit"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for *of, shift, got in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                width = min(s.window, of[3])
+            for *of, shift, got in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                width = min(s.window, of[6])
                 doc, item = _slots([m["slots"] for m in got]), _slots([m["item_slots"] for m in got])
-                places = {m["item_place"] for m in got}
+                places = {m["item_place"]: m for m in got}
                 for begin, size in consistent_runs(list(places), width, doc, item, shift):
                     same = all(doc.get(p + shift) == item[p] for p in range(begin, begin + size) if p in item)
                     covered = range(begin, begin + size - width + 1)
+                    size = places[covered[-1]]["past"] - places[begin]["first"]
                     out.append((*of, size, same, list(covered), [p for p in covered if p in places]))
-            kinds = (*[pa.int64()] * 7, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (*[pa.int64()] * 8, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names)
 
-    checked = runs.mapInArrow(check, "doc_id long, item_id long, how long, words long, windows long, usable long, run_words long, verbatim boolean, places array<long>, hit array<long>")
+    checked = runs.mapInArrow(check, "doc_id long, item_id long, how long, words long, windows long, usable long, length long, run_words long, verbatim boolean, places array<long>, hit array<long>")
     number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
     each = checked.groupBy("doc_id", *about).agg(F.max(F.struct("run_words", "verbatim")).alias("longest"), number("places").alias("matched"), number("hit").alias("hit"))
     enough = (F.col("longest.run_words") >= F.least(F.lit(s.run), "words")) | (F.col("matched") >= s.share * F.col("windows")) | (F.col("hit") >= s.share * F.col("usable"))
