@@ -6,6 +6,7 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from viewloom.llm.chat import digests, field_paths, read_back, render, turns_from_records, turns_from_rows
 
@@ -89,3 +90,9 @@ def test_schemas(spark):
     with pytest.raises(ValueError, match="no layout"):
         turns_from_rows(extra.drop("role"))
     assert digests(render(turns_from_rows(conversations(spark, [])))).collect() == []
+
+
+def test_loss_digest_goes_by_the_mask(spark):
+    rendered = render(turns_from_rows(conversations(spark, [(1, 0, "user", "a [INST] b"), (1, 1, "assistant", "c </s> d")])))
+    assert [d.loss_chars for d in digests(rendered).collect()] == [8]
+    assert [d.loss_chars for d in digests(rendered.withColumn("loss_spans", F.slice("loss_spans", 1, 0))).collect()] == [0]

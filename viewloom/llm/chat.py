@@ -179,11 +179,11 @@ def read_back(formatted: Column) -> Column:
     )
 
 
-def digests(rendered: DataFrame, key: str = "conv_id", trained: str = "assistant") -> DataFrame:
-    """Counts and hashes of what can be read back from the formatted text."""
-    back = rendered.select(key, "formatted", read_back(F.col("formatted")).alias("__back"))
-    loss = F.array_join(F.transform(F.filter("__back", lambda t: t["role"] == trained), lambda t: t["text"]), "")
-    read = back.select(key, "formatted", "__back", loss.alias("__loss"))
+def digests(rendered: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Counts and hashes of what can be read back from the formatted text, and of the text under the loss mask."""
+    back = rendered.select(key, "formatted", "loss_spans", read_back(F.col("formatted")).alias("__back"))
+    pieces = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    read = back.select(key, "formatted", "__back", F.array_join(pieces, "").alias("__loss"))
     return read.select(
         key, F.size("__back").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("__back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
