@@ -149,8 +149,8 @@ class Engine:
         self.last = modes.run(computation, found, mode or "adaptive", settings, splits)
         if save_to:
             files.save_results(self.last, save_to, computation.columns)
-        took = sum(self.last.seconds.values())
-        return f"{algorithm} on '{collection}': {len(found.timestamps)} views in {took:.1f} s" + (f", splits {self.last.splits}" if self.last.splits else "")
+        took = sum(r.total for r in self.last.runs)
+        return f"{algorithm} on '{collection}': {len(found.timestamps)} views in {took:.1f} s" + (f", splits {self.last.splits}" if self.last.splits else "") + f"\n{self.last.report()}"
 
     def _show_computations(self) -> str:
         return "Computations:\n" + "\n".join(f"({i}) {n}" for i, n in enumerate(sorted(REGISTRY), 1))

@@ -30,3 +30,7 @@ class SerdeError(EngineError):
 
 class InitError(EngineError):
     category = "InitError"
+
+
+class StorageError(EngineError):
+    category = "StorageError"

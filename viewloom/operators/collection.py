@@ -4,7 +4,8 @@ A collection made by conditions keeps one row per edge with a bitmask of its vie
 differences come from the bits, without a shuffle. A collection made of differences keeps those. Both give
 
 * ``diffs``: ts, edge_id, src, dst, diff (+1 or -1; the multiplicity for collections of differences),
-* ``view_edges``: ts, src, dst for each edge of each view, as often as it occurs.
+* ``view_edges``: ts, src, dst for each edge of each view, as often as it occurs,
+* ``masks``: src, dst, n and the words (see ``bits``) of some views, a row for an edge of many views: what computations read.
 """
 
 from __future__ import annotations
@@ -19,33 +20,12 @@ from viewloom.errors import CollectionError
 from viewloom.functions.predicates import Compiler, with_endpoints
 from viewloom.graph import Graph
 from viewloom.lang.ast import Where, text_of
-from viewloom.operators.ordering import BITS, distances, length, order
+from viewloom.operators.bits import any_set, between, bit, changes, chosen, word_names, words_of, zero
+from viewloom.operators.ordering import distances, length, order
 from viewloom.operators.timestamps import Timestamps
 from viewloom.sources.shared import keep
 
 
-def _bit(words: Sequence[str], i: Column) -> Column:
-    """Whether view i's bit is set, as 0 or 1; i is a Column."""
-    return F.getbit(F.element_at(F.array(*words), F.floor(i / BITS).cast("int") + 1), (i % BITS).cast("int")).cast("int")
-
-
-def mask_words(conditions: Sequence[Column]) -> list[Column]:
-    """Words of 63 bits, bit i of word k set where condition 63k + i holds."""
-    out = []
-    for at in range(0, len(conditions), BITS):
-        word = F.lit(0).cast("bigint")
-        for i, c in enumerate(conditions[at : at + BITS]):
-            word = word.bitwiseOR(F.when(c, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-        out.append(word.alias(f"w{at // BITS}"))
-    return out
-
-
-def _signed(pairs: list[tuple[int, int]]) -> Column:
-    if not pairs:
-        return F.array().cast("array<struct<i:int,s:int>>")
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in pairs])
-
-
 @dataclass
 class Collection:
     """name, timestamps and the conditions' texts in view order."""
@@ -60,6 +40,9 @@ class Collection:
     def view_edges(self, views: Sequence[int] | None = None) -> DataFrame:
         raise NotImplementedError
 
+    def masks(self, views: Sequence[int]) -> DataFrame:
+        raise NotImplementedError
+
     def view(self, ts: int) -> DataFrame:
         return self.view_edges([ts]).select("src", "dst")
 
@@ -88,18 +71,16 @@ class MaskCollection(Collection):
     def view_edges(self, views: Sequence[int] | None = None) -> DataFrame:
         n = len(self.timestamps)
         wanted = F.sequence(F.lit(0), F.lit(n - 1)) if views is None else F.array(*[F.lit(i) for i in views])
-        has = F.filter(wanted, lambda i: _bit(self.words, i) == 1)
+        has = F.filter(wanted, lambda i: bit(self.words, i) == 1)
         return self.edges.select(F.explode(has).alias("ts"), "src", "dst")
 
+    def masks(self, views: Sequence[int]) -> DataFrame:
+        words = word_names(len(views))
+        held = self.edges.select("src", "dst", *chosen(self.words, views)).filter(any_set(words))
+        return held.groupBy("src", "dst", *words).agg(F.count("*").alias("n"))
+
     def diffs(self) -> DataFrame:
-        n = len(self.timestamps)
-        if len(self.timestamps.lengths) == 1:
-            change = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("ts"), (_bit(self.words, i) - F.when(i > 0, _bit(self.words, F.greatest(i - 1, F.lit(0)))).otherwise(0)).alias("diff")))
-        else:
-            near = F.array(*[_signed(self.timestamps.before(i)) for i in range(n)])
-            own = lambda i: _bit(self.words, i) - F.aggregate(F.get(near, i), F.lit(0), lambda s, x: s + x["s"] * _bit(self.words, x["i"]))
-            change = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("ts"), own(i).alias("diff")))
-        rows = self.edges.select("edge_id", "src", "dst", F.explode(F.filter(change, lambda x: x["diff"] != 0)).alias("c"))
+        rows = self.edges.select("edge_id", "src", "dst", F.explode(changes(self.words, self.timestamps)).alias("c"))
         return rows.select(F.col("c.ts").alias("ts"), "edge_id", "src", "dst", F.col("c.diff").cast("long").alias("diff"))
 
 
@@ -120,6 +101,31 @@ class DiffCollection(Collection):
         negative = F.when(F.col("n") < 0, F.raise_error(F.lit("an edge is deleted more often than added"))).otherwise(F.col("n"))
         return summed.filter("n <> 0").select("ts", "src", "dst", F.explode(F.array_repeat(F.lit(1), negative.cast("int"))).alias("one")).drop("one")
 
+    def masks(self, views: Sequence[int]) -> DataFrame:
+        """An edge's changes give stretches of views with the same number of it; layer i has the views with i or more."""
+        total = len(self.timestamps)
+        each = self.changes.groupBy("src", "dst", "ts").agg(F.sum("diff").alias("diff")).groupBy("src", "dst")
+        if len(self.timestamps.lengths) == 1:
+            known = each.agg(F.array_sort(F.collect_list(F.struct("ts", "diff"))).alias("c"))
+            step = lambda s, x: F.struct((s["n"] + x["diff"]).alias("n"), F.concat(s["out"], F.array(s["n"] + x["diff"])).alias("out"))
+            counts = F.aggregate("c", F.struct(zero().alias("n"), F.array().cast("array<bigint>").alias("out")), step, lambda s: s["out"])
+            past = F.concat(F.slice(F.transform("c", lambda x: x["ts"]), F.lit(2), F.size("c")), F.array(F.lit(total)))
+            stretches = F.arrays_zip(F.transform("c", lambda x: x["ts"]).alias("first"), past.alias("past"), counts.alias("n"))
+        else:
+            # a view's number is the sum of the changes of all views before it in every dimension
+            known = each.agg(F.map_from_entries(F.collect_list(F.struct("ts", "diff"))).alias("c"))
+            parts = [F.array(*[F.lit(j) for j in self.timestamps.upto(i)]) for i in range(total)]
+            number = lambda i: F.aggregate(F.get(F.array(*parts), i), zero(), lambda s, j: s + F.coalesce(F.try_element_at("c", j), zero()))
+            stretches = F.transform(F.sequence(F.lit(0), F.lit(total - 1)), lambda i: F.struct(i.alias("first"), (i + 1).alias("past"), number(i).alias("n")))
+        spread = known.select("src", "dst", stretches.alias("s"))
+        most = F.aggregate("s", zero(), lambda m, x: F.greatest(m, x["n"]))
+        sound = F.when(F.exists("s", lambda x: x["n"] < 0), F.raise_error(F.lit("an edge is deleted more often than added")).cast("bigint")).otherwise(most)
+        layers = spread.select("src", "dst", "s", F.explode(F.sequence(F.lit(0).cast("bigint"), sound)).alias("layer")).filter("layer > 0")
+        words = [F.aggregate("s", zero(), lambda m, x: m.bitwiseOR(F.when(x["n"] >= F.col("layer"), between(x["first"], x["past"], k)).otherwise(zero()))).alias(w) for k, w in enumerate(word_names(total))]
+        held = layers.select("src", "dst", *words)
+        held = held.select("src", "dst", *chosen(word_names(total), views))
+        return held.filter(any_set(word_names(len(views)))).withColumn("n", F.lit(1).cast("bigint"))
+
 
 def make_collection(graph: Graph, name: str, dimensions: Sequence[Sequence[Where]], manual: bool = True) -> MaskCollection:
     """The views of a graph in which conditions hold.
@@ -136,13 +142,10 @@ def make_collection(graph: Graph, name: str, dimensions: Sequence[Sequence[Where
     holds = [[compiler.where(w) for w in d] for d in dimensions]
 
     def masked(views: list[Column]) -> DataFrame:
-        out = joined.select(F.col("id").alias("edge_id"), F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), *mask_words(views))
-        found = F.lit(False)
-        for k in range(0, len(views), BITS):
-            found = found | (F.col(f"w{k // BITS}") != 0)
-        return out.filter(found)
+        out = joined.select(F.col("id").alias("edge_id"), F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), *words_of(views))
+        return out.filter(any_set(word_names(len(views))))
 
-    words = [f"w{k}" for k in range(-(-len(stamps) // BITS))]
+    words = word_names(len(stamps))
     places = list(range(1, len(stamps) + 1))
     if len(dimensions) == 1:
         views = holds[0]
@@ -158,7 +161,7 @@ def make_collection(graph: Graph, name: str, dimensions: Sequence[Sequence[Where
     if len(dimensions) == 1:
         if not manual and len(stamps) >= 3:
             places = order(distances(edges, words, len(stamps)))
-            moved = mask_words([_bit(words, F.lit(p - 1)) == 1 for p in places])
+            moved = words_of([bit(words, F.lit(p - 1)) == 1 for p in places])
             edges = keep(edges.select("edge_id", "src", "dst", *moved), "collection")
         texts = [text_of(dimensions[0][p - 1]) for p in places]
     return MaskCollection(name, stamps, texts, edges, words, places)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 63
+from viewloom.operators.bits import BITS
 
 
 def distances(masks: DataFrame, words: list[str], n: int) -> np.ndarray:

@@ -1,8 +1,9 @@
 """How a computation runs over a collection. Modes differ in time, not in answers.
 
-* all views together (basic, 1_stage_differential, 2_stage_differential): each superstep is one job for all views;
+* all views together (basic, 1_stage_differential, 2_stage_differential): each superstep is one job for all views, and what
+  views share is computed once, as rows carry the sets of their views;
 * one after the other (individual, basic_individual);
-* adaptive: views in runs between splits, split where a run is expected to cost more than a fresh start;
+* adaptive: views in runs, a new run where a view is expected to cost more together with those before than by itself;
 * compare_differential: together and one after the other, and the results are compared.
 """
 
@@ -17,25 +18,48 @@ from pyspark.sql import DataFrame
 
 from viewloom.errors import ComputationError
 from viewloom.operators.algorithms import Computation, ViewInput
+from viewloom.operators.bits import Masked
 from viewloom.operators.collection import Collection
-from viewloom.operators.results import differences, mismatches
-from viewloom.sources.shared import keep
+from viewloom.operators.results import mismatches
+from viewloom.sources.shared import keep, scratch
 
-TOGETHER = (None, "basic", "1_stage_differential", "2_stage_differential")
+TOGETHER = ("basic", "1_stage_differential", "2_stage_differential")
 ONE_BY_ONE = ("individual", "basic_individual")
 
 
+@dataclass
+class Run:
+    """Views that were computed together, and the seconds until their edges were loaded, the result stable, and it was written."""
+
+    first: int
+    last: int
+    loaded: float
+    stable: float
+    total: float
+
+
 @dataclass
 class Outcome:
-    """full: ts, columns, diff of each view's whole result; splits: views that began anew; seconds: by run of views."""
+    """result: of all views; splits: views that began anew; runs: by views computed together."""
 
-    full: DataFrame
+    result: Masked
     collection: Collection
     splits: list[int] = field(default_factory=list)
-    seconds: dict[str, float] = field(default_factory=dict)
+    runs: list[Run] = field(default_factory=list)
+
+    @property
+    def full(self) -> DataFrame:
+        """ts, columns, diff of each view's whole result."""
+        return self.result.full()
 
     def differences(self) -> DataFrame:
-        return differences(self.full, self.collection.timestamps, self.splits)
+        """ts, columns, diff: what changes from view to view; a view of ``splits`` has its whole result."""
+        return self.result.differences(self.collection.timestamps, self.splits)
+
+    def report(self) -> str:
+        """Seconds by run: edges loaded, result stable, total."""
+        lines = [f"views {r.first}-{r.last}: loaded {r.loaded:.2f}, stable {r.stable:.2f}, total {r.total:.2f}" for r in self.runs]
+        return "\n".join([*lines, f"all: loaded {sum(r.loaded for r in self.runs):.2f}, stable {sum(r.stable for r in self.runs):.2f}, total {sum(r.total for r in self.runs):.2f}"])
 
 
 @dataclass(frozen=True)
@@ -79,62 +103,71 @@ def should_split(size: int, changes: int, scratch: Predictor, run: Predictor, a:
     return fresh is not None and on is not None and a.comp_x * fresh < on
 
 
-def _timed(computation: Computation, collection: Collection, views: Sequence[int], seconds: dict) -> DataFrame:
+def _together(computation: Computation, collection: Collection, views: Sequence[int], runs: list[Run]) -> Masked:
+    """The result of some views; all other tables that were written for it are deleted."""
     began = time.time()
-    out = keep(computation.run(ViewInput(collection.view_edges(views), list(views))), "result")
-    seconds[f"{views[0]}-{views[-1]}"] = time.time() - began
-    return out
+    views = list(views)
+    with scratch() as saved:
+        data = ViewInput(collection.masks(views), views)
+        data.rows()
+        loaded = time.time() - began
+        got = computation.run(data)
+        found = got if isinstance(got, Masked) else Masked.of(got, views)
+        stable = time.time() - began - loaded
+        rows = keep(found.rows, "result")
+        saved.append(rows)
+    runs.append(Run(views[0], views[-1], loaded, stable, time.time() - began))
+    return Masked(rows, views, found.adds)
+
+
+def _outcome(parts: list[Masked], collection: Collection, runs: list[Run], splits: Sequence[int] = ()) -> Outcome:
+    n = len(collection.timestamps)
+    placed = [p.among(n) for p in parts] if len(parts) > 1 else parts
+    rows = reduce(DataFrame.unionByName, [p.rows for p in placed])
+    return Outcome(Masked(rows, range(n), any(p.adds for p in parts)), collection, list(splits), runs)
 
 
 def _adaptive(computation: Computation, collection: Collection, a: Adaptive, fixed: Sequence[int] | None) -> Outcome:
+    """Runs of up to ``upto`` views. A run's time is shared out by what it took: its first view's edges, and later views' changes."""
     n = len(collection.timestamps)
-    seconds: dict[str, float] = {}
-    sizes = collection.size_table()
+    runs: list[Run] = []
     if fixed is not None:
         splits = sorted({s for s in fixed if 0 < s < n})
         bounds = [0, *splits, n]
-        parts = [_timed(computation, collection, range(i, j), seconds) for i, j in zip(bounds, bounds[1:])]
-        return Outcome(reduce(DataFrame.unionByName, parts), collection, splits, seconds)
-    scratch, run = Predictor(a.limit, a.algo), Predictor(a.limit, a.algo)
+        return _outcome([_together(computation, collection, range(i, j), runs) for i, j in zip(bounds, bounds[1:])], collection, runs, splits)
+    sizes = collection.size_table()
+    changed = [adds + dels for adds, dels, _ in sizes]
+    fresh, on = Predictor(a.limit, a.algo), Predictor(a.limit, a.algo)
     splits, parts, at = [], [], 0
-    for i in range(min(2, n)):  # the first two views seed the predictors
-        parts.append(_timed(computation, collection, [i], seconds))
-        took = seconds[f"{i}-{i}"]
-        scratch.add(sizes[i][2], took)
-        if i:
-            run.add(sizes[i][0] + sizes[i][1], took)
-        at = i + 1
     while at < n:
         end = min(n, at + a.upto)
-        wanted = [i for i in range(at, end) if should_split(sizes[i][2], sizes[i][0] + sizes[i][1], scratch, run, a)]
-        # views from here to the next split run together; a split view starts its own run
-        first = wanted[0] if wanted else end
-        stop = first if first > at else (wanted[1] if len(wanted) > 1 else end)
-        if first == at:
+        wanted = [i for i in range(max(1, at), end) if should_split(sizes[i][2], changed[i], fresh, on, a)]
+        if at in wanted:
             splits.append(at)
-        parts.append(_timed(computation, collection, range(at, stop), seconds))
-        took = seconds[f"{at}-{stop - 1}"]
-        if first == at:
-            scratch.add(sizes[at][2], took / (stop - at))
-        else:
-            run.add(sum(sizes[i][0] + sizes[i][1] for i in range(at, stop)), took)
+        stop = next((i for i in wanted if i > at), end)
+        parts.append(_together(computation, collection, range(at, stop), runs))
+        later = sum(changed[at + 1 : stop])
+        each = runs[-1].total / max(1, sizes[at][2] + later)
+        fresh.add(sizes[at][2], each * sizes[at][2])
+        on.add(later, each * later)
         at = stop
-    return Outcome(reduce(DataFrame.unionByName, parts), collection, splits, seconds)
+    return _outcome(parts, collection, runs, splits)
 
 
 def run(computation: Computation, collection: Collection, mode: str | None = "basic", adaptive: Adaptive | None = None, splits: Sequence[int] | None = None) -> Outcome:
-    """Run a computation over all views of a collection."""
+    """Run a computation over all views of a collection. No mode: adaptive."""
     views = list(range(len(collection.timestamps)))
-    seconds: dict[str, float] = {}
+    runs: list[Run] = []
     if mode == "timely":
         raise ComputationError("timely is not supported")
-    if mode == "adaptive":
+    if not views:
+        raise ComputationError(f"Collection '{collection.name}' has no views")
+    if mode in (None, "adaptive"):
         return _adaptive(computation, collection, adaptive or Adaptive(), splits)
     if mode in TOGETHER:
-        return Outcome(_timed(computation, collection, views, seconds), collection, [], seconds)
+        return _outcome([_together(computation, collection, views, runs)], collection, runs)
     if mode in ONE_BY_ONE:
-        parts = [_timed(computation, collection, [i], seconds) for i in views]
-        return Outcome(reduce(DataFrame.unionByName, parts), collection, [], seconds)
+        return _outcome([_together(computation, collection, [i], runs) for i in views], collection, runs)
     if mode == "compare_differential":
         a, b = run(computation, collection, "basic"), run(computation, collection, "individual")
         wrong = mismatches(a.full, b.full).limit(3).collect()
