@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from viewloom.llm.search import List, Settings, top_k, wand, words
+from viewloom.llm.search import Batch, Settings, Shard, pack_queries, top_k, words
 
 
 def brute(rows, asked, s):
@@ -17,7 +17,7 @@ def brute(rows, asked, s):
     out = []
     for i, t in asked:
         tf = Counter(words(t or ""))
-        terms = sorted(sorted(tf, key=lambda t: (-round(tf[t] * idf[t], 9), t))[: s.terms])
+        terms = sorted(tf)
         scored = []
         for found, d in docs:
             c = Counter(found)
@@ -34,7 +34,7 @@ def test_against_all(spark):
     rows = [(i, " ".join(rng.choice(bag) for _ in range(rng.randint(1, 60)))) for i in range(300)]
     rows += [(300, None), (301, ""), (None, "w1 w2"), (302, rows[0][1]), (302, rows[0][1]), (303, "W1 " * 5000), (304, "\u00e9\u00a0x w3")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, rank int")
-    for s in (Settings(), Settings(k=3, terms=50)):
+    for s in (Settings(), Settings(k=3, batch=2, shards=1)):
         asked = [r for r in rows if r[0] is not None and r[0] % 50 == 0 or r[0] in (301, 302, 304)]
         got = sorted(map(tuple, top_k(docs, docs.filter("doc_id % 50 = 0 OR doc_id IN (301, 302, 304)"), s).collect()), key=str)
         assert [g[:3] for g in got] == [g[:3] for g in brute(rows, asked, s)]
@@ -48,16 +48,22 @@ def test_nothing_to_search(spark):
 
 def test_pruning_is_exact():
     rng = np.random.default_rng(5)
-    skipped = 0
+    skipped, s = 0, Settings(k=5, block=16)
     for _ in range(60):
-        n = int(rng.integers(1, 900))
-        dense = np.round(rng.random((6, n)) ** 4 * 3, 2) * (rng.random((6, n)) < rng.random((6, 1)))
-        lists = [List.of(np.flatnonzero(d), d[d > 0], n, 16) for d in dense if d.any()]
-        if not lists:
+        n, lists = int(rng.integers(1, 900)), 6
+        freqs = rng.integers(1, 30, (lists, n)) * (rng.random((lists, n)) < rng.random((lists, 1)) ** 2)
+        freqs[:, : n // 4] *= 20
+        lengths, ids, terms = rng.integers(1, 500, n).astype(float), rng.permutation(n), np.arange(lists) * 7 + 3
+        idf = np.round(rng.random(lists) * 3 + 0.1, 3)
+        batch = Batch([pack_queries([8], [terms[::-1].tolist()], [idf[::-1].tolist()])], s.k)
+        some = np.flatnonzero(freqs.any(1))
+        if not len(some):
             continue
-        total = sum(np.where(np.isin(np.arange(n), x.docs), 0, 0) for x in lists) + dense.sum(0)
-        ids, best = rng.permutation(n), []
-        skipped += -(-n // 16) - wand(lists, ids, np.zeros(n, bool), best, 5, 16)
-        want = sorted(((round(t, 6), -int(i)) for t, i in zip(total.tolist(), ids.tolist(), strict=True) if t > 0), reverse=True)[:5]
-        assert sorted(best, reverse=True) == want
+        where, docs = np.nonzero(freqs[some])
+        made = Shard(batch, terms[some], np.bincount(where, minlength=len(some)), docs, freqs[some][where, docs].astype(float), lengths, 100.0, s)
+        skipped += made.blocks - made.search(batch, 0, ids, np.zeros(n, bool))
+        parts = np.where(freqs > 0, idf[:, None] * freqs * (s.k1 + 1) / (freqs + s.k1 * (1 - s.b + s.b * lengths / 100.0)), 0)
+        want = sorted((-round(t, 6), int(i)) for t, i in zip(parts.sum(0).tolist(), ids.tolist(), strict=True) if t > 0)[: s.k]
+        got = [(-float(v), int(i)) for v, i in zip(batch.scores[0], batch.ids[0], strict=True) if np.isfinite(v)]
+        assert [g[1] for g in got] == [w[1] for w in want] and np.allclose([g[0] for g in got], [w[0] for w in want], atol=2e-6)
     assert skipped > 0

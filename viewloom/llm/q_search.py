@@ -21,7 +21,6 @@ WITH w AS (
 ), d AS (SELECT t, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f, c GROUP BY t
 ), q AS (
   SELECT doc_id AS query_id, t, idf FROM f JOIN d USING (t) WHERE doc_id % 100 = 0
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 9) DESC, t) <= 12
 ), s AS (
   SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))), 6) AS score
   FROM q JOIN f USING (t) JOIN w USING (doc_id), c GROUP BY ALL

@@ -1,23 +1,23 @@
-"""Exact top-k search by BM25 over an inverted index, with block-max WAND in each shard and an exact merge.
+"""Exact top-k search by BM25 over an inverted index, with block-max pruning in each shard and an exact merge.
 
 The index holds every row: shards of bounded size, whose postings are dealt to term buckets (see ``postings``). Document
-frequencies and the mean length are those of the whole collection, so scores don't depend on shards. Postings of query
-terms alone leave the buckets and meet by shard; there each query runs block-max WAND over blocks of documents, which skips
-those whose upper bounds can't reach the k-th best score so far, and the shards' best are merged.
-
-Scores are rounded to six decimals; equal ones go by id. A query text is reduced to its ``terms`` words of highest
-tf * idf (ties by word); that is the query, and its top k is exact. Equal queries run once. A task goes through its shards
-one after the other and keeps each query's best so far, so later shards start with a high bound. Null texts are empty; queries
-without words give no rows; rows with null ids are counted but not returned; repeated rows are returned and asked as
-often as they come.
+frequencies and the mean length are those of the whole collection, so scores don't depend on shards. A query is the set of
+all words of its text. Queries go in batches; a cell is a batch and a group of shards, and gets the batch once and each of
+its shards' postings of the batch's terms once. No posting carries the queries that ask for it.
+
+In a cell, each query goes through the shards. The bound of a block of documents is the sum of its lists' largest parts
+there; only blocks whose bounds reach the query's k-th best score so far are scored, best bound first, and later shards
+start with the scores of earlier ones. The cells' best are merged.
+
+Scores are rounded to six decimals; equal ones go by id. Equal queries run once. Null texts are empty; queries without
+words give no rows; rows with null ids are counted but not returned; repeated rows are returned and asked as often as they
+come.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,19 +27,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viewloom.llm.postings import SEPARATOR, buckets_for, dictionary, postings, unpack, unpack_ids, unpack_posts
+from viewloom.llm.postings import SEPARATOR, buckets_for, dictionary, pack, postings, unpack, unpack_ids, unpack_posts
 from viewloom.llm.store import keep
 
 
 @dataclass(frozen=True)
 class Settings:
     k: int = 10
-    terms: int = 12
     k1: float = 1.2
     b: float = 0.75
+    #: Documents of a block.
     block: int = 64
-    #: Queries whose best are held in a task at once; beyond that they are given out and begin anew.
-    held: int = 200_000
+    #: Queries of a batch: about 700 bytes each in a task. Each batch more reads the index once more.
+    batch: int = 65_536
+    #: Shards of a cell, if there are enough for all cores.
+    shards: int = 32
 
 
 def words(text: str) -> list[bytes]:
@@ -51,84 +53,120 @@ def idf(n: int, df: int) -> float:
     return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-@dataclass
-class List:
-    """A term's postings in a shard: documents ascending, their score parts, where each block of documents begins, and the
-    largest part in each block and in all."""
-
-    docs: np.ndarray
-    parts: np.ndarray
-    begins: np.ndarray
-    tops: np.ndarray
-    top: float
-
-    @staticmethod
-    def of(docs: np.ndarray, parts: np.ndarray, size: int, block: int) -> List:
-        """size: documents in the shard."""
-        docs = docs.astype(np.int64)
-        begins = np.searchsorted(docs, np.arange(0, size + block, block))
-        filled = np.flatnonzero(begins[1:] > begins[:-1])
-        tops = np.zeros(len(begins) - 1)
-        tops[filled] = np.maximum.reduceat(parts, begins[filled])
-        return List(docs, parts, begins, tops, float(parts.max()))
-
-
 #: More than rounding moves a score.
 SLACK = 2e-6
 
 
-def wand(lists: list[List], ids: np.ndarray, nulls: np.ndarray, best: list[tuple[float, int]], k: int, block: int) -> int:
-    """Put the k best documents of a shard into the heap ``best`` of (score, -id); the number of blocks that were scored.
-
-    The bound of a block of documents is the sum of the lists' largest parts in it. Blocks go by falling bound, a few at a
-    time, until the next one's can't reach the k-th best score so far. The lists' order fixes how parts are added.
-    """
-
-    def floor() -> float:
-        return best[0][0] - SLACK if len(best) == k else SLACK / 4
-
-    if sum(x.top for x in lists) < floor():
-        return 0
-    bound = lists[0].tops.copy()
-    for x in lists[1:]:
-        bound += x.tops
-    alive = np.flatnonzero(bound >= floor())
-    alive = alive[np.argsort(-bound[alive], kind="stable")]
-    scored, step = 0, 4
-    while len(alive):
-        now, alive = alive[:step], alive[step:]
-        _score(lists, now, ids, nulls, best, k, block, floor)
-        scored += len(now)
-        step *= 2
-        alive = alive[bound[alive] >= floor()]
-    return scored
-
-
-def _score(lists: list[List], blocks: np.ndarray, ids: np.ndarray, nulls: np.ndarray, best: list, k: int, block: int, floor) -> None:
-    """Score the documents of some blocks."""
-    total = np.zeros(len(ids))
-    if 4 * len(blocks) > len(lists[0].tops):
-        for x in lists:
-            total[x.docs] += x.parts
-        inside = np.zeros(len(lists[0].tops), bool)
-        inside[blocks] = True
-        total *= np.repeat(inside, block)[: len(ids)]
-    else:
-        for x in lists:
-            for b in blocks.tolist():
-                lo, hi = x.begins[b], x.begins[b + 1]
-                if lo < hi:
-                    total[x.docs[lo:hi]] += x.parts[lo:hi]
-    at = np.flatnonzero((total >= floor()) & ~nulls)
-    if len(at) > 4 * k:
-        rounded = np.round(total[at], 6)
-        at = at[rounded >= np.partition(rounded, -k)[-k]]
-    for i, value in zip(ids[at].tolist(), total[at].tolist(), strict=True):
-        entry = (round(value, 6), -i)
-        if len(best) < k:
-            heapq.heappush(best, entry)
-        elif entry > best[0]:
-            heapq.heapreplace(best, entry)
+class Batch:
+    """Queries as rows of places in ``terms`` (sorted ids), and the k best of each so far."""
+
+    def __init__(self, packs: list[bytes], k: int) -> None:
+        got = [np.load(_file(p)) for p in packs]
+        self.terms, first = np.unique(np.concatenate([g["terms"] for g in got]), return_index=True)
+        self.idf = np.concatenate([g["idf"] for g in got])[first]
+        self.rows = np.concatenate([g["rows"] for g in got])
+        self.wants = [np.searchsorted(self.terms, part) for g in got for part in np.split(g["terms"][g["at"]], g["ends"][:-1])]
+        self.k = k
+        self.scores = np.full((len(self.rows), k), -np.inf)
+        self.ids = np.zeros((len(self.rows), k), np.int64)
+
+    def floor(self, q: int) -> float:
+        """What a document's score has to reach."""
+        return max(self.scores[q, -1] - SLACK, SLACK / 4)
+
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(ids) > 4 * self.k:
+            best = scores >= np.partition(scores, -self.k)[-self.k]
+            ids, scores = ids[best], scores[best]
+        ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
+        best = np.lexsort((ids, -scores))[: self.k]
+        self.ids[q], self.scores[q] = ids[best], scores[best]
+
+
+def _file(data: bytes):
+    import io
+
+    return io.BytesIO(unpack(data))
+
+
+def pack_queries(rows: list[int], wants: list[list[int]], idfs: list[list[float]]) -> bytes:
+    """Some queries in one binary: term ids are held once."""
+    import io
+
+    flat = np.concatenate([np.array(w, np.int64) for w in wants])
+    terms, first, at = np.unique(flat, return_index=True, return_inverse=True)
+    out = io.BytesIO()
+    np.savez(out, rows=np.array(rows, np.int64), terms=terms, idf=np.concatenate([np.array(x) for x in idfs])[first], at=at.astype("<i4"), ends=np.cumsum([len(w) for w in wants]))
+    return pack(out.getvalue())
+
+
+class Shard:
+    """The postings of a batch's terms in one shard: documents and score parts by list, and each list's largest part in each
+    block of documents. Lists of many documents are rows of a matrix as well."""
+
+    def __init__(self, batch: Batch, terms: np.ndarray, df: np.ndarray, docs: np.ndarray, freqs: np.ndarray, lengths: np.ndarray, mean: float, s: Settings) -> None:
+        n = self.n = len(lengths)
+        self.s = s
+        place = np.searchsorted(batch.terms, terms)
+        self.list_of = np.full(len(batch.terms), -1)
+        self.list_of[place] = np.arange(len(terms))
+        self.ends = np.cumsum(df)
+        self.starts = self.ends - df
+        self.docs = docs.astype(np.int64)
+        damp = s.k1 * (1 - s.b + s.b * lengths / mean)
+        self.parts = np.repeat(batch.idf[place], df) * freqs * (s.k1 + 1) / (freqs + damp[self.docs])
+        self.blocks = -(-n // s.block)
+        which = np.repeat(np.arange(len(terms)), df)
+        cell = which * self.blocks + self.docs // s.block  # never falls, as a list's documents ascend
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.tops = np.zeros((len(terms), self.blocks))
+        if len(first):
+            self.tops.ravel()[cell[first]] = np.maximum.reduceat(self.parts, first)
+        often = np.flatnonzero(df >= max(1, n // 8))
+        self.dense_of = np.full(len(terms), -1)
+        self.dense_of[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        inside = self.dense_of[which] >= 0
+        self.dense[self.dense_of[which[inside]], self.docs[inside]] = self.parts[inside]
+
+    def _scores(self, lists: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of these blocks and their scores."""
+        size, dense = self.s.block, self.dense_of[lists]
+        rows, few = dense[dense >= 0], lists[dense < 0]
+        lo, m = self.starts[few], self.ends[few] - self.starts[few]
+        at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        total = np.bincount(self.docs[at], self.parts[at], self.n) if len(at) else np.zeros(self.n)
+        if 2 * len(blocks) >= self.blocks:
+            here = np.ones(self.blocks, bool) if len(blocks) == self.blocks else np.isin(np.arange(self.blocks), blocks)
+            docs = np.flatnonzero(np.repeat(here, size)[: self.n])
+            if len(rows):
+                total += self.dense[rows].sum(0)
+            return docs, total[docs]
+        docs = (blocks[:, None] * size + np.arange(size)).ravel()
+        docs = docs[docs < self.n]
+        return docs, total[docs] + (sum(self.dense[r].take(docs) for r in rows.tolist()) if len(rows) else 0)
+
+    def search(self, batch: Batch, q: int, ids: np.ndarray, nulls: np.ndarray) -> int:
+        """Put the shard's documents that are among the query's k best into the batch; the number of blocks that were scored."""
+        lists = self.list_of[batch.wants[q]]
+        lists = lists[lists >= 0]
+        if not len(lists):
+            return 0
+        bound = self.tops[lists].sum(0)
+        alive = np.flatnonzero(bound >= batch.floor(q))
+        alive = alive[np.argsort(-bound[alive], kind="stable")]
+        scored, step = 0, max(1, self.blocks // 8)
+        while len(alive):
+            if scored:
+                step = len(alive)
+            now, alive = alive[:step], alive[step:]
+            docs, scores = self._scores(lists, now)
+            good = (scores >= batch.floor(q)) & ~nulls[docs]
+            if good.any():
+                batch.add(q, ids[docs[good]], np.round(scores[good], 6))
+            scored += len(now)
+            alive = alive[bound[alive] >= batch.floor(q)]
+        return scored
 
 
 def _streams(facts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -140,40 +178,39 @@ def _null(kind: str):
     return F.lit(None).cast(kind)
 
 
-def _query_terms(queries: DataFrame, known: DataFrame, n: int, buckets: int, s: Settings, key: str, text: str) -> DataFrame:
-    """row, query_id, term, bucket, idf of each query row's terms of highest tf * idf."""
-    names = ["bucket", "row", "query_id", "term", "tf"]
+def _table(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names)
+
+
+def _query_terms(queries: DataFrame, known: DataFrame, n: int, buckets: int, key: str, text: str) -> DataFrame:
+    """row, query_id, bucket, term, id and idf of each query row's distinct words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 32
         for batch in batches:
-            out: list[tuple] = []
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 row += 1
-                out += [(zlib.crc32(t) % buckets, row, i, t, c) for t, c in Counter(words(value.as_py() or "")).items()]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], names)
+                out = [(zlib.crc32(t) % buckets, row, i, t) for t in set(words(value.as_py() or ""))]
+                yield _table(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), ["bucket", "row", "query_id", "term"])
 
-    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(cut, "bucket int, row long, query_id long, term binary, tf long")
-    rows = asked.select("bucket", F.lit(1).alias("kind"), "row", "query_id", "term", "tf", _null("binary").alias("terms"), _null("binary").alias("counts"))
-    facts = known.select("bucket", F.lit(0).alias("kind"), _null("long").alias("row"), _null("long").alias("query_id"), _null("binary").alias("term"), _null("long").alias("tf"), "terms", "counts")
+    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(cut, "bucket int, row long, query_id long, term binary")
+    rows = asked.select("bucket", F.lit(1).alias("kind"), "row", "query_id", "term", _null("binary").alias("terms"), _null("binary").alias("counts"))
+    facts = known.select("bucket", F.lit(0).alias("kind"), _null("long").alias("row"), _null("long").alias("query_id"), _null("binary").alias("term"), "terms", "counts")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dfs: dict[bytes, int] = {}
+        places: dict[bytes, int] = {}
+        dfs: list[int] = []
         for batch in batches:
             out: list[tuple] = []
-            for b, kind, row, i, term, tf, terms, counts in zip(*(batch.column(j).to_pylist() for j in range(8)), strict=True):
+            for b, kind, row, i, term, terms, counts in zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True):
                 if kind == 0:
-                    dfs = dict(zip(unpack(terms).split(SEPARATOR), np.frombuffer(unpack(counts), "<i8").tolist(), strict=True))
+                    places = {t: at for at, t in enumerate(unpack(terms).split(SEPARATOR))}
+                    dfs = np.frombuffer(unpack(counts), "<i8").tolist()
                 else:
-                    weight = idf(n, dfs[term])
-                    out.append((b, row, i, term, round(tf * weight, 9), weight))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], ["bucket", "row", "query_id", "term", "weight", "idf"])
+                    out.append((row, i, b, term, b << 32 | places[term], idf(n, dfs[places[term]])))
+            yield _table(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64()), ["row", "query_id", "bucket", "term", "id", "idf"])
 
-    weighed = _streams(facts, rows).mapInArrow(weigh, "bucket int, row long, query_id long, term binary, weight double, idf double")
-    best = Window.partitionBy("row").orderBy(F.desc("weight"), "term")
-    return weighed.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= s.terms).select("row", "query_id", "term", "bucket", "idf")
+    return _streams(facts, rows).mapInArrow(weigh, "row long, query_id long, bucket int, term binary, id long, idf double")
 
 
 def top_k(docs: DataFrame, queries: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,83 +227,123 @@ def top_k(docs: DataFrame, queries: DataFrame, settings: Settings | None = None,
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = [np.frombuffer(unpack(p)) for batch in batches for p in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, lengths))], pa.int64()), pa.array([int(sum(x.sum() for x in lengths))], pa.int64())], ["n", "total"])
+        yield _table([(sum(map(len, lengths)), int(sum(x.sum() for x in lengths)), len(lengths))], (pa.int64(),) * 3, ["n", "total", "shards"])
 
-    got = about.mapInArrow(sizes, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
-    n, mean = got[0] or 0, max(1, got[1] or 0) / max(1, got[0] or 0)
+    got = about.mapInArrow(sizes, "n long, total long, shards long").agg(F.sum("n"), F.sum("total"), F.sum("shards")).first()
+    n, mean, shards = got[0] or 0, max(1, got[1] or 0) / max(1, got[0] or 0), got[2] or 0
     known = keep(dictionary(index).select("bucket", "terms", "counts"), "frequencies")
-    chosen = keep(_query_terms(queries, known, n, buckets, s, key, text), "queries")
-    by_row = chosen.groupBy("row", "query_id").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.hex("term")))), 256).alias("query"))
+    chosen = keep(_query_terms(queries, known, n, buckets, key, text), "queries")
+    sorted_terms = F.array_sort(F.collect_list(F.struct("id", "idf")))
+    by_row = chosen.groupBy("row", "query_id").agg(sorted_terms.alias("terms")).withColumn("query", F.sha2(F.array_join(F.transform("terms", lambda t: t["id"].cast("string")), ","), 256))
     asked = keep(by_row, "asked")
-    one = asked.groupBy("query").agg(F.min("row").alias("row"))
-    terms = chosen.join(one, "row").groupBy("bucket", "term", "idf").agg(F.collect_list("row").alias("rows"))
-    wanted = terms.groupBy("bucket").agg(F.collect_list(F.struct("term", "idf", "rows")).alias("wanted"))
+    one = keep(asked.groupBy("query").agg(F.min("row").alias("row")), "distinct")
+    batches_n = max(1, -(-one.count() // s.batch))
+    batch_of = lambda row: F.pmod(F.xxhash64(row), F.lit(batches_n)).cast("int")
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(shards, max(2 * cores, -(-shards // s.shards))))
+    cell_of = lambda group, batch: (group * F.lit(batches_n).cast("long") + batch).alias("cell")
+
+    def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, held = None, []
+
+        def out() -> pa.RecordBatch:
+            made = [(batch, pack_queries(*zip(*held)))] if held else []
+            held.clear()
+            return _table(made, (pa.int32(), pa.binary()), ["batch", "pack"])
+
+        for part in rows:
+            for b, row, terms in zip(*(part.column(j).to_pylist() for j in range(3)), strict=True):
+                if b != batch or len(held) >= 512:
+                    yield out()
+                    batch = b
+                held.append((row, [t["id"] for t in terms], [t["idf"] for t in terms]))
+        yield out()
+
+    alone = asked.join(one.select("row"), "row").select(batch_of("row").alias("batch"), "row", "terms")
+    packs = keep(alone.sortWithinPartitions("batch").mapInArrow(gather, "batch int, pack binary"), "packs")
+    # which batches want a term, and where its postings are
+    terms = chosen.join(one, "row").groupBy("bucket", "term", "id").agg(F.collect_set(batch_of("row")).alias("batches"))
+    wanted = terms.groupBy("bucket").agg(F.collect_list(F.struct("term", "id", "batches")).alias("wanted"))
     facts = wanted.select("bucket", F.lit(0).alias("kind"), _null("long").alias("block"), _null("binary").alias("terms"), _null("binary").alias("posts"), "wanted")
     rows = index.filter("terms IS NOT NULL").select("bucket", F.lit(1).alias("kind"), "block", "terms", "posts", _null(wanted.schema["wanted"].dataType.simpleString()).alias("wanted"))
-    schema = "block long, term binary, idf double, docs binary, freqs binary, rows array<long>, ids binary"
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = (pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+    names = ["batch", "block", "terms", "posts"]
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, want = None, {}
-        for batch in batches:
+    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The postings of a bucket in a shard that a batch wants, in one row."""
+        bucket, want = None, []
+        for part in parts:
             out: list[tuple] = []
-            for b, kind, block, terms, posts, queried in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
+            for b, kind, block, terms, posts, queried in zip(*(part.column(j).to_pylist() for j in range(6)), strict=True):
                 if b != bucket:
-                    bucket, want = b, {}
+                    bucket, want = b, []
                 if kind == 0:
-                    want = {w["term"]: (w["idf"], w["rows"]) for w in queried}
+                    want = [{w["term"]: w["id"] for w in queried if batch in w["batches"]} for batch in range(batches_n)]
                 elif want:
                     there = unpack(terms).split(SEPARATOR)
-                    hits = [j for j, t in enumerate(there) if t in want]
-                    if hits:
-                        df, at, freqs = unpack_posts(posts, len(there))
-                        ends = np.cumsum(df)
-                        out += [(block, there[j], want[there[j]][0], at[ends[j] - df[j] : ends[j]].tobytes(), freqs[ends[j] - df[j] : ends[j]].astype("<u4").tobytes(), want[there[j]][1], None) for j in hits]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], names)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, head, held = None, None, {}
-        found: dict[int, list[tuple[float, int]]] = {}
-
-        def out() -> pa.RecordBatch:
-            got = [(row, -i, score) for row, best in found.items() for score, i in best]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["row", "doc_id", "score"])
+                    df, at, freqs = unpack_posts(posts, len(there))
+                    ends = np.cumsum(df)
+                    for batch, mine in enumerate(want):
+                        hits = np.array([j for j, t in enumerate(there) if t in mine], np.int64)
+                        if len(hits):
+                            place = np.concatenate([np.arange(ends[j] - df[j], ends[j]) for j in hits])
+                            ids = np.array([mine[there[j]] for j in hits], "<i8")
+                            out.append((batch, block, ids.tobytes(), pack(df[hits].astype("<u2").tobytes() + at[place].tobytes() + freqs[place].astype("<u4").tobytes())))
+            yield _table(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), names)
+
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, packed, batch = None, [], None
+        shard, head, held = None, None, []
+
+        def found() -> pa.RecordBatch:
+            at = np.nonzero(np.isfinite(batch.scores)) if batch else (np.zeros(0, int),) * 2
+            cols = (batch.rows[at[0]], batch.ids[at], batch.scores[at]) if batch else (at[0], at[0], at[0].astype(float))
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["row", "doc_id", "score"])
 
         def run() -> None:
+            nonlocal batch, packed
+            if not held or head is None or not (packed or batch):
+                return
+            if packed:
+                batch, packed = Batch(packed, s.k), []
             ids, nulls = unpack_ids(head[1])
-            lengths = np.frombuffer(unpack(head[0]))
-            damp = s.k1 * (1 - s.b + s.b * lengths / mean)
-            by_query: dict[int, list[List]] = {}
-            for term in sorted(held):
-                weight, at, freqs, asking = held[term]
-                made = List.of(at, weight * freqs * (s.k1 + 1) / (freqs + damp[at]), len(ids), s.block)
-                for row in asking:
-                    by_query.setdefault(row, []).append(made)
-            for row, lists in by_query.items():
-                wand(lists, ids, nulls, found.setdefault(row, []), s.k, s.block)
-
-        for batch in batches:
-            for block, term, weight, at, freqs, asking, ids in zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True):
-                if block != shard:
-                    if held:
-                        run()
-                    if len(found) > s.held:
-                        yield out()
-                    shard, head, held = block, None, {}
-                if ids is not None:
-                    head = (at, ids)
+            lists, df, at, freqs = [], [], [], []
+            for terms, posts in held:
+                t, raw = np.frombuffer(terms, "<i8"), unpack(posts)
+                d = np.frombuffer(raw, "<u2", len(t)).astype(np.int64)
+                lists.append(t)
+                df.append(d)
+                at.append(np.frombuffer(raw, "<u2", d.sum(), 2 * len(t)))
+                freqs.append(np.frombuffer(raw, "<u4", d.sum(), 2 * len(t) + 2 * d.sum()))
+            made = Shard(batch, *(np.concatenate(x) for x in (lists, df, at, freqs)), np.frombuffer(unpack(head[0])), mean, s)
+            for q in range(len(batch.rows)):
+                made.search(batch, q, ids, nulls)
+
+        for part in parts:
+            for c, kind, block, terms, posts, ids in zip(*(part.column(j).to_pylist() for j in range(6)), strict=True):
+                if c != cell or block != shard:
+                    run()
+                    shard, head, held = block, None, []
+                if c != cell:
+                    if batch:
+                        yield found()
+                    cell, packed, batch = c, [], None
+                if kind == 0:
+                    packed.append(posts)
+                elif ids is not None:
+                    head = (posts, ids)
                 else:
-                    held[term] = (weight, np.frombuffer(at, "<u2"), np.frombuffer(freqs, "<u4").astype(np.float64), asking)
-        if held:
-            run()
-        yield out()
-
-    picked = _streams(facts, rows).mapInArrow(pick, schema)
-    heads = about.select("block", _null("binary").alias("term"), _null("double").alias("idf"), F.col("posts").alias("docs"), _null("binary").alias("freqs"), _null("array<long>").alias("rows"), "ids")
-    by_shard = picked.unionByName(heads).repartition("block").sortWithinPartitions("block")
-    best = by_shard.mapInArrow(search, "row long, doc_id long, score double")
+                    held.append((terms, posts))
+        run()
+        yield found()
+
+    group_of = F.pmod(F.xxhash64("block"), F.lit(groups))
+    none = _null("binary")
+    picked = _streams(facts, rows).mapInArrow(pick, "batch int, block long, terms binary, posts binary")
+    lists = picked.select(cell_of(group_of, F.col("batch")), F.lit(1).alias("kind"), "block", "terms", "posts", none.alias("ids"))
+    heads = about.select("block", "posts", "ids", F.explode(F.sequence(F.lit(0), F.lit(batches_n - 1))).alias("batch")).select(cell_of(group_of, F.col("batch")), F.lit(1).alias("kind"), "block", none.alias("terms"), "posts", "ids")
+    asking = packs.select("batch", "pack", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).select(cell_of(F.col("group"), F.col("batch")), F.lit(0).alias("kind"), _null("long").alias("block"), none.alias("terms"), F.col("pack").alias("posts"), none.alias("ids"))
+    cells = asking.unionByName(lists).unionByName(heads).repartition("cell").sortWithinPartitions("cell", "kind", "block")
+    best = cells.mapInArrow(search, "row long, doc_id long, score double")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "doc_id")
     merged = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.k)
     return asked.select("query_id", "query").join(one, "query").join(merged, "row").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
