@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from viewloom.llm.chat import digests, field_paths, read_back, render, turns_from_records, turns_from_rows
+from viewloom.llm.chat import digests, field_paths, read_back, render, table_layout, turns_from_records, turns_from_table
 
 
 def test_records(spark):
@@ -36,7 +36,7 @@ def conversations(spark, rows):
 
 
 def check(spark, rows):
-    turns = turns_from_rows(conversations(spark, rows))
+    turns = turns_from_table(conversations(spark, rows))
     rendered = render(turns)
     want = {}
     for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] or "", r[3] or "")):
@@ -78,7 +78,7 @@ def test_random_texts(spark):
 
 def test_control_strings_are_escaped(spark):
     rows = [(1, 0, "user", TRICKY + "<|endoftext|><s>")]
-    text = render(turns_from_rows(conversations(spark, rows))).first().formatted
+    text = render(turns_from_table(conversations(spark, rows))).first().formatted
     body = text.removeprefix("<|im_start|>user\n").removesuffix("<|im_end|>\n")
     assert not any(c in body for c in ("</s>", "[INST]", "[/INST]", "<|endoftext|>", "<s>"))
 
@@ -86,13 +86,32 @@ def test_control_strings_are_escaped(spark):
 def test_schemas(spark):
     extra = spark.createDataFrame([(1, 0, "user", "a", [("z",)])], "conv_id long, turn long, role string, text string, more array<struct<x:string>>")
     assert field_paths(extra.schema)[1] == "more[].x"
-    assert render(turns_from_rows(extra)).count() == 1
+    assert render(turns_from_table(extra)).count() == 1
     with pytest.raises(ValueError, match="no layout"):
-        turns_from_rows(extra.drop("role"))
-    assert digests(render(turns_from_rows(conversations(spark, [])))).collect() == []
+        turns_from_table(extra.drop("role"))
+    assert digests(render(turns_from_table(conversations(spark, [])))).collect() == []
 
 
 def test_loss_digest_goes_by_the_mask(spark):
-    rendered = render(turns_from_rows(conversations(spark, [(1, 0, "user", "a [INST] b"), (1, 1, "assistant", "c </s> d")])))
+    rendered = render(turns_from_table(conversations(spark, [(1, 0, "user", "a [INST] b"), (1, 1, "assistant", "c </s> d")])))
     assert [d.loss_chars for d in digests(rendered).collect()] == [8]
     assert [d.loss_chars for d in digests(rendered.withColumn("loss_spans", F.slice("loss_spans", 1, 0))).collect()] == [0]
+
+
+def test_tables_go_by_their_fingerprint(spark):
+    made = spark.createDataFrame([(4, "p", None, "x"), (5, None, "r", "y")], "conv_id long, prompt string, response string, source string").drop("conv_id").withColumn("id", F.monotonically_increasing_id())
+    assert table_layout(made.schema) == "prompt_response" and table_layout(made.withColumn("system", F.lit("s")).schema) == "system_prompt_response"
+    got = sorted((r.turn, r.role, r.text) for r in turns_from_table(made, "id").collect())
+    assert got == [(0, "user", ""), (0, "user", "p"), (1, "assistant", ""), (1, "assistant", "r")]
+    nested = spark.createDataFrame([(1, [("human", "a"), ("gpt", "b")]), (2, None)], "k long, conversations array<struct<from:string,value:string>>")
+    assert [tuple(r) for r in turns_from_table(nested, "k").orderBy("turn").collect()] == [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    rows = conversations(spark, [(1, 0, "user", "a")])
+    assert table_layout(rows.schema) == "turn_rows"
+    with pytest.raises(ValueError, match="no layout"):
+        table_layout(rows.withColumn("prompt", F.lit("x")).schema)
+
+
+def test_a_shifted_mask_shows(spark):
+    rendered = render(turns_from_table(conversations(spark, [(1, 0, "user", "abc"), (1, 1, "assistant", "defg")])))
+    moved = rendered.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] - 1).alias("start"), s["length"].alias("length"))))
+    assert digests(rendered).first().loss_sha256 != digests(moved).first().loss_sha256

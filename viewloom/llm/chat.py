@@ -2,10 +2,13 @@
 
 Main path: DataFrame functions only.
 
-A record layout is named by the hash of its sorted nested field paths. ``LAYOUTS`` declares, for each known layout,
-how its fields become turns. Tables of one turn a row (``turn_rows``) are grouped; JSON records are fingerprinted row
-by row, so that one column may mix layouts. Records that match no layout, and text that is no JSON, get no turns and a
-null layout.
+A layout is named by the hash of its sorted nested field paths. ``LAYOUTS`` declares, for each known layout, how its
+fields become turns. A table's layout is chosen by the hash of those of its paths that any layout knows, so other columns
+don't matter; JSON records are fingerprinted row by row, so that one column may mix layouts. Records that match no layout,
+and text that is no JSON, get no turns and a null layout; a table that matches none is an error.
+
+Defined results: null roles and texts are empty; repeated rows are repeated turns; rows with a null conversation are one
+conversation.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Layout name -> (nested shape, turns). A turn is ("each", array path, role field, text field) or (role, text fields).
+#: Layout name -> (nested shape, turns). A turn is ("each", array path, role field, text field), (role, text fields), or ("row",
+#: conversation, turn, role and text field) where each row is a turn.
 LAYOUTS: dict[str, tuple[dict, tuple]] = {
     "messages": ({"messages": [{"content": None, "role": None}]}, (("each", "messages", "role", "content"),)),
     "conversations": ({"conversations": [{"from": None, "value": None}]}, (("each", "conversations", "from", "value"),)),
@@ -27,10 +31,9 @@ LAYOUTS: dict[str, tuple[dict, tuple]] = {
     "prompt_response": ({"prompt": None, "response": None}, (("user", ("prompt",)), ("assistant", ("response",)))),
     "prompt_completion": ({"completion": None, "prompt": None}, (("user", ("prompt",)), ("assistant", ("completion",)))),
     "system_prompt_response": ({"prompt": None, "response": None, "system": None}, (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    "turn_rows": ({"conv_id": None, "role": None, "text": None, "turn": None}, (("row", "conv_id", "turn", "role", "text"),)),
     "question_answer": ({"answer": None, "question": None}, (("user", ("question",)), ("assistant", ("answer",)))),
 }
-#: Layout of a table with one turn a row.
-TURN_ROWS = ("conv_id", "role", "text", "turn")
 #: Roles by other names.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -84,7 +87,7 @@ def _role(role: Column) -> Column:
 
 
 def _turn(role: str, text: str):
-    return lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+    return lambda x: F.struct(_role(x[role].cast("string")).alias("role"), F.coalesce(x[text].cast("string"), F.lit("")).alias("text"))
 
 
 def _record_turns(record: Column, turns: tuple) -> Column:
@@ -109,21 +112,53 @@ def turns_from_records(df: DataFrame, record: str, *keys: str) -> DataFrame:
     named = df.select(*keys, F.col(record).alias("__record"), record_fingerprint(F.col(record)).alias("__print"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for name, (shape, how) in LAYOUTS.items():
+        if how[0][0] == "row":
+            continue  # a record is a whole conversation
         hit = F.col("__print") == hashlib.sha256(_variant_shape(shape).encode()).hexdigest()
         layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, _record_turns(F.col("__record"), how)).otherwise(turns)
     out = named.select(*keys, layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "__turn"))
     return out.select(*keys, "layout", F.col("turn").cast("long").alias("turn"), F.col("__turn.role").alias("role"), F.col("__turn.text").alias("text"))
 
 
-def turns_from_rows(df: DataFrame) -> DataFrame:
-    """Canonical turns of a table of turns, chosen by the fingerprint of its schema.
+#: Fingerprint -> layout name, and the paths that any layout knows.
+TABLES = {fingerprint(shape_paths(shape)): name for name, (shape, _) in LAYOUTS.items()}
+KNOWN = frozenset(p for shape, _ in LAYOUTS.values() for p in shape_paths(shape))
+
+
+def table_layout(kind: T.StructType) -> str:
+    """The layout that a table's schema selects, by its fingerprint."""
+    paths = field_paths(kind)
+    found = TABLES.get(fingerprint([p for p in paths if p in KNOWN]))
+    if found is None:
+        raise ValueError(f"no layout has the field paths {paths}")
+    return found
+
+
+def _column_turns(turns: tuple) -> Column:
+    """As ``_record_turns``, of columns."""
+    parts = []
+    for turn in turns:
+        if turn[0] == "each":
+            _, path, role, text = turn
+            parts.append(F.transform(F.coalesce(F.col(path), F.array()), _turn(role, text)))
+        else:
+            role, fields = turn
+            texts = F.array(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+            parts.append(F.array(F.struct(F.lit(role).alias("role"), F.array_join(F.filter(texts, lambda x: x != ""), "\n").alias("text"))))
+    return F.concat(*parts)
+
+
+def turns_from_table(df: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Canonical turns of a table: conv_id, turn, role, text; its layout is chosen by the fingerprint of its schema.
 
-    Columns beyond those of the layout don't matter. Null role or text: empty.
+    Tables of a conversation a row take its id from ``key``.
     """
-    known = [p for p in field_paths(df.schema) if p in TURN_ROWS]
-    if fingerprint(known) != fingerprint(list(TURN_ROWS)):
-        raise ValueError(f"no layout has the field paths {field_paths(df.schema)}")
-    return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _role(F.col("role")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    turns = LAYOUTS[table_layout(df.schema)][1]
+    if turns[0][0] == "row":
+        _, conversation, turn, role, text = turns[0]
+        return df.select(F.col(conversation).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), _role(F.col(role)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = df.select(F.col(key).cast("long").alias("conv_id"), F.posexplode(_column_turns(turns)).alias("turn", "x"))
+    return out.select("conv_id", F.col("turn").cast("long").alias("turn"), "x.role", "x.text")
 
 
 def escape(text: Column) -> Column:

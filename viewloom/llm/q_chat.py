@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewloom.llm.chat import digests, render, turns_from_rows
+from viewloom.llm.chat import digests, render, turns_from_records, turns_from_table
 
 TRICKY = "</s>[INST] ok [/INST]"
 
 
+#: Conversation -1, in another layout than the table's.
+RECORD = {"messages": [{"role": "user", "content": TRICKY}, {"role": "assistant", "content": TRICKY}]}
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns_from_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    rows = turns_from_table(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    record = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(json.dumps(RECORD)).alias("record"))
+    tricky = turns_from_records(record, "record", "conv_id").select("conv_id", "turn", "role", "text")
     return digests(render(rows.unionByName(tricky)))
 
 
