@@ -12,12 +12,10 @@ Null texts count as empty and have one piece, the end id. Repeated rows are pack
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewloom.llm.store import keep
+from viewloom.llm.subwords import encode_words
 from viewloom.llm.worker import Recent, held, lean, trimmed
 
 COMBINATIONS = 40_000
@@ -35,31 +34,14 @@ _JOINT = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
 CACHED = 800_000
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 def encode(texts: list[str | None], path: str, cached: int = CACHED) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, without special tokens around it.
 
     For tokenizers that drop white space: texts are cut at ASCII white space and each distinct word is encoded once.
     """
-    tokenizer = _tokenizer(path)
-
-    def ids(new: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(new), 20_000):
-            found = tokenizer.encode_batch_fast([w.decode() for w in new[at : at + 20_000]], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
-        return out
-
     raw = [(t or "").encode() for t in texts]
     words = [(r if b"<|" in r else _JOINT.sub(b" ", r.lower())).split() for r in raw]
-    known = held(("ids", path, cached), lambda: Recent(cached)).of(set().union(*words), ids)
+    known = held(("ids", path, cached), lambda: Recent(cached)).of(set().union(*words), lambda new: encode_words(new, path))
     return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
@@ -111,7 +93,7 @@ def combinations(h: np.ndarray, window: int, most: int = COMBINATIONS) -> np.nda
             if len(b) > 64:
                 b = b[np.argsort(-np.minimum(h[b], h[window - x - b]), kind="stable")[:64]]
             found.append(np.stack([0 * b, 0 * b + x, b, window - x - b], 1))
-    # four: the best two pairs for each way to split the window in two sums
+    # four: the best four pairs for each way to split the window in two sums
     best: dict[int, np.ndarray] = {}
     for s in range(2, window - 1):
         b = np.arange(1, s // 2 + 1)
