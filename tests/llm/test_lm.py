@@ -7,10 +7,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 
-from viewloom.llm.lm import Settings, fit, score, score_documents, word_ids
+from viewloom.llm.lm import Model, Settings, _init, classes, followers, inputs, score, score_documents, train, word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-SMALL = Settings(steps=150, own=64, single=8, clusters=8, groups=4, sample_windows=2000)
+SMALL = Settings(own=64, single=8, clusters=8, groups=4, near=16, passes=12, rounds=2, trainer=150, batch=64)
 
 
 def test_scores(spark):
@@ -41,10 +41,40 @@ def test_empty(spark):
     assert score_documents(spark.createDataFrame([], "doc_id long, text string"), PATH, 49407, lambda i: True, SMALL).collect() == []
 
 
+def fitted(windows, steps, s=SMALL):
+    counts = np.bincount(windows.ravel()[windows.ravel() < s.vocabulary], minlength=s.vocabulary)
+    group = classes(np.random.default_rng(1).normal(0, 1, (s.vocabulary, 4)), counts, s)
+    slot, size, mass = inputs(group, counts, s), np.bincount(group, minlength=s.classes), np.bincount(group, counts, s.classes)
+    good = windows[:, 1:] < s.vocabulary
+    pairs = np.zeros((s.slots, s.classes))
+    np.add.at(pairs, (slot[np.minimum(windows[:, :-1], s.vocabulary)][good], group[windows[:, 1:][good]]), 1)
+    model = Model(s, slot, group, np.log10((counts + 1) / (mass + size)[group]), followers(pairs, group, counts, s), _init(s))
+    if steps:
+        train(model, windows, tuple({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2)), steps, 0, 0, 1)
+    return model
+
+
+def test_attention_learns_what_pairs_cannot_tell():
+    """The id after a mark depends on the id two places before it."""
+    rng = np.random.default_rng(4)
+    ids = [t for a in rng.integers(0, 4, 9000) for t in (int(a), 5, 10 + int(a))]
+    windows = np.array([ids[at : at + SMALL.window + 1] for at in range(0, len(ids) - SMALL.window, SMALL.window)])
+    texts = [np.array(ids[at : at + 300], "<u2") for at in range(0, 3000, 300)]
+    before, after = (score(fitted(windows, n), texts).sum() for n in (0, 400))
+    assert after > 0.75 * before  # log probabilities: less is lost
+
+
+def test_short_texts_are_learned_from():
+    short = np.full((200, SMALL.window + 1), SMALL.vocabulary + 1)
+    short[:, :4] = [SMALL.vocabulary, 7, 9, 7]
+    model = fitted(short, 60)
+    assert np.isfinite(score(model, [np.array([7, 9, 7], "<u2")])).all() and score(model, [np.array([7, 9, 7], "<u2")])[0] > score(model, [np.array([9, 9, 9], "<u2")])[0]
+
+
 def test_windows_and_batches():
     rng = np.random.default_rng(0)
     windows = rng.integers(0, 50, (300, SMALL.window + 1))
-    model = fit(windows, np.bincount(windows.ravel(), minlength=SMALL.vocabulary), SMALL)
+    model = fitted(windows, 40)
     texts = [rng.integers(0, 60, n).astype("<u2") for n in (1, 5, 31, 32, 33, 52, 53, 500)]
     together = score(model, texts, chunk=3)
     assert np.allclose(together, [score(model, [t])[0] for t in texts], rtol=1e-4)

@@ -1,20 +1,23 @@
 """Language-model scoring: a causal self-attention model over subword ids, trained in numpy, beside word frequencies.
 
 A text's subword ids, and an end id, are scored in overlapping context windows: each window scores the ids that no
-earlier window scored, with at least ``window - stride`` ids of context. One masked attention layer and a hidden layer
-give a distribution over groups of classes of ids, and over the classes in a group; within its class an id has its add-one
-share of the counts of all training documents. Queries, keys and values are linear in the embeddings, so scoring looks
-them up, and only the class distribution of an id's own group is computed.
-
-The network's weights and the classes are fitted on a bounded sample of windows; word counts, id counts and all scores
-cover whole texts of all documents. Null texts are empty: one end. Repeated rows count and are scored as they come; with
-no training documents all counts are 0.
+earlier window scored, with at least ``window - stride`` ids of context. What follows an id, by class of ids, is counted
+over all training documents; one masked attention layer and a hidden layer learn what those counts leave open. Together
+they give a distribution over groups of classes of ids, and over the classes in a group; within its class an id has its
+add-one share of the counts of all training documents. Queries, keys and values are linear in the embeddings, so scoring
+looks them up, and only the class distribution of an id's own group is computed.
+
+Classes, counts and what follows an id come from all training documents. The network's windows are drawn from all of them,
+short ones included, at a fixed share, so their number grows with the corpus; with it grows the number of trainers. In
+each round every trainer goes over its own windows from the same weights, and the weights are averaged, so training is
+spread over the cluster and no task or driver holds more than one trainer's windows.
+
+Null texts are empty: one end. Repeated rows count and are scored as they come; with no training documents all counts
+are 0.
 """
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.packing import _tokenizer
+from viewloom.llm.minhash import _mix
 from viewloom.llm.postings import NAMES, SCHEMA, Lookup, buckets_for, dictionary, pack, postings, sum_by_document, unpack, unpack_ids
 from viewloom.llm.store import keep
+from viewloom.llm.subwords import encode_words
 from viewloom.llm.worker import held
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_windows`` bounds the training sample: windows, a few from each chosen document. A small sample is gone over ``passes`` times at most."""
+    """``share`` of all windows are trained on, ``least`` of them if there are so many; ``trainer``: windows of a trainer, about."""
 
     vocabulary: int = 49408
     window: int = 32
@@ -42,14 +46,27 @@ class Settings:
     single: int = 160
     clusters: int = 96
     groups: int = 16
-    sample_windows: int = 24_000
-    windows_a_doc: int = 8
-    steps: int = 2400
-    passes: int = 20
-    batch: int = 192
+    near: int = 256
+    vector: int = 8
+    prior: float = 20.0
+    share: float = 1 / 128
+    least: int = 12_000
+    trainer: int = 12_000
+    rounds: int = 3
+    passes: int = 3
+    batch: int = 128
     rate: float = 0.008
     seed: int = 3
 
+    @property
+    def classes(self) -> int:
+        return self.single + self.clusters
+
+    @property
+    def slots(self) -> int:
+        """Of inputs: the most frequent ids, classes for all others, and the begin of a text."""
+        return self.own + self.classes + 1
+
 
 LIMIT = np.float32(25.0)
 
@@ -60,6 +77,7 @@ class Model:
     slot: np.ndarray  # of each id, for input; the last slot begins a text
     group: np.ndarray  # class of each id
     share: np.ndarray  # log10 of an id's share of its class
+    after: tuple[np.ndarray, np.ndarray]  # ln of the shares of groups after each slot, and of classes in their group
     p: dict[str, np.ndarray]
 
     def tables(self) -> dict[str, np.ndarray]:
@@ -68,31 +86,24 @@ class Model:
         return out | {"p" + n: np.ascontiguousarray(p["P"] @ p[w]) for n, w in (("q", "Wq"), ("k", "Wk"), ("v", "Wv"))}
 
 
-def _init(s: Settings, slots: int, groups: int) -> dict[str, np.ndarray]:
+def _init(s: Settings) -> dict[str, np.ndarray]:
+    """Weights that leave the counts as they are: the last layer is zero."""
     rng = np.random.default_rng(s.seed)
     d, h = s.width, s.hidden
-    shapes = {"E": (slots, d), "P": (s.window, d), "Wq": (d, d), "Wk": (d, d), "Wv": (d, d), "Wo": (d, h), "W1": (d, h), "b1": (h,), "Wg": (h, s.groups), "bg": (s.groups,), "Wc": (h, groups), "bc": (groups,)}
-    scale = {"E": 0.5, "P": 0.1, "b1": 0, "bg": 0, "bc": 0}
+    shapes = {"E": (s.slots, d), "P": (s.window, d), "Wq": (d, d), "Wk": (d, d), "Wv": (d, d), "Wo": (d, h), "W1": (d, h), "b1": (h,), "Wg": (h, s.groups), "bg": (s.groups,), "Wc": (h, s.classes), "bc": (s.classes,)}
+    scale = {"E": 0.5, "P": 0.1, "b1": 0, "Wg": 0, "bg": 0, "Wc": 0, "bc": 0}
     return {k: (rng.normal(0, 1, v) * scale.get(k, v[0] ** -0.5)).astype(np.float32) for k, v in shapes.items()}
 
 
-def classes(windows: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
-    """A class for each id: the most frequent ids have their own, the others are clustered by their neighbours in the sample."""
+def classes(near: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
+    """A class for each id: the most frequent ids have their own, the others are clustered by their neighbours. near: a sum of vectors of each id's neighbours."""
     order = np.argsort(-counts, kind="stable")
     group = np.zeros(s.vocabulary, np.int64)
     group[order[: s.single]] = np.arange(s.single)
-    near = 256
-    rank = np.full(s.vocabulary + 1, near)
-    rank[order[:near]] = np.arange(near)
-    table = np.zeros((s.vocabulary + 1, 2 * near + 2), np.float32)
-    np.add.at(table, (windows[:, 1:].ravel(), rank[windows[:, :-1]].ravel()), 1)
-    np.add.at(table, (windows[:, :-1].ravel(), near + 1 + rank[windows[:, 1:]].ravel()), 1)
     rest = order[s.single :]
-    x = np.sqrt(table[rest] / np.maximum(1, table[rest].sum(1, keepdims=True)))
-    x -= x.mean(0)
-    rng = np.random.default_rng(s.seed)
-    x = x @ rng.normal(0, 1, (x.shape[1], 24)).astype(np.float32)
+    x = (near / np.maximum(1, counts)[:, None])[rest].astype(np.float32)
     weight = np.sqrt(counts[rest]) + 1e-3
+    x -= np.average(x, 0, weight)
     centre = x[np.linspace(0, min(len(rest) - 1, 40 * s.clusters), s.clusters).astype(int)].copy()
     for _ in range(12):
         at = (((centre**2).sum(1))[None] - 2 * x @ centre.T).argmin(1)
@@ -103,23 +114,28 @@ def classes(windows: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
     return group
 
 
-def fit(windows: np.ndarray, counts: np.ndarray, s: Settings) -> Model:
-    """windows: rows of window + 1 ids, vocabulary for the begin of a text; counts: of each id in all training documents."""
-    order = np.argsort(-counts, kind="stable")
-    slot = np.full(s.vocabulary + 1, s.own, np.int64)
-    slot[order[: s.own]] = np.arange(s.own)
-    group = classes(windows, counts, s) if len(windows) else np.zeros(s.vocabulary, np.int64)
-    groups = s.single + s.clusters
-    slot[: s.vocabulary] = np.where(slot[: s.vocabulary] == s.own, s.own + group, slot[: s.vocabulary])  # rare ids enter by their class
-    slots = s.own + groups + 1
-    slot[s.vocabulary] = slots - 1
-    size, mass = np.bincount(group, minlength=groups), np.bincount(group, counts, groups)
-    share = np.log10((counts + 1) / (mass + size)[group])
-    p = _init(s, slots, groups)
-    if len(windows):
-        _train(p, slot[windows[:, :-1]], group[windows[:, 1:] % s.vocabulary], s)
-    p["bc"][size == 0] = p["bg"][np.add.reduceat(size, np.arange(0, groups, groups // s.groups)) == 0] = -1e4  # no ids, no share
-    return Model(s, slot, group, share, p)
+def inputs(group: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
+    """The input slot of each id, and of the begin of a text; rare ids enter by their class."""
+    slot = np.append(s.own + group, s.slots - 1)
+    order = np.argsort(-counts, kind="stable")[: s.own]
+    slot[order] = np.arange(len(order))
+    return slot
+
+
+def followers(pairs: np.ndarray, group: np.ndarray, counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """ln shares of class groups after each slot, and of classes in their group, from counts of (slot, class); drawn to those of all ids by ``prior`` counts.
+
+    Classes without ids have no share.
+    """
+    size = np.bincount(group, minlength=s.classes)
+    mass = np.bincount(group, counts + 1, s.classes)
+    p = (pairs + s.prior * mass / mass.sum()).reshape(s.slots, s.groups, -1)
+    whole = p.sum(2)
+    with np.errstate(divide="ignore"):
+        there = size.reshape(s.groups, -1)
+        by_group = np.where(there.any(1), np.log(np.maximum(whole, 1e-30) / whole.sum(1, keepdims=True)), -1e4)
+        by_class = np.where(there > 0, np.log(np.maximum(p, 1e-30) / np.maximum(whole, 1e-30)[..., None]), -1e4)
+    return by_group.astype(np.float32), by_class.astype(np.float32)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -128,17 +144,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Settings) -> None:
-    """Adam on the cross-entropy of the next class, with gradients written out."""
-    rng = np.random.default_rng(s.seed)
-    t, d = s.window, s.width
+def train(m: Model, windows: np.ndarray, state: tuple[dict, dict], steps: int, seed: int, done: float, rounds: int) -> None:
+    """Adam on the cross-entropy of the next class, with gradients written out; changes the model's weights and ``state``.
+
+    windows: rows of window + 1 ids, vocabulary for the begin of a text and beyond for the places after its end. done: the
+    rounds before this one.
+    """
+    s, p = m.s, m.p
+    rng = np.random.default_rng((s.seed, seed))
+    real = windows[:, 1:] < s.vocabulary
+    x, y = m.slot[np.minimum(windows[:, :-1], s.vocabulary)], m.group[np.where(real, windows[:, 1:], 0)]
+    t, d, each = s.window, s.width, s.classes // s.groups
     mask = np.where(np.tril(np.ones((t, t))), 0, -1e9).astype(np.float32)
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    first, second = state
     scale = np.float32(d**-0.5)
-    steps = min(s.steps, 1 + s.passes * len(x) // s.batch)
     for step in range(1, steps + 1):
         at = rng.integers(0, len(x), s.batch)
-        xi, yi = x[at], y[at]
+        xi, yi, good = x[at], y[at], real[at].ravel()
         e = p["E"][xi] + p["P"]
         q, k, v = e @ p["Wq"], e @ p["Wk"], e @ p["Wv"]
         a = q @ k.transpose(0, 2, 1) * scale + mask
@@ -147,15 +169,16 @@ def _train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Settings)
         c = a @ v
         r = c @ p["Wo"] + e @ p["W1"] + p["b1"]
         h = np.maximum(r, 0)
-        n, each = yi.size, p["bc"].size // s.groups
-        flat, rows, goal = h.reshape(yi.size, -1), np.arange(yi.size), yi.ravel()
-        zg = _softmax(flat @ p["Wg"] + p["bg"])
-        zc = _softmax((flat @ p["Wc"] + p["bc"]).reshape(n, s.groups, each)[rows, goal // each])
+        n = yi.size
+        weight = (good / max(1, good.sum())).astype(np.float32)[:, None]
+        flat, rows, goal, came = h.reshape(n, -1), np.arange(n), yi.ravel(), xi.ravel()
+        zg = _softmax(flat @ p["Wg"] + p["bg"] + m.after[0][came])
+        zc = _softmax((flat @ p["Wc"] + p["bc"]).reshape(n, s.groups, each)[rows, goal // each] + m.after[1][came, goal // each])
         zg[rows, goal // each] -= 1
         zc[rows, goal % each] -= 1
         dz = np.zeros((n, s.groups, each), np.float32)
-        dz[rows, goal // each] = zc / n
-        dz, zg = dz.reshape(n, -1), zg / n
+        dz[rows, goal // each] = zc * weight
+        dz, zg = dz.reshape(n, -1), zg * weight
         g = {"Wc": flat.T @ dz, "bc": dz.sum(0), "Wg": flat.T @ zg, "bg": zg.sum(0)}
         dr = ((dz @ p["Wc"].T + zg @ p["Wg"].T).reshape(r.shape)) * (r > 0)
         flat = dr.reshape(n, -1)
@@ -169,12 +192,13 @@ def _train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, s: Settings)
             de = de + grad @ p[name].T
         g["P"] = de.sum(0)
         g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], xi.ravel(), de.reshape(n, d))
-        rate = s.rate * min(1, step / 50) * (1 - 0.9 * step / steps)
+        np.add.at(g["E"], came, de.reshape(n, d))
+        past = (done + step / steps) / rounds
+        rate = s.rate * min(1.0, (done * steps + step) / 30) * (1 - 0.9 * past)
         for name, w in p.items():
             first[name] += 0.1 * (g[name] - first[name])
             second[name] += 0.01 * (g[name] ** 2 - second[name])
-            w -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+            w -= rate * first[name] / (np.sqrt(second[name]) + 1e-6)
 
 
 def _log_share(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
@@ -204,18 +228,22 @@ def _window_scores(m: Model, tables: dict, x: np.ndarray, y: np.ndarray, skip: i
     r = c.reshape(-1, d) @ m.p["Wo"]
     r += (tables["h"].take(late, axis=0) + tables["ph"][skip:]).reshape(r.shape)
     np.maximum(r, 0, out=r)
-    each = m.p["bc"].size // s.groups
-    goal = y.ravel()
+    each = s.classes // s.groups
+    goal, came = y.ravel(), late.ravel()
     group = goal // each
-    out = _log_share(r @ m.p["Wg"] + m.p["bg"], group)
+    z = r @ m.p["Wg"]
+    z += tables["after"].take(came, axis=0)
+    out = _log_share(z, group)
     order = np.argsort(group, kind="stable")
     ends = np.cumsum(np.bincount(group, minlength=s.groups))
-    sorted_r, inner = r[order], (goal % each)[order]
+    sorted_r, inner, came = r[order], (goal % each)[order], came[order]
     mine = np.empty(len(goal), np.float32)
     for k, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
         if lo < hi:
             part = slice(k * each, (k + 1) * each)
-            mine[lo:hi] = _log_share(sorted_r[lo:hi] @ m.p["Wc"][:, part] + m.p["bc"][part], inner[lo:hi])
+            z = sorted_r[lo:hi] @ m.p["Wc"][:, part]
+            z += tables["inside"][k].take(came[lo:hi], axis=0)
+            mine[lo:hi] = _log_share(z, inner[lo:hi])
     out[order] += mine
     return (out * np.float32(1 / np.log(10))).reshape(n, t - skip)
 
@@ -224,6 +252,9 @@ def score(m: Model, texts: list[np.ndarray], chunk: int = 256) -> np.ndarray:
     """log10 probability of each text (its ids, the end id included); each id is scored once."""
     s = m.s
     tables = m.tables() | {"h": m.p["E"] @ m.p["W1"], "ph": m.p["P"] @ m.p["W1"] + m.p["b1"]}
+    by_group, by_class = m.after
+    inside = by_class + m.p["bc"].reshape(s.groups, -1)
+    tables |= {"after": by_group + m.p["bg"], "inside": [np.ascontiguousarray(inside[:, k]) for k in range(s.groups)]}
     sizes = np.array([len(t) for t in texts], np.int64)
     if not len(sizes):
         return np.zeros(0)
@@ -266,15 +297,12 @@ def word_ids(words: list[bytes], path: str, most: int = 500_000) -> list[bytes]:
     cores = [c if len(c) != len(w) and c[-1:].isalpha() else w for c, w in zip(cores, words, strict=True)]
     tails = [w[len(c) :] for c, w in zip(cores, words, strict=True)]
     wanted = {*cores, *tails} - {b""}
-    known, tokenizer = held(("word ids", path), dict), _tokenizer(path)
+    known = held(("word ids", path), dict)
     new = [w for w in wanted if w not in known]
     if len(known) + len(new) > most:
         known.clear()
         new = list(wanted)
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = array("H", e.ids).tobytes()
+    known.update(zip(new, encode_words(new, path, "<u2"), strict=True))
     return [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)]
 
 
@@ -304,6 +332,142 @@ class _Counts(Lookup):
         return np.stack([np.log10(c + 1), c > 0])
 
 
+def _training_texts(batches: Iterator[pa.RecordBatch], training: Callable[[int | None], bool], end_id: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Of each block of documents: the ids and the texts of those that are learned from."""
+    for batch in batches:
+        for extra, posts, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            values, nulls = unpack_ids(ids)
+            mark = marks(training, values, nulls)
+            texts = _texts(extra, np.frombuffer(unpack(posts)).reshape(len(mark), -1), end_id)
+            yield values[mark], [t for t, m in zip(texts, mark, strict=True) if m]
+
+
+def _summed(rows: DataFrame, kind: str = "<f8", parts: int = 16) -> np.ndarray | None:
+    """The sum of arrays, one a row (``data``), of equal size: in ``parts`` tasks, then on the driver, so nothing there grows with the rows."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column(0):
+                x = np.frombuffer(raw.as_py(), kind)
+                total = x.copy() if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tobytes()], pa.binary())], ["data"])
+
+    got = [np.frombuffer(r["data"], kind) for r in rows.repartition(parts).mapInArrow(add, "data binary").collect()]
+    return sum(got) if got else None
+
+
+def _array(x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["data"])
+
+
+def _with_ends(texts: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts, and the id before each: ``begin`` before a text's first."""
+    ids = np.concatenate(texts).astype(np.int64)
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[np.cumsum([0, *map(len, texts[:-1])])] = begin
+    return ids, before
+
+
+def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool], s: Settings) -> tuple[Model, int]:
+    """The model, and how many documents were learned from. about: counts, posts and ids of blocks of documents."""
+    about = about.select("counts", "posts", "ids")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(s.vocabulary + 2)  # then documents, and windows
+        for _, texts in _training_texts(batches, training, end_id):
+            if texts:
+                total[:-2] += np.bincount(np.concatenate(texts), minlength=s.vocabulary)
+                total[-2:] += len(texts), sum(-(-len(t) // s.window) for t in texts)
+        yield _array(total)
+
+    got = _summed(about.mapInArrow(count, "data binary"))
+    got = np.zeros(s.vocabulary + 2) if got is None else got
+    counts, trained, n_windows = got[:-2].astype(np.int64), int(got[-2]), int(got[-1])
+    order = np.argsort(-counts, kind="stable")[: s.near]
+    rank = np.full(s.vocabulary + 1, s.near)
+    rank[order] = np.arange(len(order))
+    rank[s.vocabulary] = s.near + 1
+    vectors = np.random.default_rng(s.seed).normal(0, 1, (2, s.near + 2, s.vector)).astype(np.float32)
+    often = np.append(counts[order], [max(1, counts.sum() - counts[order].sum()), max(1, trained)]) + 1.0
+    vectors *= np.sqrt(often.mean() / often)[None, :, None].astype(np.float32)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((s.vocabulary, s.vector), np.float32)
+        for _, texts in _training_texts(batches, training, end_id):
+            if texts:
+                ids, before = _with_ends(texts, s.vocabulary)
+                after = np.append(np.where(before[1:] == s.vocabulary, s.vocabulary, ids[1:]), s.vocabulary)
+                near = vectors[0][rank[before]] + vectors[1][rank[after]]
+                by = np.argsort(ids, kind="stable")
+                first = np.flatnonzero(np.diff(ids[by], prepend=-1))
+                total[ids[by][first]] += np.add.reduceat(near[by], first)
+        yield _array(total)
+
+    near = _summed(about.mapInArrow(neighbours, "data binary"), "<f4")
+    near = np.zeros((s.vocabulary, s.vector)) if near is None else near.reshape(s.vocabulary, s.vector)
+    group = classes(near, counts, s)
+    slot = inputs(group, counts, s)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(s.slots * s.classes)
+        for _, texts in _training_texts(batches, training, end_id):
+            if texts:
+                ids, before = _with_ends(texts, s.vocabulary)
+                total += np.bincount(slot[before] * s.classes + group[ids], minlength=len(total))
+        yield _array(total)
+
+    pairs = _summed(about.mapInArrow(follow, "data binary"))
+    pairs = np.zeros((s.slots, s.classes)) if pairs is None else pairs.reshape(s.slots, s.classes)
+    size, mass = np.bincount(group, minlength=s.classes), np.bincount(group, counts, s.classes)
+    share = np.log10((counts + 1) / (mass + size)[group])
+    model = Model(s, slot, group, share, followers(pairs, group, counts, s), _init(s))
+    wanted = min(1.0, max(s.share, s.least / max(1, n_windows)))
+    trainers = max(1, round(wanted * n_windows / s.trainer))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _training_texts(batches, training, end_id):
+            out, to = [], []
+            for i, t in zip(ids.tolist(), texts, strict=True):
+                n = -(-len(t) // s.window)
+                chance = _mix(_mix(np.uint64(i & (1 << 64) - 1) + np.uint64(s.seed)) ^ np.arange(n, dtype=np.uint64))
+                for k in np.flatnonzero(chance >> np.uint64(11) < np.uint64(wanted * (1 << 53))).tolist():
+                    w = np.full(s.window + 1, s.vocabulary + 1, "<u2")
+                    part = t[max(0, k * s.window - 1) : (k + 1) * s.window]
+                    w[0] = s.vocabulary
+                    w[1 if k == 0 else 0 : len(part) + (k == 0)] = part
+                    out.append(w.tobytes())
+                    to.append(int(chance[k] % np.uint64(1 << 11)) * 7919 % trainers if trainers > 1 else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(out, pa.binary())], ["trainer", "window"])
+
+    packs = about.mapInArrow(draw, "trainer int, window binary").groupBy("trainer").agg(F.array_sort(F.collect_list("window")).alias("windows"))
+    packs = keep(packs, "windows")
+    names = list(model.p)
+    state = tuple({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
+    for done in range(s.rounds):
+
+        def fit(batches: Iterator[pa.RecordBatch], done: int = done) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for trainer, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    windows = np.frombuffer(b"".join(raw.as_py()), "<u2").reshape(-1, s.window + 1).astype(np.int64)
+                    mine = Model(s, slot, group, share, model.after, {k: model.p[k].copy() for k in names})
+                    moments = tuple({k: x[k].copy() for k in names} for x in state)
+                    steps = max(1, -(-len(windows) * s.passes // (s.rounds * s.batch)))
+                    train(mine, windows, moments, steps, done * (1 << 20) + trainer, done, s.rounds)
+                    yield _array(np.append(np.concatenate([x[k].ravel() for x in (mine.p, *moments) for k in names]) * float(len(windows)), len(windows)))
+
+        met = _summed(packs.repartition(min(trainers, 4096)).mapInArrow(fit, "data binary"))
+        if met is None:
+            break
+        at, flat = 0, (met[:-1] / met[-1]).astype(np.float32)
+        for x in (model.p, *state):
+            for k in names:
+                x[k] = flat[at : at + x[k].size].reshape(x[k].shape)
+                at += x[k].size
+    return model, trained
+
+
 def score_documents(docs: DataFrame, path: str, end_id: int, training: Callable[[int | None], bool], settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score for each row. training: whether a document of this id is learned from."""
     s = settings or Settings()
@@ -317,42 +481,7 @@ def score_documents(docs: DataFrame, path: str, end_id: int, training: Callable[
 
     kept = keep(postings(docs, words, buckets_for(docs), None, lambda ids: [training(i) for i in ids], key, text, ids_of), "words")
     about = kept.filter("terms IS NULL")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(s.vocabulary, np.int64), 0
-        for batch in batches:
-            for extra, posts, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                mark = marks(training, *unpack_ids(ids))
-                n += int(mark.sum())
-                used = [t for t, m in zip(_texts(extra, np.frombuffer(unpack(posts)).reshape(len(mark), -1), end_id), mark, strict=True) if m]
-                if used:
-                    total += np.bincount(np.concatenate(used), minlength=s.vocabulary)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*total[at].tolist(), n], pa.int64())], ["id", "n"])
-
-    counted = {r["id"]: r["n"] for r in about.select("counts", "posts", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    trained = counted.pop(-1, 0)
-    counts = np.zeros(s.vocabulary, np.int64)
-    counts[list(counted)] = list(counted.values())
-    share = min(1.0, s.sample_windows / s.windows_a_doc / max(1, trained))
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for extra, posts, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                values, nulls = unpack_ids(ids)
-                mark = marks(training, values, nulls)
-                for i, t in enumerate(_texts(extra, np.frombuffer(unpack(posts)).reshape(len(mark), -1), end_id)):
-                    if mark[i] and zlib.crc32(b"sample%d" % values[i]) < share * (1 << 32):
-                        full = np.concatenate([[s.vocabulary], t])
-                        for begin in sorted({int(b) for b in np.linspace(0, max(0, len(full) - s.window - 1), s.windows_a_doc)}):
-                            w = full[begin : begin + s.window + 1]
-                            if len(w) == s.window + 1:
-                                out.append(w.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["window"])
-
-    drawn = sorted(bytes(r["window"]) for r in about.select("counts", "posts", "ids").mapInArrow(draw, "window binary").limit(2 * s.sample_windows).collect())
-    model = fit(np.array([np.frombuffer(w, "<u2") for w in drawn], np.int64).reshape(-1, s.window + 1), counts, s)
+    model, trained = learn(about, end_id, training, s)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
