@@ -3,7 +3,7 @@
 import random
 
 from viewloom.llm.components import components
-from viewloom.llm.minhash import Settings, near_duplicates
+from viewloom.llm.minhash import Settings, near_duplicates, one_of_each, without, row_key
 
 
 def brute(rows, words, percent):
@@ -42,10 +42,10 @@ def corpus(seed, n=60):
 
 
 def test_against_all_pairs(spark):
-    for words, block in ((2, 2048), (5, 8)):
+    for words, few in ((2, {}), (5, {"block": 8}), (2, {"block": 2, "blocks": 3}), (5, {"block_bytes": 2000, "blocks": 2})):
         rows = corpus(words)
         docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, bucket int")
-        got = sorted(map(tuple, near_duplicates(docs, Settings(words=words, block=block)).collect()))
+        got = sorted(map(tuple, near_duplicates(docs, Settings(words=words, **few)).collect()))
         assert got == brute(rows, words, 80)
 
 
@@ -55,6 +55,16 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (None, 2, None, True), (9, 2, 5, False)], key=str)
 
 
+def test_one_of_each_keeps_distinct_texts_of_an_id(spark):
+    rows = [(1, "a b c d e f g h"), (5, "a b c d e f g h"), (5, "k l m n o p q r s t"), (6, "k l m n o p q r s t"), (6, "K l m n o p q r s t"), (8, ""), (8, ""), (8, None), (None, "a b c d e f g h")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")
+    got = one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, rows[0][1]), (5, rows[2][1]), (8, ""), (8, None), (None, rows[0][1])], key=str)
+    left = without(docs, docs.filter("doc_id = 5 AND text LIKE 'a%'").select(row_key()))
+    assert left.count() == 8 and without(docs, docs.select(row_key()), broadcast=0).count() == 0
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -3,13 +3,14 @@
 Documents with equal shingle sets are one class, found by a hash of the set. Classes meet in buckets, one for each band
 of their signature. In a first round each class of a bucket is compared only with the bucket's centre, the class that
 meets most others; links that both signatures and full sets confirm give components. In a second round, classes of a
-bucket that are still in different components are compared, in blocks, within tasks, by signatures and 32-bit sets; only
-links that join components leave them, to be confirmed. So no group emits its pairs, and no two components that a link
-joins are left apart.
+bucket that are still in different components are compared, in blocks of bounded number and bytes, within tasks, by
+signatures and 32-bit sets; only links that join components leave them, to be confirmed. So no group emits its pairs, and
+no two components that a link joins are left apart. Buckets of very many blocks are first cut by further parts of the
+signatures, of which a pair of similarity 0.8 shares none with a probability of 2e-11.
 
 With b bands of r minima, a pair of similarity s shares a bucket with probability 1 - (1 - s^r)^b: at 0.8, 32 bands of 4
-miss one pair in 10^7. Signature estimates below the threshold by over ``slack`` (4 standard deviations) are dropped.
-At 0.8 that loses a pair with a probability of 1.0e-04.
+miss one pair in 10^7. Signature estimates below the threshold by over ``slack`` are dropped; at 0.8 that loses a pair with a
+probability of 2e-7.
 
 Defined results: rows without words have no shingles and no links; rows with fewer words than a shingle have one, the
 whole sequence; repeated rows are copies of each other; null ids have no links.
@@ -23,12 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm.components import components
 from viewloom.llm.store import keep
-from viewloom.llm.worker import held, lean, trimmed
+from viewloom.llm.worker import fresh, held, lean, trimmed
 
 
 @dataclass(frozen=True)
@@ -37,9 +38,13 @@ class Settings:
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    slack: float = 0.14
-    #: Classes of a bucket that are compared in one task.
-    block: int = 2048
+    slack: float = 0.2
+    #: Classes of a bucket, and bytes of their sets, that are compared with as many others in one task, about.
+    block: int = 512
+    block_bytes: int = 4 << 20
+    #: Buckets of more blocks are cut by pairs of minima, so many of them.
+    blocks: int = 16
+    parts: int = 24
     #: Classes whose ids may be broadcast, 8 bytes each.
     broadcast: int = 2_000_000
 
@@ -97,9 +102,14 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_key(key: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows of one id but different texts apart."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+
+
 def sketches(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class (a hash of the shingle set; null without shingles) and signature of each row."""
-    names = ["doc_id", "n_shingles", "class", "signature"]
+    """doc_id, row (a hash of id and text), n_shingles, class (a hash of the shingle set; null without shingles) and signature of each row."""
+    names = ["doc_id", "row", "n_shingles", "class", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(s.minima)
@@ -110,9 +120,10 @@ def sketches(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "tex
                 n.append(len(found))
                 classes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None)
                 signatures.append(signature(found, a, b).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(signatures, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(signatures, pa.binary())], names)
 
-    return lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "doc_id long, n_shingles long, class long, signature binary")
+    rows = lean(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(key, text).alias("row"))
+    return rows.mapInArrow(trimmed(run), "doc_id long, row long, n_shingles long, class long, signature binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -234,10 +245,10 @@ def cell_links(band: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.n
 def _cells(members: DataFrame, s: Settings) -> DataFrame:
     """Pairs (u, v) of classes of one bucket, in different components, that probably link; see ``cell_links``.
 
-    members: bucket, band, n (classes in it), class, component, size, signature, items. A bucket of more than ``block``
-    classes is cut in blocks, and each pair of blocks is a cell of its own.
+    members: bucket, band, blocks, class, component, size, signature, items. A bucket is cut in blocks, and each pair of
+    blocks is a cell of its own.
     """
-    blocks = F.ceil(F.col("n") / s.block).cast("int")
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     names = ["class", "component", "size", "own", "band", "signature", "items"]
     cells = members.select("bucket", "band", "class", "component", "size", "signature", "items", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -265,12 +276,32 @@ def _cells(members: DataFrame, s: Settings) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
+def _blocks(s: Settings) -> Column:
+    """How many blocks a bucket of n classes, with ``items`` shingles in all, is cut in."""
+    return F.ceil(F.greatest(F.col("n") / s.block, 4 * F.col("items") / s.block_bytes)).cast("int")
+
+
+def _mixed(members: DataFrame, s: Settings) -> DataFrame:
+    """bucket, band, class, component and blocks of buckets with several components. members: bucket, band, class, component, size."""
+    about = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("items"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return members.join(about.filter("lo <> hi").select("bucket", _blocks(s).alias("blocks")), "bucket")
+
+
+def _narrowed(rest: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """Buckets of too many blocks, cut by pairs of minima outside of the band that made them."""
+    pairs = s.minima // 2
+    place = lambda i: (F.col("band") * (s.rows // 2) + s.rows // 2 + i) % pairs
+    wide = rest.join(reps.select("class", "signature"), "class")
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(s.parts - 1)), lambda i: F.xxhash64("bucket", i, F.substr("signature", (8 * place(i) + 1).cast("int"), F.lit(8)))))
+    return _mixed(wide.select(cut.alias("bucket"), "band", "class", "component", "size"), s)
+
+
 def links(sketched: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Confirmed links (u, v) between classes of ``sketches``; they connect all classes that any links connect."""
     reps = keep(sketched.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")).select("class", "r.doc_id", F.col("r.n_shingles").alias("n"), "r.signature"), "classes")
     width = 4 * s.rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", width * i + 1, width)) for i in range(s.bands)])
-    rows = reps.select("class", F.posexplode(bands).alias("band", "bucket"))
+    rows = reps.select("class", F.col("n").alias("size"), F.posexplode(bands).alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = keep(rows.join(shared, "bucket"), "buckets")
     # the class that meets most others is likely nearest to what the others were copied from
@@ -279,43 +310,58 @@ def links(sketched: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     star = met.join(centre, "bucket").filter("class <> centre").select(F.greatest("class", "centre").alias("u"), F.least("class", "centre").alias("v")).distinct()
     sure = keep(_confirmed(_passing(star, reps, s), reps, docs, s), "star")
     found = components(sure)
-    named = met.join(found.withColumnRenamed("vertex", "class"), "class", "left").select("bucket", "band", "n", "class", F.coalesce("component", "class").alias("component"))
-    named = keep(named, "named")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = keep(named.join(mixed, "bucket"), "mixed")
-    sets = reps.select("class", F.col("n").alias("size"), "signature").join(_sets(rest.select("class"), reps, docs, s), "class")
+    named = met.join(found.withColumnRenamed("vertex", "class"), "class", "left").select("bucket", "band", "size", "class", F.coalesce("component", "class").alias("component"))
+    rest = keep(_mixed(keep(named, "named"), s), "mixed")
+    wide = rest.filter(F.col("blocks") > s.blocks)
+    if not wide.isEmpty():
+        rest = keep(rest.filter(F.col("blocks") <= s.blocks).unionByName(_narrowed(wide.drop("blocks"), reps, s)), "narrowed")
+    sets = reps.select("class", "signature").join(_sets(rest.select("class"), reps, docs, s), "class")
     more = _confirmed(_cells(rest.join(sets, "class"), s), reps, docs, s)
     return sure.unionByName(more)
 
 
+def _grouped(sketched: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, row and n_shingles of each row of ``sketches``, with first (doc_id, row): the least of its component, null where it has none."""
+    groups = components(links(sketched, docs, s)).withColumnRenamed("vertex", "class")
+    slim = sketched.select("doc_id", "row", "n_shingles", "class")
+    least = slim.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    labelled = keep(least.join(groups, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "labels")
+    smallest = labelled.groupBy("component").agg(F.min("least").alias("first"))
+    by_class = labelled.join(smallest, "component").select("class", "first")
+    return slim.join(by_class, "class", "left").select("doc_id", "row", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of its component) and kept (whether that is its own) for each row."""
     s = settings or Settings()
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = keep(sketches(named, s), "sketches")
-    groups = components(links(sketched, named, s)).withColumnRenamed("vertex", "class")
-    slim = sketched.select("doc_id", "n_shingles", "class")
-    least = slim.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    labelled = keep(least.join(groups, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "labels")
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
-    by_class = labelled.join(smallest, "component").select("class", "smallest")
-    out = slim.join(by_class, "class", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
+    out = _grouped(keep(sketches(named, s), "sketches"), named, s)
+    own = F.coalesce("first.doc_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", broadcast: int = Settings.broadcast) -> DataFrame:
-    """The rows whose id is not among ``ids`` (one column, no nulls). Up to ``broadcast`` ids, 8 bytes each, are broadcast; more are joined by shuffling."""
-    gone = keep(ids.toDF(key).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= broadcast else gone, key, "left_anti").select(*docs.columns)
+def without(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text", broadcast: int = Settings.broadcast) -> DataFrame:
+    """The rows whose ``row_key`` is not among ``rows`` (one column). Up to ``broadcast`` of them, 8 bytes each, are broadcast; more are joined by shuffling.
+
+    So a row goes by itself, whatever other rows have its id.
+    """
+    mark = fresh(docs.columns, "row")[0]
+    gone = keep(rows.toDF(mark).distinct(), "gone")
+    left = docs.withColumn(mark, row_key(key, text)).join(F.broadcast(gone) if gone.count() <= broadcast else gone, mark, "left_anti")
+    return left.select(*docs.columns)
 
 
 def one_of_each(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that are not kept, and with one row of each repeated id; null ids stay."""
-    found = keep(near_duplicates(docs, settings, key, text), "duplicates")
-    left = without(docs, found.filter("NOT kept").select("doc_id"), key)
-    repeated = keep(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    """One row of each group of near duplicates, of its smallest id, and each row without words, once; rows of null id stay."""
+    s = settings or Settings()
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = keep(_grouped(keep(sketches(named, s), "sketches"), named, s), "duplicates")
+    stays = F.col("doc_id").isNull() | F.col("first").isNull() | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))
+    left = without(docs, found.filter(~stays).select("row"), key, text)
+    repeated = keep(found.filter(stays & F.col("doc_id").isNotNull()).groupBy("row").count().filter("count > 1").select("row"), "repeated")
     if repeated.isEmpty():
         return left
-    same = left.join(repeated.toDF(key), key, "left_semi").dropDuplicates([key])
-    return without(left, repeated, key).unionByName(same.select(*left.columns))
+    mark = fresh(docs.columns, "row")[0]
+    marked = left.withColumn(mark, row_key(key, text))
+    same = marked.join(repeated.toDF(mark), mark, "left_semi").dropDuplicates([mark])
+    return without(left, repeated, key, text).unionByName(same.select(*left.columns))

@@ -44,6 +44,17 @@ def trimmed(run: Callable) -> Callable:
     return out
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that are not among ``columns``, in whatever case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 class Recent:
     """Values by key, of keys asked for lately: at most about ``most``, in two generations."""
 
