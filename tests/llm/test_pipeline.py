@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -48,6 +49,31 @@ def test_stages(spark, tmp_path):
     assert filled.max() <= 4096
 
 
+def test_clashing_columns_repeated_and_null_ids(spark, tmp_path):
+    make(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first, second, third = ("the river stones walked nightly and bringen cold houses over walks", "and the cold house brings of stones the walken nights rivers", "of walklich night the rivers cold and stone houses bringer the")
+    more = spark.createDataFrame([(7, first, "en", "s", 1), (None, second, "en", "s", 3), (None, None, "en", "s", None), (202, third, "en", "s", 5)], docs.schema)
+    extra = ("score", "lang_pred", "spans", "__was", "__base", "row", "_row", "class", "merged", "bucket", "c1")
+    wide = docs.unionByName(more).select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide = keep(stage(spark, wide, str(tmp_path)), "stage")
+        assert wide.columns == [*docs.columns, *extra], name
+    assert [tuple(r) for r in wide.select(*extra).distinct().collect()] == [tuple(range(len(extra)))]
+    got = {(r.doc_id, r.text) for r in wide.collect()}
+    # another text of the same id is another document, whether that one is a copy or contaminated
+    assert (7, first) in got and (202, third) in got and (None, second) in got
+    assert len([i for i, _ in got if i == 7]) == 2 and len([i for i, _ in got if i == 202]) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, str(tmp_path)).filter("doc_id IS NULL").count() == 1
+
+
+def test_empty_table(spark, tmp_path):
+    make(spark, tmp_path / "full")
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/full/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_registered():
     import __spark_entry__
 

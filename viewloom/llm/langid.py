@@ -49,7 +49,6 @@ class Settings:
 
     docs_a_language: int = 300
     windows_a_doc: int = 6
-    languages: int = 256
     embedding: int = 8
     filters: int = 8
     epochs: int = 6
@@ -158,11 +157,11 @@ def learn(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang"
     """Fit on a bounded sample of the rows that ``train`` holds for and that have a label.
 
     Each language gives about ``docs_a_language`` documents, by the hash of ``key``, and ``windows_a_doc`` windows spread
-    evenly over each. The ``languages`` most frequent labels are learned.
+    evenly over each, so what reaches the driver grows with the number of labels only.
     """
     s = settings or Settings()
     rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
+    counts = rows.groupBy(F.col(lang).alias("lang")).count().collect()
     if not counts:
         return fit([], [], s)
     draw = F.pmod(F.xxhash64(F.lit(s.seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
@@ -178,24 +177,23 @@ def learn(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang"
                     out.append((name, w[i].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary())], ["lang", "window"])
 
-    most = 2 * s.docs_a_language * s.windows_a_doc * len(counts)
-    got = chosen.mapInArrow(cut, "lang string, window binary").limit(most).collect()
+    got = chosen.mapInArrow(cut, "lang string, window binary").collect()
     return fit([np.frombuffer(r["window"], np.uint8) for r in got], [r["lang"] for r in got], s)
 
 
-def predict(docs: DataFrame, net: Network, text: str = "text", *others: str) -> DataFrame:
-    """``others`` (which may hold ``text``), lang_pred and score for each row."""
+def predict(docs: DataFrame, net: Network, text: str = "text", *others: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``others`` (which may hold ``text``), and the language and score of each row under ``names``."""
     fields = docs.select(*others).schema
-    rest = [c for c in others if c != text]
-    source = lean(docs).select(F.col(text).alias("__text"), *rest)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    source = lean(docs).select(F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others) if c != text])
+    at = {c: i for i, c in enumerate(source.columns)}
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = held(("network", net.weights.tobytes()), net.tables)
         for batch in batches:
             pred, score = label(net, tables, batch.column(0).to_pylist())
-            cols = [batch.column(0) if c == text else batch.column(1 + rest.index(c)) for c in others]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
+            cols = [batch.column(at.get(f"c{i}", 0)) for i in range(len(others))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*others, *names])
 
     return source.mapInArrow(trimmed(run), schema)
 

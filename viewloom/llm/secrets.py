@@ -173,15 +173,37 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows with each maximal run of overlapping spans replaced by ``mark``; null texts stay null."""
-    others = [c for c in docs.columns if c != text]
-    found = scan_all(docs.withColumn("__was", F.col(text)), text, *others, "__was")
-    seed = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name meets those used here
+    found = scan_all(docs.toDF(*own.values()), own[text], *own.values())
+    # spans that touch are one; then the text between them is cut out of blocks of it, so that no cut goes through all of it
+    seed = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.element_at(s, -1)
+        joins = (F.size(s) > 0) & (x["start"] < F.when(F.size(s) > 0, last["end"]))
+        here = F.struct(F.when(joins, last["start"]).otherwise(x["start"]).alias("start"), F.when(joins, F.greatest(last["end"], x["end"])).otherwise(x["end"]).alias("end"))
+        return F.concat(F.when(joins, F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s), F.array(here))
+
+    merged = found.withColumn("merged", F.aggregate("spans", seed, step))
+    blocks = F.regexp_extract_all("__scanned", F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+    pieces = F.transform(blocks, lambda text, b: _between(text, b, F.col("merged"), mark))
+    out = merged.withColumn("clean", F.when(F.size("spans") > 0, F.array_join(pieces, "")).otherwise(F.col(own[text])))
+    return out.select(*[F.col("clean" if c == text else own[c]).alias(c) for c in docs.columns])
+
+
+#: Code points of a block of text that spans are cut from.
+_CUT = 8192
+
+
+def _between(text: Column, b: Column, spans: Column, mark: str) -> Column:
+    """Block b of a text without the spans in it, with a mark where one begins."""
+    first = (b * _CUT).cast("bigint")
+    here = F.filter(spans, lambda s: (s["start"] < first + _CUT) & (s["end"] > first))
+    seed = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(s: Column, x: Column) -> Column:
-        gap = F.substr(F.col("__scanned"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-        fresh = (x["start"] >= s["at"]) & ((x["start"] > s["at"]) | (s["at"] == 0))
-        return F.struct(F.when(fresh, F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+        begin, end = F.greatest(x["start"] - first, F.lit(0).cast("bigint")), F.least(x["end"] - first, F.lit(_CUT).cast("bigint"))
+        gap = F.substr(text, (s["at"] + 1).cast("int"), (begin - s["at"]).cast("int"))
+        return F.struct(F.concat(s["out"], F.array(F.concat(gap, F.when(x["start"] >= first, F.lit(mark)).otherwise(F.lit(""))))).alias("out"), end.alias("at"))
 
-    clean = F.aggregate("spans", seed, step, lambda s: F.concat(s["out"], F.substr(F.col("__scanned"), (s["at"] + 1).cast("int"))))
-    out = found.withColumn("__clean", F.when(F.size("spans") > 0, clean).otherwise(F.col("__was")))
-    return out.select(*[F.col("__clean").alias(text) if c == text else F.col(c) for c in docs.columns])
+    return F.aggregate(here, seed, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, (s["at"] + 1).cast("int"))))
