@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from viewloom.llm.decontam import contaminated
 from viewloom.llm.langid import UNKNOWN, learn, predict
-from viewloom.llm.minhash import Settings, one_of_each, without
+from viewloom.llm.minhash import Settings, one_of_each, row_key, without
 from viewloom.llm.packing import pack
 from viewloom.llm.q_langid import held_out
 from viewloom.llm.q_packing import END_ID
 from viewloom.llm.secrets import redact
 from viewloom.llm.store import keep
+from viewloom.llm.worker import fresh
 
 #: Texts whose most likely language has less than this are in none of the learned languages.
 LEAST_SCORE = 0.3
@@ -28,8 +29,9 @@ WORDS_HELD = 300_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without letters or of no clear language go."""
-    told = predict(docs, learn(docs, ~held_out()), "text", *docs.columns)
-    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    told = predict(docs, learn(docs, ~held_out()), "text", *docs.columns, names=(lang, score))
+    return told.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+    rows = docs.select(row_key().alias("doc_id"), "text")  # rows may share an id
+    return without(docs, contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
