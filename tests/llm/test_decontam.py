@@ -68,3 +68,42 @@ def test_values_of_other_lengths(spark):
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = {r.doc_id: (r.verbatim, r.run_words) for r in contaminated(docs, items).collect()}
     assert got == {1: (False, 23), 2: (False, 23), 3: (True, 23)}
+
+
+def test_short_and_number_heavy_items_are_found_as_they_stand(spark):
+    items = ["What is 345 times 17 ?", "2 + 2 = 4", "12 + 13 = 25 and 14 + 15 = 29 16 + 17 = 33", "Paris", "", "x ="]
+    docs = [f"some words before {items[0].upper()} and after", "so 2 + 2 = 4 holds", "so 2 + 2 = 5 or 2 2 4", f"sums: {items[2]} end", "paris", "Paris is a town", "a x = b", "x =", None]
+    got = contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(0, 0), (1, 1), (3, 2), (4, 3), (7, 5)]
+
+
+def test_against_all_pairs(spark):
+    """Verbatim passages: documents hold an item if they share 13 words, a whole shorter item, or half its windows of 8 words in a row."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5)) + "q"
+    items = [[word() for _ in range(rng.randint(5, 40))] for _ in range(25)]
+    docs = []
+    for _ in range(150):
+        doc = [word() for _ in range(rng.randint(0, 30))]
+        for item in rng.sample(items, rng.randint(0, 2)):
+            begin = rng.randrange(len(item))
+            doc += [*item[begin : begin + rng.randint(1, 20)], *[word() for _ in range(rng.randint(1, 10))]]
+        docs.append(doc)
+
+    def longest(a, b):
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+            best = max(best, *row)
+        return best
+
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            run, width = longest(doc, item), min(8, len(item))
+            if run >= min(13, len(item)) or (run >= width and run - width + 1 >= 0.5 * (len(item) - width + 1)):
+                want.add((d, i))
+    got = contaminated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 20

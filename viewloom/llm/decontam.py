@@ -10,7 +10,9 @@ windows, or of those of its windows that are mostly literal.
 
 A bitmap of the benchmark's window hashes, of bounded size, spares most document windows the join; with more windows than
 ``filtered`` there is no bitmap and all are joined. Null and empty texts match nothing, an empty benchmark gives no rows,
-items of fewer than ``literal`` words are not looked for, and repeated rows are reported once.
+and repeated rows are reported once. Items of fewer than ``literal`` words, punctuation by itself not counted, are looked for
+by all their words as they stand, in whatever case; those of fewer than ``alone`` words, punctuation included, would be
+found in clean texts, so only a document that has no other words holds them. An item without words is in no document.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.minhash import _ODD, _mix
+from viewloom.llm.minhash import _mix
 from viewloom.llm.store import keep
 from viewloom.llm.worker import held, lean, trimmed
 
@@ -36,6 +38,7 @@ class Settings:
     literal: int = 5
     run: int = 13
     share: float = 0.5
+    alone: int = 3
     filtered: int = 4_000_000
 
 
@@ -43,6 +46,8 @@ class Settings:
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees mph kmh watt watts volt volts joule joules".split()
 
+#: How a window is hashed: by its template, by its words with the values of their slots, or as it stands.
+TEMPLATE, LITERAL, VERBATIM = 0, 1, 2
 NUM, NAME, UNIT = (xxhash.xxh3_64_intdigest(k) & ~15 for k in (b"<num>", b"<name>", b"<unit>"))
 #: A word is written with a capital, ends a sentence, has punctuation after it, may go on with the slot of the word before.
 _CAPITAL, _ENDS, _CLOSED, _JOINS = 1, 2, 4, 8
@@ -136,11 +141,36 @@ def window_hashes(template: np.ndarray, width: int, literal: int) -> tuple[np.nd
     n = len(template) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.full(n, np.uint64(width))
-    for j in range(width):
-        out = _mix(out * _ODD[j] + template[j : n + j])
-    enough = _enough(template, width, literal)
-    return out[enough], np.flatnonzero(enough)
+    begins = np.flatnonzero(_enough(template, width, literal))
+    return _stretches(template, width, begins, TEMPLATE), begins
+
+
+#: Odd, so that its powers have inverses among 64-bit numbers.
+_BASE = np.random.default_rng(20).integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+class _Powers:
+    """Powers of the base and their inverses, as many as a text needs."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            n = max(n, 1 << 14)
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, _INVERSE))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def _stretches(words: np.ndarray, width: int, begins: np.ndarray, how: int) -> np.ndarray:
+    """Hashes of ``width`` words from each begin: differences of one sum of words times powers."""
+    up, down = _POWERS.of(len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
+    return _mix((sums[begins + width] - sums[begins]) * down[begins] + np.uint64((how << 32) + width))
 
 
 def _rich(template: np.ndarray, folded: np.ndarray, width: int, literal: int) -> np.ndarray:
@@ -150,10 +180,16 @@ def _rich(template: np.ndarray, folded: np.ndarray, width: int, literal: int) ->
 
 def literal_hashes(words: np.ndarray, width: int, begins: np.ndarray) -> np.ndarray:
     """Hashes of the windows at ``begins`` by ``literals``; no template has them."""
-    out = np.full(len(begins), np.uint64((1 << 32) + width))
-    for j in range(width):
-        out = _mix(out * _ODD[j] + words[begins + j])
-    return out
+    return _stretches(words, width, begins, LITERAL)
+
+
+def verbatim_hashes(words: list[bytes], width: int, alone: int) -> np.ndarray:
+    """Hashes of each ``width`` words as they stand, but for case; of fewer than ``alone`` only if there are no others."""
+    n = len(words) - width + 1
+    if n <= 0 or (width < alone and n > 1):
+        return np.zeros(0, np.uint64)
+    each = np.array([xxhash.xxh3_64_intdigest(w.decode("utf-8", "replace").lower()) for w in words], np.uint64)
+    return _stretches(each, width, np.arange(n), VERBATIM)
 
 
 _KIND = {NUM: "#", NAME: "@", UNIT: "~"}
@@ -172,10 +208,6 @@ def slot_values(template: np.ndarray, at: np.ndarray, words: list[bytes], begins
     return "\n".join(out)
 
 
-#: How a window is hashed: by its template, or by its words with the values of their slots.
-TEMPLATE, LITERAL = 0, 1
-
-
 def _windows(rows: DataFrame, key: str, text: str, widths: dict[int, list[int]], s: Settings, whole: bool, bits: np.ndarray | None) -> DataFrame:
     """hash, id, how, place, slots of windows, and of a text's words, windows and usable (those that can match) for ``how``.
 
@@ -205,12 +237,18 @@ def _windows(rows: DataFrame, key: str, text: str, widths: dict[int, list[int]],
                         if len(rich):
                             plain = literals(own, at, words) if plain is None else plain
                             made.append((LITERAL, width, literal_hashes(plain, width, rich), rich, each, n))
+                for width in ([len(words)] if total < s.literal and words else []) if whole else widths[VERBATIM]:
+                    hashes = verbatim_hashes(words, width, s.alone)
+                    made.append((VERBATIM, width, hashes, np.arange(len(hashes)), np.arange(len(words)), 1))
                 for how, width, hashes, begins, of, usable in made:
                     if bits is not None and len(hashes):
                         bit = (hashes % np.uint64(len(bits) * 8)).astype(np.int64)
                         hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
                         hashes, begins = hashes[hit], begins[hit]
                     for h, b in zip(hashes.view(np.int64).tolist(), begins.tolist(), strict=True):
+                        if how == VERBATIM:
+                            out.append((h, i, how, b, "", len(words), 1, 1, b, b + width, len(words)))
+                            continue
                         past = int(of[b + width]) if b + width < len(of) else total
                         out.append((h, i, how, b, slot_values(template, at, words, of, b, width), total, len(of) - width + 1, usable, int(of[b]), past, len(of)))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string() if k == 4 else pa.int64()) for k in range(11)], names)
@@ -258,8 +296,9 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None =
     s = settings or Settings()
     wanted = keep(_windows(items, item_key, text, {}, s, True, None), "items")
     n = wanted.count()
-    lengths = wanted.select("how", F.least(F.lit(s.window), "length").alias("width")).distinct().collect()
-    widths = {how: sorted(r["width"] for r in lengths if r["how"] == how) for how in (TEMPLATE, LITERAL)}
+    width = F.when(F.col("how") == VERBATIM, F.col("length")).otherwise(F.least(F.lit(s.window), "length"))
+    lengths = wanted.select("how", width.alias("width")).distinct().collect()
+    widths = {how: sorted(r["width"] for r in lengths if r["how"] == how) for how in (TEMPLATE, LITERAL, VERBATIM)}
     bits = None
     if n <= s.filtered:
         size = 1 << max(20, min(28, (64 * n).bit_length()))
@@ -280,7 +319,7 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None =
         for batch in batches:
             out = []
             for *of, shift, got in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-                width = min(s.window, of[6])
+                width = of[6] if of[2] == VERBATIM else min(s.window, of[6])
                 doc, item = _slots([m["slots"] for m in got]), _slots([m["item_slots"] for m in got])
                 places = {m["item_place"]: m for m in got}
                 for begin, size in consistent_runs(list(places), width, doc, item, shift):
