@@ -5,6 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from viewloom.llm import html
 from viewloom.llm.html import SLOT, extract, fold, n_slots, stream
 
 
@@ -61,6 +62,56 @@ def test_articles_below_marked_wrappers(spark):
     assert got == want
 
 
+def wrapped(rows, emptied=False):
+    """The texts of pages of one host by one wrapper of them all, or by none."""
+    parsed = [stream(page) for page in rows]
+    folded = [fold(tokens) for tokens, _ in parsed]
+    by_print = {}
+    for (skeleton, slots), (_, texts) in zip(folded, parsed, strict=True):
+        seen = by_print.setdefault(str(skeleton), (skeleton, {}, []))
+        for k, t in zip(slots, texts, strict=True):
+            seen[1].setdefault(k, set()).add(t if slots.count(k) == 1 else None)
+        seen[2].append(1)
+    made = []
+    for skeleton, texts, n in by_print.values():
+        known = lambda found: html.UNKNOWN if not found or None in found else html.VARIES if len(found) > 1 else str(hash(next(iter(found))))
+        constant = [known(texts.get(k)) for k in range(sum(map(n_slots, skeleton)))]
+        made = html.align(made, html.start(skeleton, constant, len(n)))
+    out = []
+    for (skeleton, slots), (_, texts) in zip(folded, parsed, strict=True):
+        keep = html.mask([] if emptied else made, skeleton)
+        out.append("\n\n".join(t for k, t in zip(slots, texts, strict=True) if keep[k] == "1"))
+    return out
+
+
+def test_wrappers_decide_inside_articles(spark):
+    """Text that stays while the article changes goes, wherever it is; without a wrapper it would stay."""
+    rng, pages, want = random.Random(8), [], []
+    for i in range(9):
+        title, first, rest = words(rng, 3), words(rng, 9), [words(rng, 6) for _ in range(rng.randint(1, 3))]
+        quote = f"<blockquote>{words(rng, 4)}</blockquote>" if i % 3 == 0 else ""
+        pages.append(f"<body><article><h1>{title}</h1><h2>Summary</h2><div>{first}</div>{quote}<ul>{''.join(f'<li>{r}</li>' for r in rest)}</ul><section>Follow us for more of this</section></article><div>Made by us</div></body>")
+        want.append([title, "Summary", first, *([quote[12:-13]] if quote else []), *rest])
+    want = ["\n\n".join(w) for w in want]
+    assert wrapped(pages) == want and wrapped(pages, emptied=True) == [f"{w}\n\nFollow us for more of this" for w in want]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == want
+    # copies of one article in other surroundings keep all of it
+    copies = [p.replace("Made by us", f"Made by {i}") for i, p in enumerate([pages[1]] * 8)]
+    assert wrapped(copies) == [f"{want[1]}\n\nFollow us for more of this"] * 8
+
+
+def test_names_that_say_something_else(spark):
+    page = "<article><h1>T</h1><div class='side-by-side'>one</div><p class='share-price'>two</p><section id='search-for-life'>three</section><p>a <math><mi>x</mi></math> b <object>c</object></p><div class='share-buttons'>no</div><div class='ad-59'>no</div><div id='related-posts'>no</div></article>"
+    assert [r.text for r in extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).collect()] == ["T\n\none\n\ntwo\n\nthree\n\na x b c"]
+
+
+def test_long_groups_fold():
+    body = "".join(f"<div class='k{chr(97 + k)}'><p>t</p></div>" for k in range(20))
+    skeleton, slots = fold(stream(f"<main>{body * 4}</main>")[0])
+    assert sum(map(n_slots, skeleton)) == 20 and slots == list(range(20)) * 4
+
+
 def test_odd_pages(spark):
     pages = [None, "", "   ", "just text", "<p>a &amp; b&nbsp; c<br>d", "<article><p>x<p>y</article", "<article>" + "<p>z</p>" * 3000, "<p hidden>no</p><p>yes", "a < b <", "<article><p>x</p>tail</article>"]
     want = ["", "", "", "just text", "a & b c d", "x\n\ny", "\n\n".join(["z"] * 3000), "yes", "a < b <", "x\n\ntail"]

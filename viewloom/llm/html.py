@@ -4,8 +4,9 @@ A page becomes a well-formed stream of block tags and text slots; inline markup
 sequences fold into repeated groups, which gives the page's skeleton. The skeletons of a host are aligned one after the
 other: equal tokens and groups stay, a single occurrence of a group's body joins the group, other mismatches become
 optional parts, and text slots remember whether their text is always the same. The result is the host's wrapper. Its
-slots are content or not by where they stand, and, on hosts without an article element, by whether their text changes
-from page to page. Aligning a skeleton with its wrapper says which of its slots are content.
+slots are content or not by where they stand and by whether their text changes from page to page: on hosts without an
+article element any text that is always the same goes, inside an article one that stays the same while other text of the
+article changes. Aligning a skeleton with its wrapper says which of its slots are content.
 
 Work is per distinct skeleton, not per page, and a host's skeletons are first aligned in salted parts, so a host of very
 many pages is no single task.
@@ -23,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,13 +35,15 @@ from viewloom.llm.worker import lean
 
 #: Elements by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("script style noscript template iframe svg math object audio video canvas textarea title noembed noframes xmp".split())
+DROPPED = frozenset("script style template iframe svg textarea title noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog select button fieldset search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Class, id and role words of what is not the article, and of page heads, which may be part of an article.
 MARKED = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup signin login register comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations widget widgets search pagination pager skip copyright disclaimer complementary contentinfo form".split())
 HEADS = frozenset("header masthead topbar toolbar banner".split())
+#: Words that may stand beside those in a name; with any other word, as in share-price, a name says something else.
+BESIDE = frozenset("left right top bottom site page global primary secondary wrap wrapper container box block area section inner outer list items item links buttons bar posts articles stories text unit slot zone module panel col column the js".split())
 CONTENT = frozenset(("article", "main"))
 #: Their ids are often made of their words.
 TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
@@ -49,17 +53,19 @@ IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=[\"']))|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SLOT = "#"
-#: Longest sequence that is folded.
-PERIOD = 16
+#: Different pages on which a text is the same before that tells that it is none of theirs: without an article, and inside one.
+SAME, SAME_INSIDE = 3, 5
+#: Items of a wrapper. Beyond that it takes in no more optional parts, whose slots go by their own place in the page.
+MOST = 4096
 
 
 def _key(name: str, attributes: str) -> str:
-    """A tag's token: its name, and the words of its class, id and role, without digits."""
+    """A tag's token: its name, and its classes, id and role, letters only."""
     words: set[str] = set()
     for attribute, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         value, attribute = value.strip("\"'").lower(), attribute.lower()
         if attribute in ("class", "id", "role"):
-            words.update(w for w in re.split(r"[^a-z]+", value) if w)
+            words.update(w for w in (re.sub(r"[^a-z]+", "-", v).strip("-") for v in value.split()) if w)
         elif attribute == "hidden" or (attribute == "aria-hidden" and value == "true") or (attribute == "style" and re.search(r"display\s*:\s*none", value)):
             words.add("!hidden")
     return f"<{name}>" if not words else f"<{name} {' '.join(sorted(words))}>"
@@ -142,13 +148,32 @@ def _shape(node: _Node):
     return ["+", *[_shape(n) for n in node.body]] if node.body else node.key
 
 
+def _periods(keys: list[str]) -> list[int]:
+    """Lengths of sequences that follow themselves somewhere, ascending."""
+    last: dict[str, int] = {}
+    ids, found = np.empty(len(keys), np.int64), set()
+    names: dict[str, int] = {}
+    for i, k in enumerate(keys):
+        if k in last:
+            found.add(i - last[k])
+        last[k] = i
+        ids[i] = names.setdefault(k, len(names))
+    out = []
+    for n in sorted(x for x in found if 2 * x <= len(keys)):
+        same = np.concatenate([[False], ids[:-n] == ids[n:], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        if len(edges) and (edges[1::2] - edges[::2]).max() >= n:
+            out.append(n)
+    return out
+
+
 def fold(tokens: list[str]) -> tuple[list, list[int]]:
     """The skeleton of a stream (tokens and ["+", body...] groups), and the skeleton's slot for each SLOT of the stream."""
     nodes = [_Node(t) for t in tokens]
     changed = True
     while changed:
         changed = False
-        for n in range(1, PERIOD + 1):
+        for n in _periods([x.key for x in nodes]):
             keys = [x.key for x in nodes]
             out: list[_Node] = []
             i = 0
@@ -210,7 +235,7 @@ def located(items: list) -> list[str]:
 
 
 def grouped(items: list[dict], groups: list[list]) -> list[dict]:
-    """Single occurrences of a group's body join it. items: {item, texts: the constant text (or None) of each slot, pages: distinct pages that have it}."""
+    """Single occurrences of a group's body join it. items: {item, texts: what is known of each slot's, pages: distinct pages that have it}."""
     for g in groups:
         body = [name_of(x) for x in g[1:]]
         names = [name_of(x["item"]) for x in items]
@@ -229,8 +254,16 @@ def _groups(items: list[dict]) -> list[list]:
     return sorted(found.values(), key=lambda g: (-len(name_of(g)), name_of(g)))
 
 
+#: In place of a slot's text: it changes from page to page, or is not known, as in a repeated group.
+VARIES, UNKNOWN = "~", ""
+
+
+def _common(a: str, b: str) -> str:
+    return a if a == b else UNKNOWN if UNKNOWN in (a, b) and VARIES not in (a, b) else VARIES
+
+
 def align(wrapper: list[dict], other: list[dict]) -> list[dict]:
-    """The wrapper of both: shared parts once, the rest optional (in fewer pages); slots keep a text only if both have the same."""
+    """The wrapper of both: shared parts once, the rest optional (in fewer pages); a slot's text varies if they differ."""
     if not wrapper or not other:
         return wrapper or other
     wrapper, other = grouped(wrapper, _groups(other)), grouped(other, _groups(wrapper))
@@ -239,15 +272,17 @@ def align(wrapper: list[dict], other: list[dict]) -> list[dict]:
     for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if kind == "equal":
             for x, y in zip(wrapper[i:j], other[k:m], strict=True):
-                texts = [t if t == u else None for t, u in zip(x["texts"], y["texts"], strict=True)]
+                texts = [_common(t, u) for t, u in zip(x["texts"], y["texts"], strict=True)]
                 out.append({"item": x["item"], "texts": texts, "pages": x["pages"] + y["pages"]})
         else:
-            out += [*wrapper[i:j], *other[k:m]]
+            out += wrapper[i:j]
+            if len(wrapper) + m - k <= MOST:
+                out += other[k:m]
     return out
 
 
-def start(skeleton: list, texts: list[str | None], pages: int = 1) -> list[dict]:
-    """A wrapper of one skeleton, of so many distinct pages; texts: for each slot the hash of its text if that is always the same."""
+def start(skeleton: list, texts: list, pages: int = 1) -> list[dict]:
+    """A wrapper of one skeleton, of so many distinct pages; texts: for each slot the hash of its text if that is always the same, or VARIES or UNKNOWN."""
     out, at = [], 0
     for item in skeleton:
         n = n_slots(item)
@@ -256,6 +291,15 @@ def start(skeleton: list, texts: list[str | None], pages: int = 1) -> list[dict]
     return out
 
 
+def _marked(names: frozenset[str], words: frozenset[str]) -> bool:
+    """Whether a name is one of ``words``, or made of them and of words that may stand beside them."""
+    for name in names:
+        parts = set(name.split("-"))
+        if parts & words and parts <= MARKED | HEADS | BESIDE:
+            return True
+    return False
+
+
 def _excluded(tag: str, inside: bool) -> bool:
     name, _, words = tag[1:-1].partition(" ")
     marks = frozenset(words.split())
@@ -263,13 +307,32 @@ def _excluded(tag: str, inside: bool) -> bool:
         return True
     if name in ("html", "body", *CONTENT) or (inside and name in TEXTS):
         return False
-    return bool((marks & MARKED) - (HEADS if inside else frozenset())) or (not inside and (name == "header" or bool(marks & HEADS)))
+    return _marked(marks, MARKED - HEADS if inside else MARKED) or (not inside and (name == "header" or _marked(marks, HEADS)))
 
 
 def _never(tag: str) -> bool:
     return tag[1:-1].partition(" ")[0] in (*OUTSIDE, "header") or "!hidden" in tag[1:-1].split()
 
 
+def _headed(items: list) -> list[bool]:
+    """For each slot whether it is in a heading."""
+    found: list[bool] = []
+    within = 0
+
+    def walk(seq: list) -> None:
+        nonlocal within
+        for x in seq:
+            if not isinstance(x, str):
+                walk(x[1:])
+            elif x == SLOT:
+                found.append(within > 0)
+            elif x.strip("</>").partition(" ")[0] in HEADINGS:
+                within = max(0, within + (-1 if x.startswith("</") else 1))
+
+    walk(items)
+    return found
+
+
 def slot_places(items: list, reset: bool = False) -> list[tuple[bool, bool]]:
     """For each slot of a wrapper or skeleton whether it is inside an article, and whether it is outside the main text.
 
@@ -307,12 +370,15 @@ def slot_places(items: list, reset: bool = False) -> list[tuple[bool, bool]]:
 def mask(wrapper: list[dict], skeleton: list) -> str:
     """For each slot of a skeleton, 1 if the wrapper's slot is content.
 
-    Where there is no article element, a slot whose text is the same in three or more different pages is not content. A
-    slot that finds no place in the wrapper goes by its own place in the page. If all articles are outside by words of elements
+    Where there is no article element, a slot whose text is the same in ``SAME`` different pages is not content; inside an
+    article one whose text is the same in ``SAME_INSIDE`` pages, if it is no heading and the text of another slot that is no
+    heading changes there: copies of one article keep it. A slot that finds no place in the wrapper goes by its own place in the page. If all articles are outside by words of elements
     above them, and have more slots than are left without them, those words don't count for them.
     """
     flat = [x["item"] for x in wrapper]
-    fixed = [t is not None and x["pages"] >= 3 for x in wrapper for t in x["texts"]]
+    told = [t for x in wrapper for t in x["texts"]]
+    same = [x["pages"] if t not in (VARIES, UNKNOWN) else 0 for x in wrapper for t in x["texts"]]
+    headed = _headed(flat)
     mine = grouped(start(skeleton, list(range(len(slot_places(skeleton))))), _groups(wrapper))
     starts = [0]
     for x in flat:
@@ -320,14 +386,16 @@ def mask(wrapper: list[dict], skeleton: list) -> str:
     blocks = SequenceMatcher(None, located(flat), located([x["item"] for x in mine]), autojunk=False).get_matching_blocks()
 
     def marked(reset: bool) -> tuple[bool, str]:
-        places = [(*p, f) for p, f in zip(slot_places(flat, reset), fixed, strict=True)]
-        own = [(*p, False) for p in slot_places(skeleton, reset)]
-        article = any(inside and not out for inside, out, _ in own)
+        found = slot_places(flat, reset)
+        varies = any(inside and not out and t == VARIES and not h for (inside, out), t, h in zip(found, told, headed, strict=True))
+        places = [(inside, out, n >= SAME, varies and n >= SAME_INSIDE and not h) for (inside, out), n, h in zip(found, same, headed, strict=True)]
+        own = [(*p, False, False) for p in slot_places(skeleton, reset)]
+        article = any(inside and not out for inside, out, _, _ in own)
         for i, k, n in blocks:
             for d in range(n):
                 for e, slot in enumerate(mine[k + d]["texts"]):
                     own[slot] = places[starts[i + d] + e]
-        return article, "".join("1" if not out and (inside if article else not same) else "0" for inside, out, same in own)
+        return article, "".join("1" if not out and (inside and not still if article else not fixed) else "0" for inside, out, fixed, still in own)
 
     article, strict = marked(False)
     if article:
@@ -367,8 +435,8 @@ def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
     """host and wrapper from the rows of ``parsed``."""
     single = pages.select("host", "print", F.explode(F.arrays_zip("single", "hashes")).alias("x"))
-    fixed = single.groupBy("host", "print", F.col("x.single").alias("slot")).agg(F.min("x.hashes").alias("lo"), F.max("x.hashes").alias("hi")).filter("lo = hi")
-    fixed = fixed.groupBy("host", "print").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("lo").cast("string")))).alias("fixed"))
+    fixed = single.groupBy("host", "print", F.col("x.single").alias("slot")).agg(F.min("x.hashes").alias("lo"), F.max("x.hashes").alias("hi"))
+    fixed = fixed.groupBy("host", "print").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.lit(VARIES))))).alias("fixed"))
     kinds = pages.groupBy("host", "print").agg(F.min("skeleton").alias("skeleton"), F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.approx_count_distinct("page").alias("pages"))
     rows = kinds.join(fixed, ["host", "print"], "left")
     rows = rows.select("host", "print", "skeleton", "fixed", F.when(F.col("lo") == F.col("hi"), 1).when(F.col("pages") < 2, 2).otherwise(F.col("pages")).cast("long").alias("pages"), "n", F.pmod("print", F.lit(salts)).alias("salt"))
@@ -394,7 +462,7 @@ def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
 
     def first(row: dict) -> list[dict]:
         skeleton, known = json.loads(row["skeleton"]), dict(row["fixed"] or [])
-        return start(skeleton, [known.get(i) for i in range(sum(map(n_slots, skeleton)))], row["pages"])
+        return start(skeleton, [known.get(i, UNKNOWN) for i in range(sum(map(n_slots, skeleton)))], row["pages"])
 
     schema = "host string, salt long, wrapper string"
     parts = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", F.desc("n"), "print").mapInArrow(merge(first), schema)
