@@ -65,9 +65,10 @@ def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buckets_for(df: DataFrame) -> int:
-    """A bucket for each 4 MB of input, 256 to 4096."""
+    """A bucket for each 4 MB of input, 256 at least; beyond 4096 they grow with its square root, as vocabularies do."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(4096, max(256, size >> 22))
+    n = max(256, size >> 22)
+    return n if n <= 4096 else int((4096 * n) ** 0.5)
 
 
 class _Block:
