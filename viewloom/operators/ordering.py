@@ -37,6 +37,13 @@ def hamming(common: np.ndarray) -> np.ndarray:
     return size[:, None] + size[None, :] - 2 * both
 
 
+def check_triangles(d: np.ndarray) -> None:
+    """Distances of sets obey the triangle inequality; others would make the tour's bound worthless."""
+    for k in range(len(d)):
+        if (d > d[:, k, None] + d[None, k, :]).any():
+            raise ValueError(f"distances through {k} are shorter than direct ones")
+
+
 def spanning_tree(d: np.ndarray) -> list[tuple[int, int]]:
     """Lightest links that connect all views, by weight, then row, then column."""
     rows, cols = np.triu_indices(len(d), 1)
@@ -83,6 +90,7 @@ def closed_walk(links: list[tuple[int, int]], first: int) -> list[int]:
 
 def order(d: np.ndarray) -> list[int]:
     """The views (from 1) in the order of a tour that begins at the empty view."""
+    check_triangles(d)
     if len(d) <= 2:
         return list(range(1, len(d)))
     tree = spanning_tree(d)

@@ -18,6 +18,7 @@ from viewloom.operators.summary import roll_up, summarise
 from viewloom.plans import modes
 from viewloom.sources.collections import generate_cube, window_cube
 from viewloom.sources.tables import trade, transitions
+from viewloom.queries_files import QUERIES as FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -254,6 +255,17 @@ def language_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.last.differences()
 
 
+#: Overlapping views: each drops a few edges of the one before.
+MANY = 120
+
+
+def many_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops in 120 views that have most edges in common: ts, reached, total of all distances."""
+    views = [[parse_where(f"cents >= {14000 + 30 * i}") for i in range(MANY)]]
+    done = modes.run(make("bfs", {"root": ROOT}), make_collection(transitions(spark, sf_dir), "many", views))
+    return done.full.groupBy("ts").agg(F.count("*").alias("reached"), F.sum("dist").alias("total"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weakly connected components of three views of the trade graph: ts, components, largest."""
     graph: Graph = trade(spark, sf_dir)
@@ -264,9 +276,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "load_graph_vertices": vertices_loaded,
-    "load_graph_edges": edges_loaded,
-    "load_graph_transitions": transition_edges,
+    "graph_trade_vertices": vertices_loaded,
+    "graph_trade_edges": edges_loaded,
+    "graph_transition_edges": transition_edges,
     **{name: _where(text) for name, (text, _) in CONDITIONS.items()},
     "view_filter": _view(G_FILTER, False),
     "view_filter_edges": _view(G_PLACES, True),
@@ -296,9 +308,15 @@ QUERIES: dict[str, Query] = {
     "mode_compare_wcc": _algorithm("wcc", "compare_differential"),
     "mode_adaptive_bfs": _algorithm("bfs", "adaptive", adaptive=modes.Adaptive(5, 1.5, 1.0, 5, "avg"), root=ROOT),
     "mode_split_wcc_diff": _algorithm("wcc", "adaptive", diff=True, splits=[1]),
+    "mode_one_stage_pagerank": _algorithm("pr", "1_stage_differential", iterations=2),
+    "mode_basic_individual_pagerank": _algorithm("pr", "basic_individual", iterations=2),
+    "mode_default_pagerank": _algorithm("pr", None, iterations=2),
+    "mode_adaptive_lr_pagerank": _algorithm("pr", "adaptive", adaptive=modes.Adaptive(1, 1.3, 1.0, 10, "lr"), iterations=2),
+    "many_views_bfs": many_views,
     "generate_counts": _schedule_counts("generate"),
     "window_counts": _schedule_counts("window"),
     "language_script": language_script,
+    **FILES,
 }
 
 
@@ -313,9 +331,9 @@ _PRED_GROUPS = """(
   UNION ALL SELECT id, 'nation=''' || nation || '''|segment = ''MACHINERY''' FROM tv WHERE segment = 'MACHINERY')"""
 
 SQL: dict[str, str] = {
-    "load_graph_vertices": f"WITH {TRADE_V} SELECT id, kind, segment, nation, region FROM tv",
-    "load_graph_edges": f"WITH {TRADE_E} SELECT src, dst, year, qty, flag, status, count(*) AS n FROM te GROUP BY ALL",
-    "load_graph_transitions": f"WITH {TRANS_E} SELECT src, dst, event_type, cents, count(*) AS n FROM xe GROUP BY ALL",
+    "graph_trade_vertices": f"WITH {TRADE_V} SELECT id, kind, segment, nation, region FROM tv",
+    "graph_trade_edges": f"WITH {TRADE_E} SELECT src, dst, year, qty, flag, status, count(*) AS n FROM te GROUP BY ALL",
+    "graph_transition_edges": f"WITH {TRANS_E} SELECT src, dst, event_type, cents, count(*) AS n FROM xe GROUP BY ALL",
     **{name: _where_sql(sql) for name, (_, sql) in CONDITIONS.items()},
     "view_filter": f"{_HEAD} SELECT CAST(1 AS INT) AS section, {_group_sql('', 'segment')} AS grp, count(*) AS n FROM tv WHERE kind = 'C' AND nation <> 'NATION_1' GROUP BY ALL",
     "view_filter_edges": f"{_HEAD} SELECT CAST(1 AS INT) AS section, {_group_sql('u', 'kind')} || '|' || {_group_sql('u', 'region')} AS src_grp, {_group_sql('v', 'kind')} || '|' || {_group_sql('v', 'region')} AS dst_grp, count(*) AS n FROM tj WHERE qty > 25 AND uregion <> vregion AND uregion <> 'ASIA' AND vregion <> 'ASIA' GROUP BY ALL",
@@ -346,7 +364,27 @@ UNION ALL SELECT CAST(2 AS INT), {_group_sql('u', 'kind')}, {_group_sql('v', 'ki
     "mode_compare_wcc": f"{_WCC} SELECT CAST(ts AS INT) AS ts, v, label, CAST(1 AS BIGINT) AS diff FROM f",
     "mode_adaptive_bfs": f"{_BFS} SELECT CAST(ts AS INT) AS ts, v, dist, CAST(1 AS BIGINT) AS diff FROM f",
     "mode_split_wcc_diff": f"{_WCC}, g AS (SELECT ts, v, label, 1 AS diff FROM f UNION ALL SELECT ts + 1, v, label, -1 FROM f WHERE ts = 1) SELECT CAST(ts AS INT) AS ts, v, label, CAST(sum(diff) AS BIGINT) AS diff FROM g GROUP BY ALL HAVING sum(diff) <> 0",
+    **{name: _pagerank_sql(2) for name in ("mode_one_stage_pagerank", "mode_basic_individual_pagerank", "mode_default_pagerank", "mode_adaptive_lr_pagerank")},
+    "many_views_bfs": f"""WITH RECURSIVE {TRANS_E}, n AS (SELECT CAST(unnest(range({MANY})) AS INT) AS ts), x AS (SELECT DISTINCT ts, src, dst FROM xe JOIN n ON cents >= 14000 + 30 * ts),
+r(ts, v, dist) AS (SELECT ts, CAST({ROOT} AS BIGINT), 0 FROM n UNION SELECT r.ts, x.dst, r.dist + 1 FROM r JOIN x ON x.ts = r.ts AND x.src = r.v WHERE r.dist < 40),
+f AS (SELECT ts, v, min(dist) AS dist FROM r GROUP BY ts, v) SELECT ts, count(*) AS reached, CAST(sum(dist) AS BIGINT) AS total FROM f GROUP BY ts""",
     "generate_counts": _values([(500, 0)] + [(40, 30)] * 5),
     "window_counts": _values([(400, 0), (10, 10), (10, 10), (30, 30), (10, 10), (10, 10)]),
     "language_script": f"{_WCC}, {_DIFF.format('v, label')}",
 }
+
+_FULL, _CHANGES = SQL["collection_full"], SQL["collection_diff"]
+SQL |= {
+    "csv_load_vertices": SQL["graph_trade_vertices"],
+    "csv_load_edges": SQL["graph_trade_edges"],
+    "csv_load_dialect": f"WITH {TRANS_E} SELECT src, dst, count(*) AS n FROM xe GROUP BY ALL",
+    "csv_randomized_ids": f"WITH {TRADE_V}, {TRADE_E}, c AS (SELECT 'vertices' AS what, count(*) AS n FROM tv UNION ALL SELECT 'edges', count(*) FROM te) SELECT what, n, n AS ids, CAST(0 AS BIGINT) AS least, n - 1 AS greatest FROM c",
+    "csv_mappings": f"WITH {TRADE_V} SELECT id, true AS same FROM tv",
+    "save_graph_edges": f"WITH {TRADE_E} SELECT src, dst, count(*) AS n FROM te GROUP BY ALL",
+    "serialize_store": SQL["collection_totals"],
+    "serialize_cube": _CHANGES,
+    "save_cube_full": _FULL,
+    "save_cube_diff": _CHANGES,
+    "load_cube": _FULL,
+    "save_results": SQL["wcc_full"],
+}

@@ -8,6 +8,7 @@ import random
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +56,15 @@ def _schedule(name: str, edges: DataFrame, steps: list[tuple[int, int]], seed: i
         raise CollectionError(f"edges exhausted for addition: {need} are needed, {total} are there")
     spark = edges.sparkSession
     placed = dense_ids(edges.select("src", "dst", F.rand(seed).alias("__r")).orderBy("__r").select("src", "dst"), "place").filter(F.col("place") < need)
-    ends = itertools.accumulate(a for a, _ in steps)
-    bounds = [(i, end - a, end) for i, ((a, _), end) in enumerate(zip(steps, ends)) if a]
-    views = spark.createDataFrame(bounds, "ts int, begin long, end long")
-    added = keep(placed.join(F.broadcast(views), (F.col("place") >= F.col("begin")) & (F.col("place") < F.col("end"))).select("ts", "src", "dst", "place"), "added")
+    # a place's view is found by a search in the sorted bounds, in each row by itself
+    adding = [i for i, (a, _) in enumerate(steps) if a]
+    bounds = [0.0, *[float(end) for i, end in enumerate(itertools.accumulate(a for a, _ in steps)) if steps[i][0]]]
+    if adding:
+        dealt = Bucketizer(splits=bounds, inputCol="__at", outputCol="__nth").transform(placed.withColumn("__at", F.col("place").cast("double")))
+        view = F.get(F.array(*[F.lit(i) for i in adding]), F.col("__nth").cast("int"))
+    else:
+        dealt, view = placed, F.lit(0)
+    added = keep(dealt.select(view.alias("ts"), "src", "dst", "place"), "added")
     deleted = spark.createDataFrame(list(_deletions(steps, seed)), "ts int, place long")
     gone = deleted.join(added.select("place", "src", "dst"), "place").select("ts", "src", "dst", F.lit(-1).cast("long").alias("diff"))
     changes = added.select("ts", "src", "dst", F.lit(1).cast("long").alias("diff")).unionByName(gone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,7 +27,8 @@ class GrowingCollection:
 
     def collection(self, spark) -> DiffCollection:
         """The views so far."""
-        rows = spark.read.parquet(self.path).select(F.col("ts").cast("int").alias("ts"), "src", "dst", "diff")
-        n = rows.agg(F.max("ts")).first()[0]
-        views = 0 if n is None else n + 1
+        table = spark.read.parquet(self.path)
+        rows = table.select(F.col("ts").cast("int").alias("ts"), "src", "dst", "diff")
+        # a batch that changed nothing has a file without rows, and is a view
+        views = 1 + max((int(m[1]) for m in (re.search(r"/ts=(\d+)/", f) for f in table.inputFiles()) if m), default=-1)
         return DiffCollection(self.name, Timestamps((views,)), [str(i) for i in range(views)], rows)
