@@ -30,7 +30,7 @@ from viewloom.llm.minhash import _mix
 from viewloom.llm.postings import NAMES, SCHEMA, Lookup, buckets_for, dictionary, pack, postings, sum_by_document, unpack, unpack_ids
 from viewloom.llm.store import keep
 from viewloom.llm.subwords import encode_words
-from viewloom.llm.worker import held
+from viewloom.llm.worker import held, trimmed
 
 
 @dataclass(frozen=True)
@@ -288,7 +288,7 @@ def marks(training: Callable[[int | None], bool], ids: np.ndarray, nulls: np.nda
 _TAIL = b".,;:!?#$%&*)]"
 
 
-def word_ids(words: list[bytes], path: str, most: int = 500_000) -> list[bytes]:
+def word_ids(words: list[bytes], path: str, most: int = 300_000) -> list[bytes]:
     """Subword ids of each lowered word, as unsigned 16-bit bytes. A worker holds a bounded number of words' ids.
 
     Punctuation after a letter is looked up apart, as the tokenizer splits it off.
@@ -382,7 +382,7 @@ def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool],
                 total[-2:] += len(texts), sum(-(-len(t) // s.window) for t in texts)
         yield _array(total)
 
-    got = _summed(about.mapInArrow(count, "data binary"))
+    got = _summed(about.mapInArrow(trimmed(count), "data binary"))
     got = np.zeros(s.vocabulary + 2) if got is None else got
     counts, trained, n_windows = got[:-2].astype(np.int64), int(got[-2]), int(got[-1])
     order = np.argsort(-counts, kind="stable")[: s.near]
@@ -405,7 +405,7 @@ def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool],
                 total[ids[by][first]] += np.add.reduceat(near[by], first)
         yield _array(total)
 
-    near = _summed(about.mapInArrow(neighbours, "data binary"), "<f4")
+    near = _summed(about.mapInArrow(trimmed(neighbours), "data binary"), "<f4")
     near = np.zeros((s.vocabulary, s.vector)) if near is None else near.reshape(s.vocabulary, s.vector)
     group = classes(near, counts, s)
     slot = inputs(group, counts, s)
@@ -418,7 +418,7 @@ def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool],
                 total += np.bincount(slot[before] * s.classes + group[ids], minlength=len(total))
         yield _array(total)
 
-    pairs = _summed(about.mapInArrow(follow, "data binary"))
+    pairs = _summed(about.mapInArrow(trimmed(follow), "data binary"))
     pairs = np.zeros((s.slots, s.classes)) if pairs is None else pairs.reshape(s.slots, s.classes)
     size, mass = np.bincount(group, minlength=s.classes), np.bincount(group, counts, s.classes)
     share = np.log10((counts + 1) / (mass + size)[group])
@@ -441,7 +441,7 @@ def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool],
                     to.append(int(chance[k] % np.uint64(1 << 11)) * 7919 % trainers if trainers > 1 else 0)
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(out, pa.binary())], ["trainer", "window"])
 
-    packs = about.mapInArrow(draw, "trainer int, window binary").groupBy("trainer").agg(F.array_sort(F.collect_list("window")).alias("windows"))
+    packs = about.mapInArrow(trimmed(draw), "trainer int, window binary").groupBy("trainer").agg(F.array_sort(F.collect_list("window")).alias("windows"))
     packs = keep(packs, "windows")
     names = list(model.p)
     state = tuple({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
@@ -457,7 +457,7 @@ def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool],
                     train(mine, windows, moments, steps, done * (1 << 20) + trainer, done, s.rounds)
                     yield _array(np.append(np.concatenate([x[k].ravel() for x in (mine.p, *moments) for k in names]) * float(len(windows)), len(windows)))
 
-        met = _summed(packs.repartition(min(trainers, 4096)).mapInArrow(fit, "data binary"))
+        met = _summed(packs.repartition(min(trainers, 4096)).mapInArrow(trimmed(fit), "data binary"))
         if met is None:
             break
         at, flat = 0, (met[:-1] / met[-1]).astype(np.float32)
@@ -493,7 +493,7 @@ def score_documents(docs: DataFrame, path: str, end_id: int, training: Callable[
                 r["counts"] = None
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
-    scored = about.select(*NAMES).mapInArrow(apply, SCHEMA)
+    scored = about.select(*NAMES).mapInArrow(trimmed(apply), SCHEMA)
     known = keep(dictionary(kept), "counts")
     sums = known.agg(F.sum("n_terms"), F.sum("total")).first()
     n, v = (sums[1] or 0) + trained, (sums[0] or 0) + (trained > 0)

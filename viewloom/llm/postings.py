@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.worker import lean
+from viewloom.llm.worker import lean, trimmed
 
 BLOCK_DOCS = 4096
 BLOCK_CHARS = 8 << 20
@@ -155,7 +155,7 @@ def postings(docs: DataFrame, split: Callable[[str], tuple[list, tuple]], bucket
         if held.ids:
             yield out()
 
-    return lean(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return lean(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(run), SCHEMA)
 
 
 class Lookup:
@@ -200,7 +200,7 @@ def dictionary(kept: DataFrame) -> DataFrame:
             yield out()
 
     rows = kept.filter("terms IS NOT NULL").select("bucket", "terms", "counts")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, terms binary, counts binary, n_terms long, total long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "bucket int, terms binary, counts binary, n_terms long, total long")
 
 
 def sum_by_document(rows: DataFrame, lookup: Callable[[], Lookup], finish: Callable[[np.ndarray, np.ndarray], Sequence[np.ndarray]], schema: str, facts: DataFrame | None = None) -> DataFrame:
@@ -266,5 +266,5 @@ def sum_by_document(rows: DataFrame, lookup: Callable[[], Lookup], finish: Calla
         names = [c.split()[0] for c in schema.split(", ")]
         return pa.Table.from_arrays([pa.array(ids, mask=nulls), *[pa.array(c) for c in finish(total, about)]], names)
 
-    parts = mixed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(partial, "block long, docs binary, sums binary, ids binary")
+    parts = mixed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(trimmed(partial), "block long, docs binary, sums binary, ids binary")
     return parts.groupBy("block").applyInArrow(whole, schema)

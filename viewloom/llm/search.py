@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from viewloom.llm.postings import SEPARATOR, buckets_for, dictionary, pack, postings, unpack, unpack_ids, unpack_posts
 from viewloom.llm.store import keep
+from viewloom.llm.worker import trimmed
 
 
 @dataclass(frozen=True)
@@ -193,7 +194,7 @@ def _query_terms(queries: DataFrame, known: DataFrame, n: int, buckets: int, key
                 out = [(zlib.crc32(t) % buckets, row, i, t) for t in set(words(value.as_py() or ""))]
                 yield _table(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), ["bucket", "row", "query_id", "term"])
 
-    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(cut, "bucket int, row long, query_id long, term binary")
+    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(cut), "bucket int, row long, query_id long, term binary")
     rows = asked.select("bucket", F.lit(1).alias("kind"), "row", "query_id", "term", _null("binary").alias("terms"), _null("binary").alias("counts"))
     facts = known.select("bucket", F.lit(0).alias("kind"), _null("long").alias("row"), _null("long").alias("query_id"), _null("binary").alias("term"), "terms", "counts")
 
@@ -210,7 +211,7 @@ def _query_terms(queries: DataFrame, known: DataFrame, n: int, buckets: int, key
                     out.append((row, i, b, term, b << 32 | places[term], idf(n, dfs[places[term]])))
             yield _table(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64()), ["row", "query_id", "bucket", "term", "id", "idf"])
 
-    return _streams(facts, rows).mapInArrow(weigh, "row long, query_id long, bucket int, term binary, id long, idf double")
+    return _streams(facts, rows).mapInArrow(trimmed(weigh), "row long, query_id long, bucket int, term binary, id long, idf double")
 
 
 def top_k(docs: DataFrame, queries: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,12 +339,12 @@ def top_k(docs: DataFrame, queries: DataFrame, settings: Settings | None = None,
 
     group_of = F.pmod(F.xxhash64("block"), F.lit(groups))
     none = _null("binary")
-    picked = _streams(facts, rows).mapInArrow(pick, "batch int, block long, terms binary, posts binary")
+    picked = _streams(facts, rows).mapInArrow(trimmed(pick), "batch int, block long, terms binary, posts binary")
     lists = picked.select(cell_of(group_of, F.col("batch")), F.lit(1).alias("kind"), "block", "terms", "posts", none.alias("ids"))
     heads = about.select("block", "posts", "ids", F.explode(F.sequence(F.lit(0), F.lit(batches_n - 1))).alias("batch")).select(cell_of(group_of, F.col("batch")), F.lit(1).alias("kind"), "block", none.alias("terms"), "posts", "ids")
     asking = packs.select("batch", "pack", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).select(cell_of(F.col("group"), F.col("batch")), F.lit(0).alias("kind"), _null("long").alias("block"), none.alias("terms"), F.col("pack").alias("posts"), none.alias("ids"))
     cells = asking.unionByName(lists).unionByName(heads).repartition("cell").sortWithinPartitions("cell", "kind", "block")
-    best = cells.mapInArrow(search, "row long, doc_id long, score double")
+    best = cells.mapInArrow(trimmed(search), "row long, doc_id long, score double")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "doc_id")
     merged = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.k)
     return asked.select("query_id", "query").join(one, "query").join(merged, "row").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
