@@ -45,6 +45,8 @@ class Settings:
     #: Buckets of more blocks are cut by pairs of minima, so many of them.
     blocks: int = 16
     parts: int = 24
+    #: Parts that the classes of a component are dealt to.
+    salts: int = 32
     #: Classes whose ids may be broadcast, 8 bytes each.
     broadcast: int = 2_000_000
 
@@ -327,7 +329,10 @@ def _grouped(sketched: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     least = slim.filter("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     labelled = keep(least.join(groups, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "labels")
     smallest = labelled.groupBy("component").agg(F.min("least").alias("first"))
-    by_class = labelled.join(smallest, "component").select("class", "first")
+    # a component may have very many classes: its one row goes to each of their parts
+    parts = F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("salt")
+    dealt = labelled.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(s.salts)).cast("int"))
+    by_class = dealt.join(smallest.select("component", "first", parts), ["component", "salt"]).select("class", "first")
     return slim.join(by_class, "class", "left").select("doc_id", "row", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
 
 
