@@ -40,7 +40,7 @@ class Settings:
     rows: int = 4
     slack: float = 0.2
     #: Classes of a bucket, and bytes of their sets, that are compared with as many others in one task, about.
-    block: int = 512
+    block: int = 256
     block_bytes: int = 4 << 20
     #: Buckets of more blocks are cut by pairs of minima, so many of them.
     blocks: int = 16
