@@ -65,9 +65,12 @@ def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buckets_for(df: DataFrame) -> int:
-    """A bucket for each 4 MB of input, 256 at least; beyond 4096 they grow with its square root, as vocabularies do."""
+    """A bucket for each 4 MB of input, 256 at least; beyond 4096 they grow with its square root, as vocabularies do.
+
+    Where Spark does not know the input's size, as of rows from Python, it tells the greatest number; then there are 4096.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(256, size >> 22)
+    n = max(256, min(size >> 22, 4096 if size >> 56 else size >> 22))
     return n if n <= 4096 else int((4096 * n) ** 0.5)
 
 

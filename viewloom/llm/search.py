@@ -42,7 +42,7 @@ class Settings:
     #: Queries of a batch: about 700 bytes each in a task. Each batch more reads the index once more.
     batch: int = 65_536
     #: Shards of a cell, if there are enough for all cores.
-    shards: int = 32
+    shards: int = 8
 
 
 def words(text: str) -> list[bytes]:
@@ -343,7 +343,8 @@ def top_k(docs: DataFrame, queries: DataFrame, settings: Settings | None = None,
     lists = picked.select(cell_of(group_of, F.col("batch")), F.lit(1).alias("kind"), "block", "terms", "posts", none.alias("ids"))
     heads = about.select("block", "posts", "ids", F.explode(F.sequence(F.lit(0), F.lit(batches_n - 1))).alias("batch")).select(cell_of(group_of, F.col("batch")), F.lit(1).alias("kind"), "block", none.alias("terms"), "posts", "ids")
     asking = packs.select("batch", "pack", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).select(cell_of(F.col("group"), F.col("batch")), F.lit(0).alias("kind"), _null("long").alias("block"), none.alias("terms"), F.col("pack").alias("posts"), none.alias("ids"))
-    cells = asking.unionByName(lists).unionByName(heads).repartition("cell").sortWithinPartitions("cell", "kind", "block")
+    # a cell is much work for few bytes: their number is given, so that none are put together by size
+    cells = asking.unionByName(lists).unionByName(heads).repartition(min(groups * batches_n, 1 << 15), "cell").sortWithinPartitions("cell", "kind", "block")
     best = cells.mapInArrow(trimmed(search), "row long, doc_id long, score double")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "doc_id")
     merged = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.k)
