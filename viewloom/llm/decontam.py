@@ -43,8 +43,8 @@ class Settings:
 
 
 #: Words that stand for numbers, and units.
-NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
-UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees mph kmh watt watts volt volts joule joules".split()
+NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees mph kmh watt watts volt volts joule joules".split())
 
 #: How a window is hashed: by its template, by its words with the values of their slots, or as it stands.
 TEMPLATE, LITERAL, VERBATIM = 0, 1, 2
@@ -73,14 +73,14 @@ class _Canon(dict):
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
-        core = _OUTER.sub("", word)
+        core = word if word.isalpha() else _OUTER.sub("", word)
         low = core.lower()
         closed = 0 if core and word.endswith(core) else _CLOSED
         opens = bool(core) and word.startswith(core)
         ends = _ENDS if word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?") else 0
         if not core:
             out = ends
-        elif _NUMBER.fullmatch(low) or low in NUMBERS:
+        elif low in NUMBERS or (not low.isalpha() and _NUMBER.fullmatch(low)):
             out = NUM | ends | closed | (_JOINS if opens and low in NUMBERS else 0)
         elif low in UNITS:
             out = UNIT | ends | closed
