@@ -67,3 +67,30 @@ def test_pruning_is_exact():
         got = [(-float(v), int(i)) for v, i in zip(batch.scores[0], batch.ids[0], strict=True) if np.isfinite(v)]
         assert [g[1] for g in got] == [w[1] for w in want] and np.allclose([g[0] for g in got], [w[0] for w in want], atol=2e-6)
     assert skipped > 0
+
+
+def test_queries_go_through_a_shard_together():
+    """Lists in the matrix and outside, several shards, documents of null ids, and floors of earlier shards."""
+    rng = np.random.default_rng(6)
+    n, lists, s = 500, 300, Settings(k=4, block=16)
+    idf = np.round(rng.random(lists) * 5 + 0.1, 3)
+    wants = [np.sort(rng.choice(lists, int(rng.integers(1, 60)), replace=False)) for _ in range(40)]
+    batch = Batch([pack_queries(list(range(40)), [w.tolist() for w in wants], [idf[w].tolist() for w in wants])], s.k)
+    lengths, ids = rng.integers(1, 500, (3, n)).astype(float), rng.permutation(3 * n).reshape(3, n)
+    nulls = rng.random((3, n)) < 0.1
+    found = [[] for _ in wants]
+    for k in range(3):
+        freqs = rng.integers(1, 9, (lists, n)) * (rng.random((lists, n)) < rng.random((lists, 1)) ** 6)
+        parts = np.where(freqs > 0, idf[:, None] * freqs * (s.k1 + 1) / (freqs + s.k1 * (1 - s.b + s.b * lengths[k] / 250.0)), 0)
+        for q, w in enumerate(wants):
+            found[q] += [(-round(t, 6), int(i)) for t, i, null in zip(parts[w].sum(0).tolist(), ids[k].tolist(), nulls[k], strict=True) if t > 0 and not null]
+        some = np.flatnonzero(freqs.any(1))
+        where, docs = np.nonzero(freqs[some])
+        made = Shard(batch, some, np.bincount(where, minlength=len(some)), docs, freqs[some][where, docs].astype(float), lengths[k], 250.0, s)
+        assert 0 < len(made.tops) < len(some)
+        made.AT_ONCE = 1000
+        made.search(batch, batch.order, ids[k], nulls[k])
+    for q, scored in enumerate(found):
+        want = sorted(scored)[: s.k]
+        got = [(-float(v), int(i)) for v, i in zip(batch.scores[q], batch.ids[q], strict=True) if np.isfinite(v)]
+        assert [g[1] for g in got] == [w[1] for w in want] and np.allclose([g[0] for g in got], [w[0] for w in want], atol=2e-6)

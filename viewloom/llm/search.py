@@ -5,9 +5,11 @@ frequencies and the mean length are those of the whole collection, so scores don
 all words of its text. Queries go in batches; a cell is a batch and a group of shards, and gets the batch once and each of
 its shards' postings of the batch's terms once. No posting carries the queries that ask for it.
 
-In a cell, each query goes through the shards. The bound of a block of documents is the sum of its lists' largest parts
-there; only blocks whose bounds reach the query's k-th best score so far are scored, best bound first, and later shards
-start with the scores of earlier ones. The cells' best are merged.
+In a cell, queries of a kind go through the shards together. Lists of many documents are a matrix, so their parts in many
+documents' scores are one product; those of other lists are summed. The bound of a block of documents is the largest sum
+there and the largest parts of the matrix's lists; blocks whose bounds reach no query's k-th best score so far are left
+out, and later shards start with the scores of earlier ones. The product is in single precision: what may be among the
+best by it is summed again in double. The cells' best are merged.
 
 Scores are rounded to six decimals; equal ones go by id. Equal queries run once. Null texts are empty; queries without
 words give no rows; rows with null ids are counted but not returned; repeated rows are returned and asked as often as they
@@ -41,6 +43,8 @@ class Settings:
     block: int = 64
     #: Queries of a batch: about 700 bytes each in a task. Each batch more reads the index once more.
     batch: int = 65_536
+    #: Queries that go through a shard together.
+    together: int = 128
     #: Shards of a cell, if there are enough for all cores.
     shards: int = 8
 
@@ -59,29 +63,59 @@ SLACK = 2e-6
 
 
 class Batch:
-    """Queries as rows of places in ``terms`` (sorted ids), and the k best of each so far."""
+    """Queries as rows of places in ``terms`` (sorted ids), and the k best of each so far.
+
+    Queries are told apart by the kinds of their most common words, so that those of one language are looked for together.
+    """
+
+    #: Kinds, the words that tell them, and the queries that they are found from. They change the order of work only.
+    KINDS, COMMON, FIRST = 8, 256, 4096
 
     def __init__(self, packs: list[bytes], k: int) -> None:
         got = [np.load(_file(p)) for p in packs]
         self.terms, first = np.unique(np.concatenate([g["terms"] for g in got]), return_index=True)
         self.idf = np.concatenate([g["idf"] for g in got])[first]
         self.rows = np.concatenate([g["rows"] for g in got])
-        self.wants = [np.searchsorted(self.terms, part) for g in got for part in np.split(g["terms"][g["at"]], g["ends"][:-1])]
+        self.wants = [w.astype(np.int32) for g in got for w in np.split(np.searchsorted(self.terms, g["terms"])[g["at"]], g["ends"][:-1])]
         self.k = k
         self.scores = np.full((len(self.rows), k), -np.inf)
         self.ids = np.zeros((len(self.rows), k), np.int64)
-
-    def floor(self, q: int) -> float:
-        """What a document's score has to reach."""
-        return max(self.scores[q, -1] - SLACK, SLACK / 4)
-
-    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if len(ids) > 4 * self.k:
-            best = scores >= np.partition(scores, -self.k)[-self.k]
-            ids, scores = ids[best], scores[best]
-        ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
-        best = np.lexsort((ids, -scores))[: self.k]
-        self.ids[q], self.scores[q] = ids[best], scores[best]
+        self._tell_kinds()
+
+    def _tell_kinds(self) -> None:
+        often = np.bincount(np.concatenate(self.wants), minlength=len(self.terms))
+        self.common = np.sort(np.argsort(-often, kind="stable")[: self.COMMON])
+        self.common_of = np.full(len(self.terms), -1)
+        self.common_of[self.common] = np.arange(len(self.common))
+        x = np.zeros((len(self.rows), len(self.common)), np.float32)
+        for q, w in enumerate(self.wants):
+            at = self.common_of[w]
+            x[q, at[at >= 0]] = 1
+        x /= np.maximum(1, np.sqrt(x.sum(1)))[:, None]
+        some = x[: self.FIRST]
+        self.centres, near = some[:1], np.zeros(len(some), np.float32)
+        while len(self.centres) < min(self.KINDS, len(some)):
+            near = np.maximum(near, some @ self.centres[-1])
+            self.centres = np.vstack([self.centres, some[near.argmin()]])
+        for _ in range(6):
+            kind = (some @ self.centres.T).argmax(1)
+            self.centres = np.stack([some[kind == j].sum(0) for j in range(len(self.centres))])
+            self.centres /= np.maximum(1e-6, np.sqrt((self.centres**2).sum(1)))[:, None]
+        self.order = np.argsort((x @ self.centres.T).argmax(1), kind="stable")
+
+    def floors(self, asked: np.ndarray) -> np.ndarray:
+        """What a document's score has to reach, for each of these queries."""
+        return np.maximum(self.scores[asked, -1] - SLACK, SLACK / 4)
+
+    def add(self, asked: np.ndarray, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Documents found, each for the query at its row of ``asked``."""
+        n, k = len(asked), self.k
+        rows = np.concatenate([np.repeat(np.arange(n), k), rows])
+        ids, scores = np.concatenate([self.ids[asked].ravel(), ids]), np.concatenate([self.scores[asked].ravel(), scores])
+        order = np.lexsort((ids, -scores, rows))
+        starts = np.searchsorted(rows[order], np.arange(n))
+        best = order[starts[:, None] + np.arange(k)]
+        self.ids[asked], self.scores[asked] = ids[best], scores[best]
 
 
 def _file(data: bytes):
@@ -102,72 +136,113 @@ def pack_queries(rows: list[int], wants: list[list[int]], idfs: list[list[float]
 
 
 class Shard:
-    """The postings of a batch's terms in one shard: documents and score parts by list, and each list's largest part in each
-    block of documents. Lists of many documents are rows of a matrix as well."""
+    """The postings of a batch's terms in one shard: documents and score parts by list.
+
+    Documents are ordered by kind and number of words, so that those of a block are alike. Lists of many documents are rows
+    of a matrix, with each one's largest part in each block.
+    """
+
+    #: A list of more than this part of the shard's documents is a row of the matrix, which has so many cells at most.
+    PART, CELLS = 24, 1 << 22
+    #: Postings that are summed at once.
+    AT_ONCE = 1 << 20
 
     def __init__(self, batch: Batch, terms: np.ndarray, df: np.ndarray, docs: np.ndarray, freqs: np.ndarray, lengths: np.ndarray, mean: float, s: Settings) -> None:
-        n = self.n = len(lengths)
+        n = len(lengths)
         self.s = s
+        self.blocks = -(-n // s.block)
+        self.width = self.blocks * s.block
         place = np.searchsorted(batch.terms, terms)
         self.list_of = np.full(len(batch.terms), -1)
         self.list_of[place] = np.arange(len(terms))
         self.ends = np.cumsum(df)
         self.starts = self.ends - df
-        self.docs = docs.astype(np.int64)
+        docs, which = docs.astype(np.int64), np.repeat(np.arange(len(terms)), df)
         damp = s.k1 * (1 - s.b + s.b * lengths / mean)
-        self.parts = np.repeat(batch.idf[place], df) * freqs * (s.k1 + 1) / (freqs + damp[self.docs])
-        self.blocks = -(-n // s.block)
-        which = np.repeat(np.arange(len(terms)), df)
-        cell = which * self.blocks + self.docs // s.block  # never falls, as a list's documents ascend
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.tops = np.zeros((len(terms), self.blocks))
-        if len(first):
-            self.tops.ravel()[cell[first]] = np.maximum.reduceat(self.parts, first)
-        often = np.flatnonzero(df >= max(1, n // 8))
+        self.parts = np.repeat(batch.idf[place], df) * freqs * (s.k1 + 1) / (freqs + damp[docs])
+        told = batch.common_of[place][which]
+        near = np.zeros((len(batch.centres), n), np.float32)
+        for j, centre in enumerate(batch.centres):
+            near[j] = np.bincount(docs[told >= 0], centre[told[told >= 0]], n)
+        self.order = np.lexsort((np.bincount(docs, minlength=n), near.argmax(0)))
+        rank = np.empty(n, np.int64)
+        rank[self.order] = np.arange(n)
+        self.docs = rank[docs]
+        often = np.flatnonzero(df >= max(4, n // self.PART))
+        most = max(1, self.CELLS // max(1, self.width))
+        often = often[np.argsort(-df[often], kind="stable")[:most]]
         self.dense_of = np.full(len(terms), -1)
         self.dense_of[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), n))
-        inside = self.dense_of[which] >= 0
-        self.dense[self.dense_of[which[inside]], self.docs[inside]] = self.parts[inside]
-
-    def _scores(self, lists: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of these blocks and their scores."""
-        size, dense = self.s.block, self.dense_of[lists]
-        rows, few = dense[dense >= 0], lists[dense < 0]
-        lo, m = self.starts[few], self.ends[few] - self.starts[few]
-        at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        total = np.bincount(self.docs[at], self.parts[at], self.n) if len(at) else np.zeros(self.n)
-        if 2 * len(blocks) >= self.blocks:
-            here = np.ones(self.blocks, bool) if len(blocks) == self.blocks else np.isin(np.arange(self.blocks), blocks)
-            docs = np.flatnonzero(np.repeat(here, size)[: self.n])
-            if len(rows):
-                total += self.dense[rows].sum(0)
-            return docs, total[docs]
-        docs = (blocks[:, None] * size + np.arange(size)).ravel()
-        docs = docs[docs < self.n]
-        return docs, total[docs] + (sum(self.dense[r].take(docs) for r in rows.tolist()) if len(rows) else 0)
-
-    def search(self, batch: Batch, q: int, ids: np.ndarray, nulls: np.ndarray) -> int:
-        """Put the shard's documents that are among the query's k best into the batch; the number of blocks that were scored."""
-        lists = self.list_of[batch.wants[q]]
-        lists = lists[lists >= 0]
+        inside = np.flatnonzero(self.dense_of[which] >= 0)
+        #: By document, and by list in single precision.
+        self.exact = np.zeros((self.width, len(often)))
+        self.exact[self.docs[inside], self.dense_of[which[inside]]] = self.parts[inside]
+        self.dense = np.ascontiguousarray(self.exact.T, np.float32)
+        self.tops = self.dense.reshape(len(often), self.blocks, s.block).max(2)
+        #: More than single precision moves a sum of a document's parts, as a share of it.
+        self.share = (len(often) + 16) * 2.0**-22
+
+    def _rest(self, n: int, rows: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """For each of n queries the sums over its lists outside the matrix, by document."""
+        size = n * self.width
+        total = np.zeros(size)
+        df = self.ends[lists] - self.starts[lists]
+        cuts = np.searchsorted(np.cumsum(df), np.arange(self.AT_ONCE, df.sum(), self.AT_ONCE))
+        for part in np.split(np.arange(len(lists)), cuts):
+            m = df[part]
+            at = np.repeat(self.starts[lists[part]] - (np.cumsum(m) - m), m)
+            at += np.arange(len(at))
+            key = np.repeat(rows[part] * self.width, m)
+            key += self.docs[at]
+            total += np.bincount(key, self.parts[at], size)
+        return total.reshape(n, self.width)
+
+    def _found(self, batch: Batch, asked: np.ndarray, wanted: np.ndarray, rest: np.ndarray, lo: int, hi: int, ids: np.ndarray) -> None:
+        """Put the documents at lo to hi - 1 that are among a query's k best into the batch."""
+        total = wanted @ self.dense[:, lo:hi]
+        total += rest[:, lo:hi]
+        floor = batch.floors(asked)
+        hit = total >= (floor * (1 - self.share))[:, None]
+        if hit.sum() > 4 * batch.k * len(asked) and hi - lo > batch.k:
+            kth = np.partition(total, -batch.k, axis=1)[:, -batch.k].astype(np.float64)  # as many documents are no worse, but for rounding
+            hit &= total >= np.where(kth > 0, kth * (1 - 2 * self.share) - 2 * SLACK, -np.inf)[:, None]
+        rows, at = np.nonzero(hit)
+        step = max(1, (1 << 20) // max(1, len(self.tops)))
+        scores = np.zeros(len(rows))
+        for i in range(0, len(rows), step):
+            r, d = rows[i : i + step], at[i : i + step] + lo
+            scores[i : i + step] = np.round(rest[r, d] + np.einsum("ij,ij->i", wanted[r], self.exact[d]), 6)
+        good = scores >= floor[rows]
+        if good.any():
+            batch.add(asked, rows[good], ids[self.order[at[good] + lo]], scores[good])
+
+    def search(self, batch: Batch, asked: np.ndarray | int, ids: np.ndarray, nulls: np.ndarray) -> int:
+        """Put the shard's documents that are among the k best of these queries into the batch; the number of blocks that were scored."""
+        asked = np.atleast_1d(asked)
+        wants = [batch.wants[q] for q in asked.tolist()]
+        rows, lists = np.repeat(np.arange(len(asked)), [len(w) for w in wants]), self.list_of[np.concatenate(wants)]
+        rows, lists = rows[lists >= 0], lists[lists >= 0]
         if not len(lists):
             return 0
-        bound = self.tops[lists].sum(0)
-        alive = np.flatnonzero(bound >= batch.floor(q))
-        alive = alive[np.argsort(-bound[alive], kind="stable")]
-        scored, step = 0, max(1, self.blocks // 8)
-        while len(alive):
-            if scored:
-                step = len(alive)
-            now, alive = alive[:step], alive[step:]
-            docs, scores = self._scores(lists, now)
-            good = (scores >= batch.floor(q)) & ~nulls[docs]
-            if good.any():
-                batch.add(q, ids[docs[good]], np.round(scores[good], 6))
-            scored += len(now)
-            alive = alive[bound[alive] >= batch.floor(q)]
-        return scored
+        place = self.dense_of[lists]
+        wanted = np.zeros((len(asked), len(self.tops)), np.float32)
+        wanted[rows[place >= 0], place[place >= 0]] = 1
+        rest = self._rest(len(asked), rows[place < 0], lists[place < 0])
+        rest[:, len(self.order) :] = -np.inf
+        rest[:, np.flatnonzero(nulls[self.order])] = -np.inf
+        bound = rest.reshape(len(asked), self.blocks, -1).max(2)
+        bound += wanted @ self.tops
+        left, scored = np.ones(self.blocks, bool), 0
+        while True:
+            alive = np.flatnonzero((bound >= (batch.floors(asked) * (1 - self.share))[:, None]).any(0) & left)
+            if not len(alive):
+                return scored
+            if not scored and not np.isfinite(batch.scores[asked, -1]).all():  # the best blocks first
+                alive = np.sort(alive[np.argsort(-np.maximum(bound[:, alive], 0).sum(0), kind="stable")[: max(1, self.blocks // 8)]])
+            left[alive] = False
+            scored += len(alive)
+            for run in np.split(alive, np.flatnonzero(np.diff(alive) > 1) + 1):
+                self._found(batch, asked, wanted, rest, int(run[0]) * self.s.block, (int(run[-1]) + 1) * self.s.block, ids)
 
 
 def _streams(facts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -316,8 +391,8 @@ def top_k(docs: DataFrame, queries: DataFrame, settings: Settings | None = None,
                 at.append(np.frombuffer(raw, "<u2", d.sum(), 2 * len(t)))
                 freqs.append(np.frombuffer(raw, "<u4", d.sum(), 2 * len(t) + 2 * d.sum()))
             made = Shard(batch, *(np.concatenate(x) for x in (lists, df, at, freqs)), np.frombuffer(unpack(head[0])), mean, s)
-            for q in range(len(batch.rows)):
-                made.search(batch, q, ids, nulls)
+            for q in range(0, len(batch.rows), s.together):
+                made.search(batch, batch.order[q : q + s.together], ids, nulls)
 
         for part in parts:
             for c, kind, block, terms, posts, ids in zip(*(part.column(j).to_pylist() for j in range(6)), strict=True):
