@@ -131,3 +131,12 @@ def test_fold_numbers_every_slot(parts):
     skeleton, slots = fold(tokens)
     assert len(slots) == len(texts) == tokens.count(SLOT)
     assert set(slots) == set(range(sum(map(n_slots, skeleton))))
+
+
+def test_a_wrapper_of_many_items_takes_in_all_parts():
+    many = [t for i in range(3000) for t in (f"<div c{'abcdefghij'[i % 10]}{i}>", "#", "</div>")]
+    late = ["<section z>", "#", "</section>"]
+    made = html.start(many, [html.VARIES] * 3000)
+    made = html.align(made, html.start(late, ["7"], 3))
+    assert html.mask(made, late) == "0"  # the same text on three pages
+    assert len(made) == len(many) + len(late)

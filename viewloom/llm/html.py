@@ -55,8 +55,6 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s
 SLOT = "#"
 #: Different pages on which a text is the same before that tells that it is none of theirs: without an article, and inside one.
 SAME, SAME_INSIDE = 3, 5
-#: Items of a wrapper. Beyond that it takes in no more optional parts, whose slots go by their own place in the page.
-MOST = 4096
 
 
 def _key(name: str, attributes: str) -> str:
@@ -275,9 +273,7 @@ def align(wrapper: list[dict], other: list[dict]) -> list[dict]:
                 texts = [_common(t, u) for t, u in zip(x["texts"], y["texts"], strict=True)]
                 out.append({"item": x["item"], "texts": texts, "pages": x["pages"] + y["pages"]})
         else:
-            out += wrapper[i:j]
-            if len(wrapper) + m - k <= MOST:
-                out += other[k:m]
+            out += wrapper[i:j] + other[k:m]
     return out
 
 
