@@ -90,3 +90,32 @@ def test_word_ids():
     t = Tokenizer.from_file(PATH)
     words = [b"river", b"stones,", "naïve.".encode(), b"...", b"a.b", b"it's!", b"5.", "é,".encode(), b"end.)"]
     assert [np.frombuffer(b, "<u2").tolist() for b in word_ids(words, PATH)] == [t.encode(w.decode(), add_special_tokens=False).ids for w in words]
+
+
+def test_every_window_of_every_text_is_trained_on(spark, monkeypatch):
+    """Each id is a target once where there are more than ``least`` windows."""
+    import viewloom.llm.lm as lm
+
+    texts = [np.arange(n, dtype="<u2") for n in (1, 31, 32, 33, 64, 100)]
+    got = lm.windows_of(texts, SMALL)
+    want = []
+    for t in texts:
+        y = [SMALL.vocabulary, *t.tolist()]
+        for at in range(0, len(t), SMALL.window):
+            part = y[at : at + SMALL.window + 1]
+            want.append(part + [SMALL.vocabulary + 1] * (SMALL.window + 1 - len(part)))
+    assert got.tolist() == want and lm.windows_of([], SMALL).shape == (0, SMALL.window + 1)
+    docs = spark.createDataFrame([(i, "the river runs over stones " * 8 + ("" if i else "zebra")) for i in range(120)], "doc_id long, text string").coalesce(1)
+    small = Settings(**{**SMALL.__dict__, "least": 10, "passes": 1, "trainer": 10_000, "rounds": 3})
+    seen = spark.sparkContext.accumulator(0)
+    real = lm.train
+
+    def counted(m, windows, state, steps, *rest):
+        assert steps * m.s.batch >= len(windows)  # all of them
+        seen.add(int((windows[:, 1:] < m.s.vocabulary).sum()))
+        real(m, windows, state, steps, *rest)
+
+    monkeypatch.setattr(lm, "train", counted)
+    n = sum(len(np.frombuffer(b, "<u2")) for r in docs.collect() for b in word_ids(r["text"].encode().split(), PATH)) + 120
+    score_documents(docs, PATH, 49407, lambda i: True, small).collect()
+    assert seen.value == n

@@ -7,10 +7,10 @@ they give a distribution over groups of classes of ids, and over the classes in
 add-one share of the counts of all training documents. Queries, keys and values are linear in the embeddings, so scoring
 looks them up, and only the class distribution of an id's own group is computed.
 
-Classes, counts and what follows an id come from all training documents. The network's windows are drawn from all of them,
-short ones included, at a fixed share, so their number grows with the corpus; with it grows the number of trainers. In
-each round every trainer goes over its own windows from the same weights, and the weights are averaged, so training is
-spread over the cluster and no task or driver holds more than one trainer's windows.
+Classes, counts and what follows an id come from all training documents, and so do the network's weights: it goes over
+every id of every training document, short ones included. Blocks of documents are dealt to trainers, more of them for a
+larger corpus. In each round every trainer goes over another part of its blocks' windows from the same weights, and the
+weights are averaged, so training is spread over the cluster and a task holds one block's windows at a time.
 
 Null texts are empty: one end. Repeated rows count and are scored as they come; with no training documents all counts
 are 0.
@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.minhash import _mix
 from viewloom.llm.postings import NAMES, SCHEMA, Lookup, buckets_for, dictionary, pack, postings, sum_by_document, unpack, unpack_ids
 from viewloom.llm.store import keep
 from viewloom.llm.subwords import encode_words
@@ -35,7 +35,7 @@ from viewloom.llm.worker import held, trimmed
 
 @dataclass(frozen=True)
 class Settings:
-    """``share`` of all windows are trained on, ``least`` of them if there are so many; ``trainer``: windows of a trainer, about."""
+    """All windows are trained on, ``passes`` times if there are up to ``least``, else less often, but once; ``trainer``: windows of a trainer at least, about."""
 
     vocabulary: int = 49408
     window: int = 32
@@ -49,7 +49,6 @@ class Settings:
     near: int = 256
     vector: int = 8
     prior: float = 20.0
-    share: float = 1 / 128
     least: int = 12_000
     trainer: int = 12_000
     rounds: int = 3
@@ -139,60 +138,94 @@ def followers(pairs: np.ndarray, group: np.ndarray, counts: np.ndarray, s: Setti
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(-1, keepdims=True))
-    z /= z.sum(-1, keepdims=True)
+    """In place, over the last axis; logits are cut at LIMIT."""
+    np.minimum(z, LIMIT, out=z)
+    np.exp(z, out=z)
+    z /= np.maximum(z @ np.ones(z.shape[-1], np.float32), np.float32(1e-30))[..., None]
     return z
 
 
 def train(m: Model, windows: np.ndarray, state: tuple[dict, dict], steps: int, seed: int, done: float, rounds: int) -> None:
     """Adam on the cross-entropy of the next class, with gradients written out; changes the model's weights and ``state``.
 
-    windows: rows of window + 1 ids, vocabulary for the begin of a text and beyond for the places after its end. done: the
-    rounds before this one.
+    windows: rows of window + 1 ids, vocabulary for the begin of a text and beyond for the places after its end. The steps
+    go through all of them in a random order, and through them again when there are more steps. done: the rounds before
+    this one.
     """
     s, p = m.s, m.p
     rng = np.random.default_rng((s.seed, seed))
     real = windows[:, 1:] < s.vocabulary
     x, y = m.slot[np.minimum(windows[:, :-1], s.vocabulary)], m.group[np.where(real, windows[:, 1:], 0)]
     t, d, each = s.window, s.width, s.classes // s.groups
-    mask = np.where(np.tril(np.ones((t, t))), 0, -1e9).astype(np.float32)
+    mask = np.where(np.tril(np.ones((t, t))), 0, -1e9).astype(np.float32)  # exp makes it 0
     first, second = state
     scale = np.float32(d**-0.5)
+    order, used = rng.permutation(len(x)), 0
     for step in range(1, steps + 1):
-        at = rng.integers(0, len(x), s.batch)
+        at = order[used : used + s.batch]
+        used += s.batch
+        while len(at) < s.batch:
+            order, used = rng.permutation(len(x)), s.batch - len(at)
+            at = np.concatenate([at, order[:used]])
         xi, yi, good = x[at], y[at], real[at].ravel()
-        e = p["E"][xi] + p["P"]
-        q, k, v = e @ p["Wq"], e @ p["Wk"], e @ p["Wv"]
-        a = q @ k.transpose(0, 2, 1) * scale + mask
-        a = np.exp(a - a.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
-        c = a @ v
-        r = c @ p["Wo"] + e @ p["W1"] + p["b1"]
-        h = np.maximum(r, 0)
         n = yi.size
+        goal, came = yi.ravel(), xi.ravel()
+        e = p["E"].take(xi, axis=0)
+        e += p["P"]
+        flat_e = e.reshape(n, d)
+        q, k, v = ((flat_e @ p[w]).reshape(e.shape) for w in ("Wq", "Wk", "Wv"))
+        a = q @ k.transpose(0, 2, 1)
+        a *= scale
+        a += mask
+        a = _softmax(a)
+        c = (a @ v).reshape(n, d)
+        r = c @ p["Wo"]
+        r += flat_e @ p["W1"]
+        r += p["b1"]
+        flat = np.maximum(r, 0)
         weight = (good / max(1, good.sum())).astype(np.float32)[:, None]
-        flat, rows, goal, came = h.reshape(n, -1), np.arange(n), yi.ravel(), xi.ravel()
-        zg = _softmax(flat @ p["Wg"] + p["bg"] + m.after[0][came])
-        zc = _softmax((flat @ p["Wc"] + p["bc"]).reshape(n, s.groups, each)[rows, goal // each] + m.after[1][came, goal // each])
-        zg[rows, goal // each] -= 1
-        zc[rows, goal % each] -= 1
-        dz = np.zeros((n, s.groups, each), np.float32)
-        dz[rows, goal // each] = zc * weight
-        dz, zg = dz.reshape(n, -1), zg * weight
-        g = {"Wc": flat.T @ dz, "bc": dz.sum(0), "Wg": flat.T @ zg, "bg": zg.sum(0)}
-        dr = ((dz @ p["Wc"].T + zg @ p["Wg"].T).reshape(r.shape)) * (r > 0)
-        flat = dr.reshape(n, -1)
-        g |= {"b1": flat.sum(0), "Wo": c.reshape(n, d).T @ flat, "W1": e.reshape(n, d).T @ flat}
-        dc, de = dr @ p["Wo"].T, dr @ p["W1"].T
+        group = goal // each
+        zg = flat @ p["Wg"]
+        zg += p["bg"]
+        zg += m.after[0].take(came, axis=0)
+        zg = _softmax(zg)
+        zg[np.arange(n), group] -= 1
+        zg *= weight
+        # only the classes of the goal's own group have a part in its loss
+        by = np.argsort(group.astype(np.uint16), kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=s.groups)).tolist()
+        h, inner, came_by, weight_by = flat.take(by, axis=0), (goal % each)[by], came[by], weight[by]
+        back = np.empty_like(h)
+        g = {"Wc": np.zeros_like(p["Wc"]), "bc": np.zeros_like(p["bc"]), "Wg": flat.T @ zg, "bg": zg.sum(0)}
+        for j, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)):
+            if lo < hi:
+                part = slice(j * each, (j + 1) * each)
+                z = h[lo:hi] @ p["Wc"][:, part]
+                z += p["bc"][part]
+                z += m.after[1][came_by[lo:hi], j]
+                z = _softmax(z)
+                z[np.arange(hi - lo), inner[lo:hi]] -= 1
+                z *= weight_by[lo:hi]
+                g["Wc"][:, part], g["bc"][part] = h[lo:hi].T @ z, z.sum(0)
+                back[lo:hi] = z @ p["Wc"][:, part].T
+        dr = zg @ p["Wg"].T
+        dr[by] += back
+        dr *= r > 0
+        g |= {"b1": dr.sum(0), "Wo": c.T @ dr, "W1": flat_e.T @ dr}
+        dc, de = (dr @ p["Wo"].T).reshape(e.shape), dr @ p["W1"].T
         da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        da -= np.einsum("bij,bij->bi", da, a)[..., None]
+        da *= a
+        da *= scale
+        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
         for name, grad in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
-            g[name] = e.reshape(n, d).T @ grad.reshape(n, d)
-            de = de + grad @ p[name].T
-        g["P"] = de.sum(0)
+            g[name] = flat_e.T @ grad.reshape(n, d)
+            de += grad.reshape(n, d) @ p[name].T
+        g["P"] = de.reshape(e.shape).sum(0)
         g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], came, de.reshape(n, d))
+        by = np.argsort(came.astype(np.uint16), kind="stable")
+        begin = np.flatnonzero(np.diff(came[by], prepend=-1))
+        g["E"][came[by[begin]]] = np.add.reduceat(de.take(by, axis=0), begin)
         past = (done + step / steps) / rounds
         rate = s.rate * min(1.0, (done * steps + step) / 30) * (1 - 0.9 * past)
         for name, w in p.items():
@@ -370,6 +403,23 @@ def _with_ends(texts: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndar
     return ids, before
 
 
+def windows_of(texts: list[np.ndarray], s: Settings) -> np.ndarray:
+    """All windows of some texts, one after the other: rows of window + 1 ids, as ``train`` takes them."""
+    if not texts:
+        return np.zeros((0, s.window + 1), "<u2")
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    ids = np.insert(np.concatenate(texts), np.cumsum(sizes) - sizes, s.vocabulary)
+    n = -(-sizes // s.window)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = (np.repeat(starts, n) + at * s.window).astype(np.int32)[:, None] + np.arange(s.window + 1, dtype=np.int32)
+    past = place > np.repeat(starts + sizes, n).astype(np.int32)[:, None]
+    np.minimum(place, len(ids) - 1, out=place)
+    out = ids.take(place)
+    out[past] = s.vocabulary + 1
+    return out
+
+
 def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool], s: Settings) -> tuple[Model, int]:
     """The model, and how many documents were learned from. about: counts, posts and ids of blocks of documents."""
     about = about.select("counts", "posts", "ids")
@@ -400,7 +450,7 @@ def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool],
                 ids, before = _with_ends(texts, s.vocabulary)
                 after = np.append(np.where(before[1:] == s.vocabulary, s.vocabulary, ids[1:]), s.vocabulary)
                 near = vectors[0][rank[before]] + vectors[1][rank[after]]
-                by = np.argsort(ids, kind="stable")
+                by = np.argsort(ids.astype(np.uint16), kind="stable")
                 first = np.flatnonzero(np.diff(ids[by], prepend=-1))
                 total[ids[by][first]] += np.add.reduceat(near[by], first)
         yield _array(total)
@@ -423,43 +473,29 @@ def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool],
     size, mass = np.bincount(group, minlength=s.classes), np.bincount(group, counts, s.classes)
     share = np.log10((counts + 1) / (mass + size)[group])
     model = Model(s, slot, group, share, followers(pairs, group, counts, s), _init(s))
-    wanted = min(1.0, max(s.share, s.least / max(1, n_windows)))
-    trainers = max(1, round(wanted * n_windows / s.trainer))
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _training_texts(batches, training, end_id):
-            out, to = [], []
-            for i, t in zip(ids.tolist(), texts, strict=True):
-                n = -(-len(t) // s.window)
-                chance = _mix(_mix(np.uint64(i & (1 << 64) - 1) + np.uint64(s.seed)) ^ np.arange(n, dtype=np.uint64))
-                for k in np.flatnonzero(chance >> np.uint64(11) < np.uint64(wanted * (1 << 53))).tolist():
-                    w = np.full(s.window + 1, s.vocabulary + 1, "<u2")
-                    part = t[max(0, k * s.window - 1) : (k + 1) * s.window]
-                    w[0] = s.vocabulary
-                    w[1 if k == 0 else 0 : len(part) + (k == 0)] = part
-                    out.append(w.tobytes())
-                    to.append(int(chance[k] % np.uint64(1 << 11)) * 7919 % trainers if trainers > 1 else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(out, pa.binary())], ["trainer", "window"])
-
-    packs = about.mapInArrow(trimmed(draw), "trainer int, window binary").groupBy("trainer").agg(F.array_sort(F.collect_list("window")).alias("windows"))
-    packs = keep(packs, "windows")
+    passes = min(s.passes, max(1, round(s.passes * s.least / max(1, n_windows))))
+    blocks = about.coalesce(max(1, round(n_windows / s.trainer)))
     names = list(model.p)
     state = tuple({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
     for done in range(s.rounds):
 
         def fit(batches: Iterator[pa.RecordBatch], done: int = done) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for trainer, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    windows = np.frombuffer(b"".join(raw.as_py()), "<u2").reshape(-1, s.window + 1).astype(np.int64)
-                    mine = Model(s, slot, group, share, model.after, {k: model.p[k].copy() for k in names})
-                    moments = tuple({k: x[k].copy() for k in names} for x in state)
-                    steps = max(1, -(-len(windows) * s.passes // (s.rounds * s.batch)))
-                    train(mine, windows, moments, steps, done * (1 << 20) + trainer, done, s.rounds)
-                    yield _array(np.append(np.concatenate([x[k].ravel() for x in (mine.p, *moments) for k in names]) * float(len(windows)), len(windows)))
-
-        met = _summed(packs.repartition(min(trainers, 4096)).mapInArrow(trimmed(fit), "data binary"))
+            mine = Model(s, slot, group, share, model.after, {k: model.p[k].copy() for k in names})
+            moments = tuple({k: x[k].copy() for k in names} for x in state)
+            seed, total = (done << 40) + (TaskContext.get().partitionId() << 20), 0
+            for _, texts in _training_texts(batches, training, end_id):
+                windows = windows_of(texts, s)
+                # a pass takes each window in one of the rounds
+                seen = np.concatenate([np.arange((done + i) % s.rounds, len(windows), s.rounds) for i in range(passes)])
+                if len(seen):
+                    train(mine, windows[seen].astype(np.int64), moments, -(-len(seen) // s.batch), seed, done, s.rounds)
+                    seed, total = seed + 1, total + len(seen)
+            if total:
+                yield _array(np.append(np.concatenate([x[k].ravel() for x in (mine.p, *moments) for k in names]) * float(total), total))
+
+        met = _summed(blocks.mapInArrow(trimmed(fit), "data binary"))
         if met is None:
-            break
+            continue
         at, flat = 0, (met[:-1] / met[-1]).astype(np.float32)
         for x in (model.p, *state):
             for k in names:
