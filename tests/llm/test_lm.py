@@ -119,3 +119,41 @@ def test_every_window_of_every_text_is_trained_on(spark, monkeypatch):
     n = sum(len(np.frombuffer(b, "<u2")) for r in docs.collect() for b in word_ids(r["text"].encode().split(), PATH)) + 120
     score_documents(docs, PATH, 49407, lambda i: True, small).collect()
     assert seen.value == n
+
+
+def test_held_words_are_not_encoded_anew(monkeypatch):
+    """Where a worker's words get too many, those of the block at hand stay."""
+    import viewloom.llm.lm as lm
+    from viewloom.llm.worker import held
+
+    asked, real = [], lm.encode_words
+    monkeypatch.setattr(lm, "encode_words", lambda words, *rest: asked.append(sorted(words)) or real(words, *rest))
+    held("another table", dict)
+    first = word_ids([b"river", b"runs,", b"over"], PATH, most=5)
+    again = word_ids([b"over", b"stones", b"runs,", b"river."], PATH, most=5)
+    assert asked == [[b",", b"over", b"river", b"runs"], [b".", b"stones"]]
+    assert again[0] == first[2] and again[2] == first[1] and again[3].startswith(first[0])
+
+
+def test_gradients_are_those_of_the_score():
+    """The first moment after a step, beside differences of the score itself; one window a text, some of them short."""
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(20, SMALL.window + 1, SMALL.batch)
+    texts = [rng.integers(0, 50, n).astype("<u2") for n in sizes]
+    windows = np.full((SMALL.batch, SMALL.window + 1), SMALL.vocabulary + 1)
+    for row, t in zip(windows, texts, strict=True):
+        row[: len(t) + 1] = [SMALL.vocabulary, *t.tolist()]
+    model = fitted(windows, 60)
+    weights = {k: w.copy() for k, w in model.p.items()}
+    state = tuple({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
+    train(model, windows, state, 1, 0, 0, 1)
+    model.p = weights
+    for w, first in zip(weights.values(), state[0].values(), strict=True):
+        at = np.argsort(-np.abs(first).ravel())[:3]
+        for i in at:
+            old, losses = w.ravel()[i], []
+            for step in (0.01, -0.01):
+                w.ravel()[i] = old + step
+                losses.append(-math.log(10) * score(model, texts).sum() / sizes.sum())
+            w.ravel()[i] = old
+            assert abs((losses[0] - losses[1]) / 0.02 - 10 * first.ravel()[i]) < 0.05 * abs(10 * first.ravel()[i]) + 1e-5

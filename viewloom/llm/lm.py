@@ -80,18 +80,37 @@ class Model:
     p: dict[str, np.ndarray]
 
     def tables(self) -> dict[str, np.ndarray]:
-        p = self.p
-        out = {n: np.ascontiguousarray(p["E"] @ p[w]) for n, w in (("q", "Wq"), ("k", "Wk"), ("v", "Wv"))}
-        return out | {"p" + n: np.ascontiguousarray(p["P"] @ p[w]) for n, w in (("q", "Wq"), ("k", "Wk"), ("v", "Wv"))}
+        """What scoring looks up: each slot's and place's part in queries and the hidden layer (late), and in keys and values (early)."""
+        p, d = self.p, self.s.width
+        late = np.hstack([p["A"][:, :d] * np.float32(d**-0.5), p["R"][d + 1 :]])
+        bias = np.concatenate([np.zeros(d, np.float32), p["R"][d]])
+        out = {"late": p["E"] @ late, "p late": p["P"] @ late + bias, "early": p["E"] @ p["A"][:, d:], "p early": p["P"] @ p["A"][:, d:]}
+        heads = _heads(p, self.s)
+        return out | {"heads": heads[:, :-1], "after": self.both() + np.tile(heads[:, -1], (self.s.slots, 1))}
+
+    def both(self) -> np.ndarray:
+        """A row for each slot and group: ``after`` of the groups, then of the classes in this group."""
+        return np.concatenate([np.repeat(self.after[0], self.s.groups, 0), self.after[1].reshape(-1, self.s.classes // self.s.groups)], 1)
 
 
 def _init(s: Settings) -> dict[str, np.ndarray]:
-    """Weights that leave the counts as they are: the last layer is zero."""
+    """Weights that leave the counts as they are: the last layer is zero.
+
+    A: queries, keys and values from embeddings. R: the hidden layer from what attention gives, a one and embeddings. G and
+    C: groups, and the classes of each group, from the hidden layer and a one.
+    """
     rng = np.random.default_rng(s.seed)
     d, h = s.width, s.hidden
     shapes = {"E": (s.slots, d), "P": (s.window, d), "Wq": (d, d), "Wk": (d, d), "Wv": (d, d), "Wo": (d, h), "W1": (d, h), "b1": (h,), "Wg": (h, s.groups), "bg": (s.groups,), "Wc": (h, s.classes), "bc": (s.classes,)}
     scale = {"E": 0.5, "P": 0.1, "b1": 0, "Wg": 0, "bg": 0, "Wc": 0, "bc": 0}
-    return {k: (rng.normal(0, 1, v) * scale.get(k, v[0] ** -0.5)).astype(np.float32) for k, v in shapes.items()}
+    p = {k: (rng.normal(0, 1, v) * scale.get(k, v[0] ** -0.5)).astype(np.float32) for k, v in shapes.items()}
+    inner = np.vstack([p["Wc"], p["bc"]]).reshape(h + 1, s.groups, -1).transpose(1, 0, 2)
+    return {"E": p["E"], "P": p["P"], "A": np.hstack([p["Wq"], p["Wk"], p["Wv"]]), "R": np.vstack([p["Wo"], p["b1"], p["W1"]]), "G": np.vstack([p["Wg"], p["bg"]]), "C": np.ascontiguousarray(inner)}
+
+
+def _heads(p: dict[str, np.ndarray], s: Settings) -> np.ndarray:
+    """For each group, the weights of all groups beside those of its classes."""
+    return np.concatenate([np.broadcast_to(p["G"], (s.groups, *p["G"].shape)), p["C"]], 2)
 
 
 def classes(near: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
@@ -137,12 +156,15 @@ def followers(pairs: np.ndarray, group: np.ndarray, counts: np.ndarray, s: Setti
     return by_group.astype(np.float32), by_class.astype(np.float32)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place, over the last axis; logits are cut at LIMIT."""
-    np.minimum(z, LIMIT, out=z)
-    np.exp(z, out=z)
-    z /= np.maximum(z @ np.ones(z.shape[-1], np.float32), np.float32(1e-30))[..., None]
-    return z
+def _bound(t: int) -> np.ndarray:
+    """What an attention logit is cut at: LIMIT, and for places that come later where exp is 0."""
+    return np.where(np.tril(np.ones((t, t))), LIMIT, -200).astype(np.float32)
+
+
+def _by_group(group: np.ndarray, s: Settings) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by group, and where each group that occurs begins and ends in it."""
+    ends = np.cumsum(np.bincount(group, minlength=s.groups)).tolist()
+    return np.argsort(group.astype(np.uint16), kind="stable"), [(j, lo, hi) for j, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)) if lo < hi]
 
 
 def train(m: Model, windows: np.ndarray, state: tuple[dict, dict], steps: int, seed: int, done: float, rounds: int) -> None:
@@ -152,14 +174,31 @@ def train(m: Model, windows: np.ndarray, state: tuple[dict, dict], steps: int, s
     go through all of them in a random order, and through them again when there are more steps. done: the rounds before
     this one.
     """
-    s, p = m.s, m.p
+    s = m.s
     rng = np.random.default_rng((s.seed, seed))
     real = windows[:, 1:] < s.vocabulary
     x, y = m.slot[np.minimum(windows[:, :-1], s.vocabulary)], m.group[np.where(real, windows[:, 1:], 0)]
-    t, d, each = s.window, s.width, s.classes // s.groups
-    mask = np.where(np.tril(np.ones((t, t))), 0, -1e9).astype(np.float32)  # exp makes it 0
-    first, second = state
-    scale = np.float32(d**-0.5)
+    t, d, h, each = s.window, s.width, s.hidden, s.classes // s.groups
+    n = s.batch * t
+    # weights, moments and gradients lie in one array each, that p and g look into
+    sizes = np.cumsum([0, *(w.size for w in m.p.values())])
+    flat, first, second, grad = (np.concatenate([w.ravel() for w in v.values()]) for v in (m.p, *state, m.p))
+    p, g = ({k: v[lo:hi].reshape(w.shape) for (k, w), lo, hi in zip(m.p.items(), sizes, sizes[1:])} for v in (flat, grad))
+    bound, after = _bound(t), m.both()
+    scale = np.repeat(np.array([d**-0.5, 1, 1], np.float32), d)
+    of_group, of_inner = np.arange(s.classes) // each, np.arange(s.classes) % each
+    rows, one = np.arange(n), np.ones(max(n, t, each), np.float32)
+    pick = rows * 2 * each
+    wide, back = np.empty((2, s.batch, t, 3 * d), np.float32)
+    q, k, v = wide[..., :d], wide[..., d : 2 * d], wide[..., 2 * d :]
+    a, da = np.empty((2, s.batch, t, t), np.float32)
+    met, hid = np.ones((n, 2 * d + 1), np.float32), np.ones((n, h + 1), np.float32)  # with ones, for biases
+    mixed = met.reshape(s.batch, t, -1)[..., :d]
+    z, told = np.empty((2, n, 2 * each), np.float32)
+    dh, dr, r = np.empty((3, n, h), np.float32)
+    dmet, de = np.empty((n, 2 * d + 1), np.float32), np.empty((n, d), np.float32)
+    e, h_by = np.empty((n, d), np.float32), np.empty((n, h + 1), np.float32)
+    dheads = np.empty((s.groups, h + 1, 2 * each), np.float32)
     order, used = rng.permutation(len(x)), 0
     for step in range(1, steps + 1):
         at = order[used : used + s.batch]
@@ -167,127 +206,107 @@ def train(m: Model, windows: np.ndarray, state: tuple[dict, dict], steps: int, s
         while len(at) < s.batch:
             order, used = rng.permutation(len(x)), s.batch - len(at)
             at = np.concatenate([at, order[:used]])
-        xi, yi, good = x[at], y[at], real[at].ravel()
-        n = yi.size
-        goal, came = yi.ravel(), xi.ravel()
-        e = p["E"].take(xi, axis=0)
-        e += p["P"]
-        flat_e = e.reshape(n, d)
-        q, k, v = ((flat_e @ p[w]).reshape(e.shape) for w in ("Wq", "Wk", "Wv"))
-        a = q @ k.transpose(0, 2, 1)
-        a *= scale
-        a += mask
-        a = _softmax(a)
-        c = (a @ v).reshape(n, d)
-        r = c @ p["Wo"]
-        r += flat_e @ p["W1"]
-        r += p["b1"]
-        flat = np.maximum(r, 0)
-        weight = (good / max(1, good.sum())).astype(np.float32)[:, None]
-        group = goal // each
-        zg = flat @ p["Wg"]
-        zg += p["bg"]
-        zg += m.after[0].take(came, axis=0)
-        zg = _softmax(zg)
-        zg[np.arange(n), group] -= 1
-        zg *= weight
-        # only the classes of the goal's own group have a part in its loss
-        by = np.argsort(group.astype(np.uint16), kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=s.groups)).tolist()
-        h, inner, came_by, weight_by = flat.take(by, axis=0), (goal % each)[by], came[by], weight[by]
-        back = np.empty_like(h)
-        g = {"Wc": np.zeros_like(p["Wc"]), "bc": np.zeros_like(p["bc"]), "Wg": flat.T @ zg, "bg": zg.sum(0)}
-        for j, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)):
-            if lo < hi:
-                part = slice(j * each, (j + 1) * each)
-                z = h[lo:hi] @ p["Wc"][:, part]
-                z += p["bc"][part]
-                z += m.after[1][came_by[lo:hi], j]
-                z = _softmax(z)
-                z[np.arange(hi - lo), inner[lo:hi]] -= 1
-                z *= weight_by[lo:hi]
-                g["Wc"][:, part], g["bc"][part] = h[lo:hi].T @ z, z.sum(0)
-                back[lo:hi] = z @ p["Wc"][:, part].T
-        dr = zg @ p["Wg"].T
-        dr[by] += back
+        came, goal, good = x[at].ravel(), y[at].ravel(), real[at].ravel()
+        linear = p["A"] * scale
+        p["E"].take(came, axis=0, out=e, mode="clip")
+        e.reshape(s.batch, -1)[...] += p["P"].ravel()
+        met[:, d + 1 :] = e
+        np.matmul(e, linear, out=wide.reshape(n, -1))
+        np.matmul(q, k.transpose(0, 2, 1), out=a)
+        np.minimum(a, bound, out=a)
+        np.exp(a, out=a)
+        a *= (1 / np.maximum(a @ one[:t], np.float32(1e-30)))[..., None]
+        np.matmul(a, v, out=mixed)
+        np.matmul(met, p["R"], out=r)
+        np.maximum(r, 0, out=hid[:, :h])
+        # only the classes of the goal's own group have a part in its loss; rows are in order of their goals' groups here
+        by, parts = _by_group(of_group.take(goal), s)
+        goal = goal.take(by)
+        group, inner, heads = of_group.take(goal), of_inner.take(goal), _heads(p, s)
+        hid.take(by, axis=0, out=h_by, mode="clip")
+        for j, lo, hi in parts:
+            np.matmul(h_by[lo:hi], heads[j], out=z[lo:hi])
+        z += after.take(came.take(by) * s.groups + group, axis=0, out=told, mode="clip")
+        np.minimum(z, LIMIT, out=z)
+        np.exp(z, out=z)
+        weight = (good / np.float32(max(1, good.sum()))).take(by)
+        halves, single = z.reshape(-1, each), z.reshape(-1)
+        halves *= (weight[:, None] / np.maximum(halves @ one[:each], np.float32(1e-30)).reshape(n, 2)).reshape(-1, 1)
+        single[pick + group] -= weight
+        single[pick + each + inner] -= weight
+        dheads[...] = 0
+        for j, lo, hi in parts:
+            np.matmul(h_by[lo:hi].T, z[lo:hi], out=dheads[j])
+            np.matmul(z[lo:hi], heads[j, :h].T, out=dh[lo:hi])
+        g["G"][...], g["C"][...] = dheads[..., :each].sum(0), dheads[..., each:]
+        to = np.empty_like(by)
+        to[by] = rows
+        dh.take(to, axis=0, out=dr, mode="clip")
         dr *= r > 0
-        g |= {"b1": dr.sum(0), "Wo": c.T @ dr, "W1": flat_e.T @ dr}
-        dc, de = (dr @ p["Wo"].T).reshape(e.shape), dr @ p["W1"].T
-        da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        da -= np.einsum("bij,bij->bi", da, a)[..., None]
+        np.matmul(met.T, dr, out=g["R"])
+        np.matmul(dr, p["R"].T, out=dmet)
+        dc = dmet.reshape(s.batch, t, -1)[..., :d]
+        np.matmul(dc, v.transpose(0, 2, 1), out=da)
+        da -= np.einsum("bij,bij->bi", dc, mixed)[..., None]
         da *= a
-        da *= scale
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        for name, grad in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
-            g[name] = flat_e.T @ grad.reshape(n, d)
-            de += grad.reshape(n, d) @ p[name].T
-        g["P"] = de.reshape(e.shape).sum(0)
-        g["E"] = np.zeros_like(p["E"])
-        by = np.argsort(came.astype(np.uint16), kind="stable")
-        begin = np.flatnonzero(np.diff(came[by], prepend=-1))
-        g["E"][came[by[begin]]] = np.add.reduceat(de.take(by, axis=0), begin)
+        np.matmul(da, k, out=back[..., :d])
+        np.matmul(da.transpose(0, 2, 1), q, out=back[..., d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dc, out=back[..., 2 * d :])
+        np.matmul(e.T, back.reshape(n, -1), out=g["A"])
+        g["A"] *= scale
+        np.matmul(back.reshape(n, -1), linear.T, out=de)
+        de += dmet[:, d + 1 :]
+        g["P"][...] = (one[: s.batch] @ de.reshape(s.batch, -1)).reshape(t, d)
+        for j, w in enumerate(de.T):
+            g["E"][:, j] = np.bincount(came, w, s.slots)
         past = (done + step / steps) / rounds
         rate = s.rate * min(1.0, (done * steps + step) / 30) * (1 - 0.9 * past)
-        for name, w in p.items():
-            first[name] += 0.1 * (g[name] - first[name])
-            second[name] += 0.01 * (g[name] ** 2 - second[name])
-            w -= rate * first[name] / (np.sqrt(second[name]) + 1e-6)
-
-
-def _log_share(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """ln of the softmax at ``goal`` in each row; logits are cut at LIMIT."""
-    np.minimum(z, LIMIT, out=z)
-    at = z[np.arange(len(z)), goal]
-    np.exp(z, out=z)
-    return at - np.log(z @ np.ones(z.shape[1], np.float32))
+        first += np.float32(0.1) * (grad - first)
+        second += np.float32(0.01) * (grad * grad - second)
+        flat -= np.float32(rate) * first / (np.sqrt(second) + np.float32(1e-6))
+    for held_by, new in ((m.p, flat), (state[0], first), (state[1], second)):
+        for w, lo, hi in zip(held_by.values(), sizes, sizes[1:]):
+            w[...] = new[lo:hi].reshape(w.shape)
 
 
 def _window_scores(m: Model, tables: dict, x: np.ndarray, y: np.ndarray, skip: int) -> np.ndarray:
     """log10 of the class probabilities of the targets after the first ``skip`` positions. x: slots, y: classes, by window."""
     s = m.s
-    t, d, n = s.window, s.width, len(x)
-    mask = np.where(np.tril(np.ones((t, t)))[skip:], 1, 0).astype(np.float32)
-    late = x[:, skip:]
-    q = tables["q"].take(late, axis=0) + tables["pq"][skip:]
-    k = tables["k"].take(x, axis=0) + tables["pk"]
-    v = tables["v"].take(x, axis=0) + tables["pv"]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(d**-0.5)
-    np.minimum(a, LIMIT, out=a)
+    t, d, n, each = s.window, s.width, len(x), s.classes // s.groups
+    came, goal = x[:, skip:].ravel(), y.ravel()
+    late, early = tables["late"].take(came, axis=0).reshape(n, -1), tables["early"].take(x.ravel(), axis=0).reshape(n, -1)
+    late += tables["p late"][skip:].ravel()
+    early += tables["p early"].ravel()
+    late, early = late.reshape(n, t - skip, -1), early.reshape(n, t, -1)
+    a = late[..., :d] @ early[..., :d].transpose(0, 2, 1)
+    np.minimum(a, _bound(t)[skip:], out=a)
     np.exp(a, out=a)
-    a *= mask
-    c = np.matmul(a, v)
+    c = a @ early[..., d:]
     c /= np.maximum(a @ np.ones(t, np.float32), np.float32(1e-30))[..., None]
-    r = c.reshape(-1, d) @ m.p["Wo"]
-    r += (tables["h"].take(late, axis=0) + tables["ph"][skip:]).reshape(r.shape)
+    r = c.reshape(-1, d) @ m.p["R"][:d]
+    r += late[..., d:].reshape(r.shape)
     np.maximum(r, 0, out=r)
-    each = s.classes // s.groups
-    goal, came = y.ravel(), late.ravel()
     group = goal // each
-    z = r @ m.p["Wg"]
-    z += tables["after"].take(came, axis=0)
-    out = _log_share(z, group)
-    order = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=s.groups))
-    sorted_r, inner, came = r[order], (goal % each)[order], came[order]
-    mine = np.empty(len(goal), np.float32)
-    for k, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-        if lo < hi:
-            part = slice(k * each, (k + 1) * each)
-            z = sorted_r[lo:hi] @ m.p["Wc"][:, part]
-            z += tables["inside"][k].take(came[lo:hi], axis=0)
-            mine[lo:hi] = _log_share(z, inner[lo:hi])
-    out[order] += mine
+    by, parts = _by_group(group, s)
+    group, r = group.take(by), r.take(by, axis=0)
+    z = np.empty((len(by), 2 * each), np.float32)
+    for j, lo, hi in parts:
+        np.matmul(r[lo:hi], tables["heads"][j], out=z[lo:hi])
+    z += tables["after"].take(came.take(by) * s.groups + group, axis=0)
+    np.minimum(z, LIMIT, out=z)
+    pick = np.arange(0, z.size, 2 * each)
+    mine = z.ravel()[pick + group] + z.ravel()[pick + each + goal.take(by) % each]
+    np.exp(z, out=z)
+    mine -= np.log(z.reshape(-1, each) @ np.ones(each, np.float32)).reshape(-1, 2).sum(1)
+    out = np.empty_like(mine)
+    out[by] = mine
     return (out * np.float32(1 / np.log(10))).reshape(n, t - skip)
 
 
 def score(m: Model, texts: list[np.ndarray], chunk: int = 256) -> np.ndarray:
     """log10 probability of each text (its ids, the end id included); each id is scored once."""
     s = m.s
-    tables = m.tables() | {"h": m.p["E"] @ m.p["W1"], "ph": m.p["P"] @ m.p["W1"] + m.p["b1"]}
-    by_group, by_class = m.after
-    inside = by_class + m.p["bc"].reshape(s.groups, -1)
-    tables |= {"after": by_group + m.p["bg"], "inside": [np.ascontiguousarray(inside[:, k]) for k in range(s.groups)]}
+    tables = m.tables()
     sizes = np.array([len(t) for t in texts], np.int64)
     if not len(sizes):
         return np.zeros(0)
@@ -326,17 +345,16 @@ def word_ids(words: list[bytes], path: str, most: int = 300_000) -> list[bytes]:
 
     Punctuation after a letter is looked up apart, as the tokenizer splits it off.
     """
-    cores = [w.rstrip(_TAIL) for w in words]
-    cores = [c if len(c) != len(w) and c[-1:].isalpha() else w for c, w in zip(cores, words, strict=True)]
-    tails = [w[len(c) :] for c, w in zip(cores, words, strict=True)]
-    wanted = {*cores, *tails} - {b""}
+    ends = {w: (c, w[len(c) :]) for w in words if w[-1] in _TAIL and (c := w.rstrip(_TAIL))[-1:].isalpha()}
+    wanted = {*words}.difference(ends).union(*zip(*ends.values()))
     known = held(("word ids", path), dict)
     new = [w for w in wanted if w not in known]
     if len(known) + len(new) > most:
+        stay = {w: known[w] for w in wanted if w in known}
         known.clear()
-        new = list(wanted)
+        known.update(stay)
     known.update(zip(new, encode_words(new, path, "<u2"), strict=True))
-    return [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails, strict=True)]
+    return [known[ends[w][0]] + known[ends[w][1]] if w in ends else known[w] for w in words]
 
 
 def _texts(extra: bytes, facts: np.ndarray, end_id: int) -> list[np.ndarray]:
@@ -442,21 +460,23 @@ def learn(about: DataFrame, end_id: int, training: Callable[[int | None], bool],
     vectors = np.random.default_rng(s.seed).normal(0, 1, (2, s.near + 2, s.vector)).astype(np.float32)
     often = np.append(counts[order], [max(1, counts.sum() - counts[order].sum()), max(1, trained)]) + 1.0
     vectors *= np.sqrt(often.mean() / often)[None, :, None].astype(np.float32)
+    vectors = np.ascontiguousarray(vectors.transpose(0, 2, 1), np.float64)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((s.vocabulary, s.vector), np.float32)
+        total = np.zeros((s.vector, s.vocabulary))
         for _, texts in _training_texts(batches, training, end_id):
             if texts:
                 ids, before = _with_ends(texts, s.vocabulary)
                 after = np.append(np.where(before[1:] == s.vocabulary, s.vocabulary, ids[1:]), s.vocabulary)
-                near = vectors[0][rank[before]] + vectors[1][rank[after]]
-                by = np.argsort(ids.astype(np.uint16), kind="stable")
-                first = np.flatnonzero(np.diff(ids[by], prepend=-1))
-                total[ids[by][first]] += np.add.reduceat(near[by], first)
+                rank_before, rank_after = rank.take(before), rank.take(after)
+                for j in range(s.vector):
+                    x = vectors[0, j].take(rank_before)
+                    x += vectors[1, j].take(rank_after)
+                    total[j] += np.bincount(ids, x, s.vocabulary)
         yield _array(total)
 
-    near = _summed(about.mapInArrow(trimmed(neighbours), "data binary"), "<f4")
-    near = np.zeros((s.vocabulary, s.vector)) if near is None else near.reshape(s.vocabulary, s.vector)
+    near = _summed(about.mapInArrow(trimmed(neighbours), "data binary"))
+    near = np.zeros((s.vocabulary, s.vector)) if near is None else near.reshape(s.vector, s.vocabulary).T
     group = classes(near, counts, s)
     slot = inputs(group, counts, s)
 
